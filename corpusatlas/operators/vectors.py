@@ -158,7 +158,7 @@ def band_codes(
 
     coded = (
         vectors.where(F.size("embedding") > 0)
-        .select(id_column, "embedding")
+        .select(id_column, F.col("embedding").cast("array<float>").alias("embedding"))
         .mapInArrow(encode, f"{id_column} long, embedding array<float>, codes array<long>")
     )
     return coded.select(id_column, "embedding", F.posexplode("codes").alias("band", "code"))
@@ -191,8 +191,11 @@ def top_k_lsh(
         "embedding", "asked"
     )
     met = salted_join(stored, asked, ["band", "code"], "inner", spread_by=["vec_id"])
-    # A pair that meets in several bands is scored once, where its bands agree first.
     scored = met.select(
         "query_id", "vec_id", F.round(cosine("embedding", "asked"), DIGITS).alias("similarity")
-    ).distinct()
-    return _merged(scored, k)
+    )
+    # A pair meets in at most `bands` bands, so the k best pairs are among the first
+    # k * bands rows: ranking runs before the shuffle, repeats go afterwards.
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    ahead = scored.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k * bands)
+    return _merged(ahead.drop("_n").distinct(), k)
