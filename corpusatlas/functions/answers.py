@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusatlas.functions.binding import bind
+
 # Allowed tags, and the sub-records with the fields each must have.
 TAGS = ["ui", "dataAccess", "utility", "feature"]
 SUB_RECORDS = {
@@ -42,28 +44,30 @@ def _unless(ok: Column, error: str) -> Column:
 
 def errors(text: Column) -> Column:
     """Every rule the answer breaks, as an array of short names; empty when valid."""
-    answer = F.try_parse_json(text)
+    return bind(F.try_parse_json(text), _broken_rules)
+
+
+def _broken_rules(answer: Column) -> Column:
     is_object = F.coalesce(F.schema_of_variant(answer).startswith("OBJECT"), F.lit(False))
     found = [
         _unless(_is_string(answer, "$.fileDescription"), "fileDescription"),
         _unless(
-            _is_string(answer, "$.tag")
-            & F.coalesce(
-                F.try_variant_get(answer, "$.tag", "string").isin(*TAGS), F.lit(False)
+            F.coalesce(
+                F.try_variant_get(answer, "$.tag", "string").isin(*TAGS)
+                & _is_string(answer, "$.tag"),
+                F.lit(False),
             ),
             "tag",
         ),
     ]
     for record, fields in SUB_RECORDS.items():
-        given = _kind(answer, f"$.{record}").isNotNull()
+        given = F.try_variant_get(answer, f"$.{record}", "variant").isNotNull()
         for field, kind in fields.items():
             path = f"$.{record}.{field}"
             check = _is_string if kind == "string" else _is_string_list
-            found.append(
-                F.when(given & ~check(answer, path), F.lit(f"{record}.{field}"))
-            )
+            found.append(F.when(given & ~check(answer, path), F.lit(f"{record}.{field}")))
     return (
-        F.when(text.isNull() | answer.isNull(), F.array(F.lit("json")))
+        F.when(answer.isNull(), F.array(F.lit("json")))
         .when(~is_object, F.array(F.lit("object")))
         .otherwise(F.array_compact(F.array(*found)))
     )

@@ -7,47 +7,51 @@ from pyspark.sql import functions as F
 
 from corpusatlas.functions.binding import bind
 
-_NEEDS_FOLD = r"//|/$|(^|/)\.\.?(/|$)"
+# An empty, `.` or `..` segment.
+_NEEDS_FOLD = r"/(?:/|$|\.\.?(?:/|$))"
 
 
 def base_name(path: Column) -> Column:
     """Last segment, trailing slashes ignored."""
-    return F.regexp_extract(path, r"([^/]*)/*$", 1)
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
 
 
 def dir_name(path: Column) -> Column:
     """Everything before the last segment; `.` for a bare name, `/` at the root."""
-    head = F.regexp_extract(path, r"^([\s\S]*?)/+[^/]*/*$", 1)
-    return (
-        F.when(~path.contains("/"), F.lit("."))
-        .when(head == "", F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit(".")))
-        .otherwise(head)
-    )
+    trimmed = F.rtrim(path, F.lit("/"))
+    kept = F.length(trimmed) - F.length(base_name(path))
+    head = F.rtrim(F.substring(trimmed, F.lit(1), kept), F.lit("/"))
+    root = F.when(path.startswith("/"), "/").otherwise(".")
+    return F.when(head == "", root).otherwise(head)
 
 
 def extension(path: Column) -> Column:
     """From the last dot of the last segment; empty for dotfiles; case kept."""
     name = base_name(path)
-    return F.when(name == "..", F.lit("")).otherwise(
-        F.regexp_extract(name, r"^[\s\S]+?(\.[^.]*)$", 1)
-    )
+    tail = F.substring_index(name, ".", -1)
+    # The place of the last dot, 0 without one.
+    dot = F.length(name) - F.length(tail)
+    return F.when((dot > 1) & (name != ".."), F.concat(F.lit("."), tail)).otherwise("")
 
 
-def normalize(path: Column) -> Column:
-    """Absolute path with `.`, `..` and empty segments folded away.
-
-    Most paths need no fold, so the segment walk runs only for those that do.
-    """
+def _folded(path: Column) -> Column:
+    """Walk the segments: `.` and empty ones go, `..` takes the one before along."""
     segments = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
-    folded = F.aggregate(
+    kept = F.aggregate(
         segments,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    return F.when(
-        path.rlike(_NEEDS_FOLD), F.concat(F.lit("/"), F.array_join(folded, "/"))
-    ).otherwise(path)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def normalize(path: Column) -> Column:
+    """Absolute path with `.`, `..` and empty segments folded away.
+
+    Most paths need no fold, so the segment walk runs only for those that do.
+    """
+    return F.when(path.rlike(_NEEDS_FOLD), _folded(path)).otherwise(path)
 
 
 def resolve(base: Column, path: Column) -> Column:

@@ -54,7 +54,7 @@ _NAME = r"[A-Za-z_$#][\w$]*+"
 
 # One item of a list separated by commas outside brackets and quotes.
 _ITEM = (
-    rf"(?:=>|[^,(){{}}\[\]<>'\"`]|{_QUOTED}|\({_IN}\)|\{{{_IN}\}}|\[{_IN}\]|{_angled(3)}|[<>])++"
+    rf"(?:[^,(){{}}\[\]<>='\"`]++|=>|=|{_QUOTED}|\({_IN}\)|\{{{_IN}\}}|\[{_IN}\]|{_angled(3)}|[<>])++"
 )
 
 _RETURN = r"(?:[ \t]*:[ \t]*((?:\{[^{}\n]*+\}|[^{};\n])+?))?[ \t]*"
@@ -117,7 +117,9 @@ def _empty_to_null(text: Column) -> Column:
 
 def without_block_comments(text: Column) -> Column:
     """Drop block comments that open a line, keeping quoted glob patterns intact."""
-    return F.regexp_replace(text, _BLOCK_COMMENT, "")
+    return F.when(
+        text.contains("/*"), F.regexp_replace(text, _BLOCK_COMMENT, "")
+    ).otherwise(text)
 
 
 def import_specifiers(text: Column) -> Column:

@@ -10,7 +10,7 @@ from corpusatlas.operators import graph
 from corpusatlas.operators.manifest import context_kind
 from corpusatlas.operators.ordered import running
 from corpusatlas.operators.skew import ROWS_PER_SPLIT, salted_join
-from corpusatlas.session import materialise
+from corpusatlas.session import materialise, materialise_counted
 
 _ORDER = ["source", "place"]
 
@@ -44,6 +44,7 @@ def gather(
     split_owners: bool,
     limit: int = text.TOKEN_LIMIT,
     cut: int = text.CUT_CHARS,
+    rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Join the texts of `(owner, source, place, piece)` rows, one line end between.
 
@@ -53,8 +54,7 @@ def gather(
     `split_owners` is for owners that may have any number of pieces. Otherwise the
     pieces of an owner come from its own text and fit one task as that text did.
     """
-    pieces = materialise(pieces, "pieces")
-    n_pieces = pieces.count()
+    pieces, n_pieces = materialise_counted(pieces, "pieces")
     measured = salted_join(
         pieces,
         file_sizes.withColumnRenamed("abs_path", "piece"),
@@ -62,6 +62,7 @@ def gather(
         "left",
         spread_by=["owner", *_ORDER],
         at_most=n_pieces,
+        rows_per_split=rows_per_split,
     ).select(
         "owner",
         *_ORDER,
@@ -77,6 +78,7 @@ def gather(
             {"_end": ("sum", F.col("_chars")), "_all": ("sum", F.col("_tokens"))},
             totals=["_all"],
             at_most=n_pieces,
+            rows_per_task=rows_per_split,
         )
     else:
         whole = Window.partitionBy("owner")
@@ -93,10 +95,16 @@ def gather(
     )
     texts = contents.select(F.col("abs_path").alias("piece"), "content")
     body = F.coalesce("content", F.lit(""))
-    if n_pieces > ROWS_PER_SPLIT:
+    if n_pieces > rows_per_split:
         kept = materialise(kept, "kept")
     filled = salted_join(
-        kept, texts, ["piece"], "left", spread_by=["owner", *_ORDER], at_most=n_pieces
+        kept,
+        texts,
+        ["piece"],
+        "left",
+        spread_by=["owner", *_ORDER],
+        at_most=n_pieces,
+        rows_per_split=rows_per_split,
     ).withColumn(
         "_text",
         F.when(

@@ -59,11 +59,10 @@ def _sentences(content: Column) -> Column:
 
 def _summary(n: int) -> Column:
     """Pass `n` keeps what the last answer said and adds the next sentence."""
-    content = F.col("content")
     before = F.get_json_object(F.col("answer"), "$.fileDescription")
-    sentences = _sentences(content)
+    sentences = F.col("_sentences")
     detail = F.struct(
-        text.token_count(content).alias("tokens"),
+        F.col("_tokens").alias("tokens"),
         F.size(sentences).cast("bigint").alias("sentences"),
         F.col("answers").alias("verification"),
     )
@@ -114,6 +113,12 @@ def refine(files: DataFrame, passes: int = PASSES, model: Model | None = None) -
     the steps are built-in expressions and nothing leaves the JVM.
     """
     state = files.select("*", *(F.lit(None).cast(T.StringType()).alias(c) for c in _STATE))
+    if model is None:
+        # Facts of the text, worked out once for all passes.
+        content = F.col("content")
+        state = state.withColumns(
+            {"_sentences": _sentences(content), "_tokens": text.token_count(content)}
+        )
     for n in range(passes):
         if model is None:
             state = state.withColumn("answer", _summary(n))
@@ -125,7 +130,7 @@ def refine(files: DataFrame, passes: int = PASSES, model: Model | None = None) -
         if n == 0:
             state = _ask(state, model, "questions", "questions", n)
             state = _ask(state, model, "answers", "answers", n)
-    return state
+    return state.drop("_sentences", "_tokens")
 
 
 def validated(rows: DataFrame, column: str = "answer") -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusatlas.functions import paths, source
-from corpusatlas.operators.skew import salted_join
-from corpusatlas.session import materialise
+from corpusatlas.operators.skew import ROWS_PER_SPLIT, salted_join
+from corpusatlas.session import materialise, materialise_counted
 
 RELATIVE, BARE, ASSET = "relative", "bare", "asset"
 _LOOKUP = ["repo", "kind", "base", "specifier"]
@@ -122,31 +122,27 @@ def _alias_places(root: Column) -> Column:
     )
 
 
-def _candidates(base_url: str, use_base: bool) -> Column:
-    spec, kind = F.col("specifier"), F.col("kind")
-    root = paths.resolve(F.col("repo"), F.lit(base_url))
-    joined = paths.resolve(F.col("base"), spec)
-    from_root = paths.resolve(root, spec)
-    plain = F.array(
-        F.struct(
-            F.lit(_BASE_RANK).alias("rank"),
-            from_root.alias("target"),
-            F.lit(False).alias("file_only"),
-        ),
-        F.struct(
-            F.lit(_BASE_RANK + 1).alias("rank"),
-            F.concat(from_root, F.lit(".ts")).alias("target"),
-            F.lit(False).alias("file_only"),
-        ),
-    )
-    asset = F.array(
-        F.struct(F.lit(0).alias("rank"), joined.alias("target"), F.lit(False).alias("file_only"))
+def _candidates() -> Column:
+    """Ranked places; `_root` and `_place` are worked out once per lookup."""
+    kind, place = F.col("kind"), F.col("_place")
+
+    def loose(rank: int, target: Column) -> Column:
+        return F.struct(
+            F.lit(rank).alias("rank"), target.alias("target"), F.lit(False).alias("file_only")
+        )
+
+    from_root = F.array(
+        loose(_BASE_RANK, place), loose(_BASE_RANK + 1, F.concat(place, F.lit(".ts")))
     )
-    bare = F.concat(_alias_places(root), plain) if use_base else _alias_places(root)
     return (
-        F.when(kind == RELATIVE, _probes(joined, F.lit(0)))
-        .when(kind == ASSET, asset)
-        .otherwise(bare)
+        F.when(kind == RELATIVE, _probes(place, F.lit(0)))
+        .when(kind == ASSET, F.array(loose(0, place)))
+        .otherwise(
+            F.concat(
+                _alias_places(F.col("_root")),
+                F.when(F.col("_use_base"), from_root).otherwise(F.slice(from_root, 1, 0)),
+            )
+        )
     )
 
 
@@ -156,6 +152,7 @@ def resolve(
     aliases: Sequence[AliasRule] | DataFrame = (),
     base_url: str = ".",
     use_base: bool = True,
+    rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Add `target`, `resolved` and `is_external` to references.
 
@@ -164,10 +161,11 @@ def resolve(
     unresolved asset or module keeps its own text, and such a module is external.
     """
     base = F.when(F.col("kind") == BARE, F.lit("")).otherwise(paths.dir_name(F.col("abs_path")))
-    edges = materialise(refs.withColumn("base", base), "references")
-    lookups = materialise(edges.select(*_LOOKUP).distinct(), "lookups")
-    # A lookup names a place once or twice, so this also bounds the rows per place.
-    n_lookups = lookups.count()
+    edges, n_edges = materialise_counted(refs.withColumn("base", base), "references")
+    lookups, n_lookups = edges.select(*_LOOKUP).distinct(), n_edges
+    if n_edges > rows_per_split:
+        lookups, n_lookups = materialise_counted(lookups, "lookups")
+    # A lookup names a place once or twice, so its rows also bound those of a place.
     if isinstance(aliases, DataFrame):
         lookups = salted_join(
             lookups,
@@ -176,13 +174,23 @@ def resolve(
             "left",
             spread_by=["base", "specifier"],
             at_most=n_lookups,
+            rows_per_split=rows_per_split,
         )
     else:
         lookups = lookups.withColumn("_aliases", alias_column(aliases))
     no_alias = F.array().cast(_ALIASES)
+    root = paths.resolve(F.col("repo"), F.lit(base_url))
+    start = F.when(F.col("kind") == BARE, F.col("_root")).otherwise(F.col("base"))
     candidates = (
-        lookups.withColumn("_aliases", F.coalesce("_aliases", no_alias))
-        .select(*_LOOKUP, F.explode(_candidates(base_url, use_base)).alias("_c"))
+        lookups.withColumns(
+            {
+                "_aliases": F.coalesce("_aliases", no_alias),
+                "_use_base": F.lit(use_base),
+                "_root": root,
+            }
+        )
+        .withColumn("_place", paths.resolve(start, F.col("specifier")))
+        .select(*_LOOKUP, F.explode(_candidates()).alias("_c"))
         .select(*_LOOKUP, "_c.rank", "_c.target", "_c.file_only")
     )
     best = (
@@ -193,6 +201,7 @@ def resolve(
             "inner",
             spread_by=_LOOKUP,
             at_most=n_lookups,
+            rows_per_split=rows_per_split,
         )
         .where(F.col("is_file") | ~F.col("file_only"))
         .groupBy(*_LOOKUP)
@@ -201,7 +210,15 @@ def resolve(
     fallback = F.when(
         F.col("kind") == RELATIVE, paths.resolve(F.col("base"), F.col("specifier"))
     ).otherwise(F.col("specifier"))
-    return salted_join(edges, best, _LOOKUP, "left", spread_by=["abs_path", "pos"]).select(
+    return salted_join(
+        edges,
+        best,
+        _LOOKUP,
+        "left",
+        spread_by=["abs_path", "pos"],
+        at_most=n_edges,
+        rows_per_split=rows_per_split,
+    ).select(
         "repo",
         "path",
         "abs_path",

@@ -51,13 +51,30 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return located(code_files(spark, sf))
 
 
-def _edges(spark: SparkSession, sf: str, assets: bool = True) -> DataFrame:
-    refs = imports.references(_files(spark, sf), assets=assets)
-    return imports.resolve(refs, _manifest(spark, sf), ALIASES)
+class _Corpus:
+    """The code files as a stored table, as they would lie in a lake.
 
+    Queries that read them several times see plain columns, so filters and column
+    selection reach the scan instead of the formulas the view is made of.
+    """
 
-def _edge_table(spark: SparkSession, sf: str) -> DataFrame:
-    return materialise(_edges(spark, sf), "edges")
+    def __init__(self, spark: SparkSession, sf: str):
+        stored = materialise(located(code_files(spark, sf)), "code-files")
+        self.files = stored
+        self.contents = stored.select("abs_path", "content")
+        self.manifest = manifest.scan(stored.select("repo", "path"))
+
+    def references(self, assets: bool = True) -> DataFrame:
+        return imports.references(self.files, assets=assets)
+
+    def edges(self, assets: bool = True) -> DataFrame:
+        return imports.resolve(self.references(assets), self.manifest, ALIASES)
+
+    def edge_table(self) -> DataFrame:
+        return materialise(self.edges(), "edges")
+
+    def records(self) -> DataFrame:
+        return records.file_records(self.files, self.edges())
 
 
 def _document_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,30 +264,31 @@ def _resolution(edges: DataFrame) -> DataFrame:
 
 @query
 def resolve_relative_imports(spark, sf):
-    refs = imports.references(_files(spark, sf), assets=False)
-    relative = refs.where(F.col("kind") == imports.RELATIVE)
-    return _resolution(imports.resolve(relative, _manifest(spark, sf)))
+    corpus = _Corpus(spark, sf)
+    relative = corpus.references(assets=False).where(F.col("kind") == imports.RELATIVE)
+    return _resolution(imports.resolve(relative, corpus.manifest))
 
 
 @query
 def resolve_alias_imports(spark, sf):
-    refs = imports.references(_files(spark, sf), assets=False)
-    bare = refs.where(F.col("kind") == imports.BARE)
-    listed = _manifest(spark, sf)
+    corpus = _Corpus(spark, sf)
+    bare = corpus.references(assets=False).where(F.col("kind") == imports.BARE)
     # A table of rules per repository, as read from each one's settings.
-    table = listed.select("repo").distinct().withColumn("aliases", imports.alias_column(ALIASES))
-    return _resolution(imports.resolve(bare, listed, table, use_base=False))
+    repos = corpus.manifest.select("repo").distinct()
+    table = repos.withColumn("aliases", imports.alias_column(ALIASES))
+    return _resolution(imports.resolve(bare, corpus.manifest, table, use_base=False))
 
 
 @query
 def resolve_imports_all(spark, sf):
-    edges = _edges(spark, sf, assets=False)
+    edges = _Corpus(spark, sf).edges(assets=False)
     return edges.select("repo", "path", "pos", "specifier", "target", "resolved", "is_external")
 
 
 @query
 def augment_imports(spark, sf):
-    return _edges(spark, sf).select("repo", "path", "pos", "kind", "target", "resolved")
+    edges = _Corpus(spark, sf).edges()
+    return edges.select("repo", "path", "pos", "kind", "target", "resolved")
 
 
 @query
@@ -375,7 +393,7 @@ def tolerant_json_props(spark, sf):
 
 @query
 def file_record(spark, sf):
-    rows = records.file_records(_files(spark, sf), _edges(spark, sf))
+    rows = _Corpus(spark, sf).records()
 
     def names(column: str, field: str) -> Column:
         return F.array_join(F.transform(F.col(column), lambda x: x[field]), ",").alias(column)
@@ -393,43 +411,47 @@ def file_record(spark, sf):
 
 @query
 def internal_edges(spark, sf):
-    return graph.internal(_edges(spark, sf)).select("repo", "path", "pos", "target")
+    return graph.internal(_Corpus(spark, sf).edges()).select("repo", "path", "pos", "target")
+
+
+def _dependency_context(spark: SparkSession, sf: str, **limits) -> DataFrame:
+    corpus = _Corpus(spark, sf)
+    sizes = context.sizes(corpus.contents)
+    gathered = context.code_context(corpus.edges(), corpus.contents, sizes, **limits)
+    return gathered.select(F.col("owner").alias("abs_path"), "related", "n_tokens")
 
 
 @query
 def dependency_context(spark, sf):
-    contents = _files(spark, sf).select("abs_path", "content")
-    gathered = context.code_context(_edges(spark, sf), contents, context.sizes(contents))
-    return gathered.select(F.col("owner").alias("abs_path"), "related", "n_tokens")
+    return _dependency_context(spark, sf)
 
 
 @query
 def dependency_context_cut(spark, sf):
-    contents = _files(spark, sf).select("abs_path", "content")
-    gathered = context.code_context(
-        _edges(spark, sf), contents, context.sizes(contents), limit=40, cut=400
-    )
-    return gathered.select(F.col("owner").alias("abs_path"), "related", "n_tokens")
+    return _dependency_context(spark, sf, limit=40, cut=400)
 
 
 @query
 def template_importers(spark, sf):
-    found = graph.template_importers(_edge_table(spark, sf), _manifest(spark, sf))
+    corpus = _Corpus(spark, sf)
+    found = graph.template_importers(corpus.edge_table(), corpus.manifest)
     return found.select("template", "importer")
 
 
 @query
 def template_context(spark, sf):
-    contents = _files(spark, sf).select("abs_path", "content")
+    corpus = _Corpus(spark, sf)
+    sizes = context.sizes(corpus.contents)
     gathered = context.template_context(
-        _edge_table(spark, sf), _manifest(spark, sf), contents, context.sizes(contents)
+        corpus.edge_table(), corpus.manifest, corpus.contents, sizes
     )
     return gathered.select(F.col("owner").alias("template"), "related", "n_tokens")
 
 
 @query
 def prompt_assembly(spark, sf):
-    made = context.prompts(_files(spark, sf), _edge_table(spark, sf), _manifest(spark, sf))
+    corpus = _Corpus(spark, sf)
+    made = context.prompts(corpus.files, corpus.edge_table(), corpus.manifest)
     return made.select("repo", "path", "context_kind", "n_tokens", "prompt")
 
 
@@ -441,7 +463,7 @@ def filter_graph_nodes(spark, sf):
 
 @query
 def filter_graph_edges(spark, sf):
-    edges = graph.project_edges(_edges(spark, sf), depth=2)
+    edges = graph.project_edges(_Corpus(spark, sf).edges(), depth=2)
     return graph.filter_edges(edges, ["pkg3"])
 
 
@@ -518,7 +540,8 @@ def enrichment_outcome(spark, sf):
 
 @query
 def repo_summary(spark, sf):
-    return records.repo_summary(_manifest(spark, sf), _edge_table(spark, sf))
+    corpus = _Corpus(spark, sf)
+    return records.repo_summary(corpus.manifest, corpus.edge_table())
 
 
 @query
@@ -528,7 +551,7 @@ def repo_tag_rollup(spark, sf):
 
 @query
 def catalogue_lookup(spark, sf):
-    rows = records.file_records(_files(spark, sf), _edges(spark, sf))
+    rows = _Corpus(spark, sf).records()
     found = records.lookup(rows, repository="/r/app0", imports=["lodash"])
     return found.select("repository", "fileName")
 
@@ -548,7 +571,7 @@ def docs_from_files(spark, sf):
 
 @query
 def docs_from_records(spark, sf):
-    rows = records.file_records(_files(spark, sf), _edges(spark, sf))
+    rows = _Corpus(spark, sf).records()
     return _flat(documents.from_records(rows), "repository", "source")
 
 

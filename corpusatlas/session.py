@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -54,7 +55,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage like a reliable checkpoint, but is columnar: readers prune
     columns, and the planner sees the real size when it picks a join.
     """
+    return materialise_counted(df, label)[0]
+
+
+def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As `materialise`, with the rows written; retried tasks may be counted twice,
+    so take the number as an upper bound."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/corpusatlas/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), written.get["rows"]

@@ -61,7 +61,10 @@ FROM linked
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(k, repo, path, content)` for every row of `part`."""
-    return spark.sql(CODE_FILES_SQL.format(part=f"parquet.`{sf_dir}/part.parquet`"))
+    view = "corpusatlas_part"
+    part = spark.read.schema("p_partkey bigint").parquet(f"{sf_dir}/part.parquet")
+    part.createOrReplaceTempView(view)
+    return spark.sql(CODE_FILES_SQL.format(part=view))
 
 
 def located(files: DataFrame) -> DataFrame:
