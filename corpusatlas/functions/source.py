@@ -38,8 +38,7 @@ def _balanced(depth: int) -> str:
     plain = r"[^(){}\[\]'\"`]++"
     if depth == 0:
         return f"(?:{plain}|{_QUOTED})*+"
-    inner = _balanced(depth - 1)
-    return rf"(?:{plain}|{_QUOTED}|\({inner}\)|\{{{inner}\}}|\[{inner}\])*+"
+    return rf"(?:{plain}|{_QUOTED}|[({{\[]{_balanced(depth - 1)}[)}}\]])*+"
 
 
 def _angled(depth: int) -> str:
@@ -48,13 +47,13 @@ def _angled(depth: int) -> str:
     return rf"<(?:[^<>=]++|=>|={inner})*+>"
 
 
-_IN = _balanced(4)
+_IN = _balanced(24)
 _GENERIC = rf"(?:{_angled(3)})?"
 _NAME = r"[A-Za-z_$#][\w$]*+"
 
 # One item of a list separated by commas outside brackets and quotes.
 _ITEM = (
-    rf"(?:[^,(){{}}\[\]<>='\"`]++|=>|=|{_QUOTED}|\({_IN}\)|\{{{_IN}\}}|\[{_IN}\]|{_angled(3)}|[<>])++"
+    rf"(?:[^,(){{}}\[\]<>='\"`]++|=>|=|{_QUOTED}|[({{\[]{_IN}[)}}\]]|{_angled(3)}|[<>])++"
 )
 
 _RETURN = r"(?:[ \t]*:[ \t]*((?:\{[^{}\n]*+\}|[^{};\n])+?))?[ \t]*"
@@ -70,7 +69,8 @@ _DECORATOR_LINES = (
     r"(?:[ \t)}\]][^\n]*+\n|\n)*+)*+"
 )
 _INLINE_DECORATORS = r"(?:@[\w$.]++(?:\([^()\n]*+\))?[ \t]++)*+"
-_DECORATOR = rf"(?m)^@([\w$.]++)[ \t]*(?:\(({_IN})\))?"
+_DECORATOR_BLOCK = r"(?m)^@[^\n]*+(?:\n(?!@)[^\n]*+)*+"
+_ARGUMENTS = r"(?s)^@[\w$.]++\s*+\((.*)\)[^)]*$"
 
 _BODY = r"(?:\{([^{}\n]*+)\}|\{[^\n]*+\n(.*?)^\})"
 
@@ -91,7 +91,7 @@ _NOT_METHODS = "constructor|if|for|while|switch|catch|return|function|new|throw|
 _METHOD = (
     rf"(?m)({_DECORATOR_LINES})^({_INLINE_DECORATORS})"
     r"(?:(?:public|private|protected|static|async|abstract|override)[ \t]+)*+"
-    rf"\*?[ \t]*(?!(?:{_NOT_METHODS})[ \t]*+(?:\(|[A-Za-z_$]))({_NAME})\??[ \t]*{_GENERIC}[ \t]*"
+    rf"(?:\*[ \t]*)?(?!(?:{_NOT_METHODS})[ \t]*+(?:\(|[A-Za-z_$]))({_NAME})\??[ \t]*{_GENERIC}[ \t]*"
     rf"\(({_IN})\){_RETURN}(?:\{{|;|$)"
 )
 
@@ -166,17 +166,18 @@ def functions(text: Column) -> Column:
 def decorators(text: Column) -> Column:
     """Names and argument texts of the decorators in `text`, one per line start."""
     return F.transform(
-        _matches(text, _DECORATOR),
-        lambda m: F.struct(
-            F.regexp_extract(m, _DECORATOR, 1).alias("name"),
-            _items(F.regexp_extract(m, _DECORATOR, 2)).alias("arguments"),
+        _matches(text, _DECORATOR_BLOCK),
+        lambda block: F.struct(
+            F.regexp_extract(block, r"^@([\w$.]++)", 1).alias("name"),
+            _items(F.regexp_extract(block, _ARGUMENTS, 1)).alias("arguments"),
         ),
     )
 
 
-def _all_decorators(match: Column, pattern: str) -> Column:
+def _decorator_text(match: Column, pattern: str) -> Column:
+    """Decorator lines above a declaration, then those on its own line, a line each."""
     inline = F.regexp_replace(F.regexp_extract(match, pattern, 2), r"[ \t]+@", "\n@")
-    return F.concat(decorators(F.regexp_extract(match, pattern, 1)), decorators(inline))
+    return F.concat(F.regexp_extract(match, pattern, 1), inline)
 
 
 def _members(body: Column) -> Column:
@@ -196,7 +197,7 @@ def _methods(body: Column) -> Column:
             F.regexp_extract(m, _METHOD, 3).alias("name"),
             parameters(F.regexp_extract(m, _METHOD, 4)).alias("parameters"),
             _empty_to_null(F.regexp_extract(m, _METHOD, 5)).alias("returnType"),
-            _all_decorators(m, _METHOD).alias("decorators"),
+            decorators(_decorator_text(m, _METHOD)).alias("decorators"),
         ),
     )
 
@@ -207,7 +208,7 @@ def classes(text: Column) -> Column:
         _matches(without_block_comments(text), _CLASS),
         lambda m: F.struct(
             _empty_to_null(F.regexp_extract(m, _CLASS, 3)).alias("name"),
-            _all_decorators(m, _CLASS).alias("decorators"),
+            decorators(_decorator_text(m, _CLASS)).alias("decorators"),
             _methods(
                 F.concat(F.regexp_extract(m, _CLASS, 5), F.regexp_extract(m, _CLASS, 6))
             ).alias("methods"),
@@ -240,22 +241,19 @@ def interfaces(text: Column) -> Column:
     ).cast(INTERFACES)
 
 
-def class_decorators(text: Column) -> Column:
-    """Decorators of all classes in source order; methods are left alone."""
-    found = _matches(without_block_comments(text), _CLASS)
-    return F.flatten(F.transform(found, lambda m: _all_decorators(m, _CLASS)))
-
-
 def decorator_assets(text: Column) -> Column:
     """Template and style paths named by class decorators, template first."""
-    arguments = F.transform(class_decorators(text), lambda d: d["arguments"])
-    return F.flatten(F.transform(F.flatten(arguments), _assets_of))
+    found = _matches(without_block_comments(text), _CLASS)
+    blocks = F.transform(
+        found, lambda m: _matches(_decorator_text(m, _CLASS), _DECORATOR_BLOCK)
+    )
+    return F.flatten(F.transform(F.flatten(blocks), _assets_of))
 
 
-def _assets_of(argument: Column) -> Column:
-    template = F.regexp_extract(argument, r"templateUrl: '(.+)',", 1)
+def _assets_of(decorator: Column) -> Column:
+    template = F.regexp_extract(decorator, r"templateUrl: '(.+)',", 1)
     styles = F.transform(
-        F.split(F.regexp_extract(argument, r"styleUrls: \[(.+)\],", 1), ","),
+        F.split(F.regexp_extract(decorator, r"styleUrls: \[(.+)\],", 1), ","),
         lambda s: F.regexp_replace(F.trim(s), r"['\"]", ""),
     )
     return F.filter(F.concat(F.array(template), styles), lambda s: s != "")

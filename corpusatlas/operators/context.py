@@ -90,8 +90,9 @@ def gather(
             }
         )
     start = F.col("_end") - F.col("_chars")
+    # A piece that starts right at the cut is empty, but the line end before it counts.
     kept = placed.withColumn("_left", F.lit(cut) - start).where(
-        (F.col("_all_total") <= limit) | (F.col("_left") > 0)
+        (F.col("_all_total") <= limit) | (F.col("_left") >= 0)
     )
     texts = contents.select(F.col("abs_path").alias("piece"), "content")
     body = F.coalesce("content", F.lit(""))

@@ -57,9 +57,11 @@ def running(
             ),
         )
     inputs = {name: f"_in_{name}" for name in values}
+    # With a known size every slice holds about one task's rows, else as many as AQE packs.
+    n_slices = [] if at_most is None else [-(-at_most // rows_per_task)]
     sliced = materialise(
         df.withColumns({inputs[name]: column for name, (_, column) in values.items()})
-        .repartitionByRange(*group, *order)
+        .repartitionByRange(*n_slices, *group, *order)
         .withColumn(_SLICE, F.spark_partition_id()),
         "ordered",
     )
