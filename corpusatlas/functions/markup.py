@@ -61,6 +61,20 @@ def tag_names(html: Column) -> Column:
     return F.transform(_open_tags(html), _tag_name)
 
 
+def tag_counts(html: Column) -> Column:
+    """`array<struct<tag, n>>` counted inside the row, so nothing is shuffled."""
+    return bind(
+        tag_names(html),
+        lambda names: F.transform(
+            F.array_distinct(names),
+            lambda tag: F.struct(
+                tag.alias("tag"),
+                F.size(F.filter(names, lambda name: name == tag)).cast("bigint").alias("n"),
+            ),
+        ),
+    )
+
+
 def tags(html: Column) -> Column:
     """`array<struct<tag, attrs map>>`; the first of equal attribute names wins."""
     return F.transform(

@@ -138,39 +138,45 @@ def prompts(
     files: DataFrame,
     edges: DataFrame,
     manifest: DataFrame,
+    wanted: DataFrame | None = None,
+    contents: DataFrame | None = None,
     limit: int = text.TOKEN_LIMIT,
     cut: int = text.CUT_CHARS,
 ) -> DataFrame:
     """One prompt per file of `(repo, path, abs_path, ext, content)`.
 
     Tokens are counted per file and added, because slots stand between white space.
-    `edges` must be a table: it is read for both kinds of context.
+    `edges` must be a table: it is read for both kinds of context. `wanted` names by
+    `abs_path` the files to make prompts for; other files then serve as context only.
+    `contents` are the texts that may serve as context, by default those of `files`.
     """
-    # The texts of all listed files, eligible or not, serve as context.
-    contents = files.select("abs_path", "content")
+    contents = (files if contents is None else contents).select("abs_path", "content")
     file_sizes = sizes(contents)
-    bounds = {"limit": limit, "cut": cut}
-    related = code_context(edges, contents, file_sizes, **bounds).withColumn(
-        "_kind", F.lit("code")
-    ).unionByName(
-        template_context(edges, manifest, contents, file_sizes, **bounds).withColumn(
-            "_kind", F.lit("template")
+    code, template = graph.code_pieces(edges), graph.template_pieces(edges, manifest)
+    listed = files
+    if wanted is not None:
+        wanted = wanted.select("abs_path")
+        owners = wanted.withColumnRenamed("abs_path", "owner")
+        code = code.join(owners, "owner", "left_semi")
+        template = template.join(owners, "owner", "left_semi")
+        listed = files.join(wanted, "abs_path", "left_semi")
+    related = (
+        gather(code, contents, file_sizes, split_owners=False, limit=limit, cut=cut)
+        .withColumn("context_kind", F.lit("code"))
+        .unionByName(
+            gather(template, contents, file_sizes, split_owners=True, limit=limit, cut=cut)
+            .withColumn("context_kind", F.lit("template"))
         )
+        .withColumnsRenamed({"owner": "abs_path", "n_tokens": "_related_tokens"})
     )
     kind = context_kind(F.col("ext"))
-    listed = files.withColumn("context_kind", kind).where(kind.isNotNull())
-    joined = listed.join(
-        related.select(
-            F.col("owner").alias("abs_path"),
-            F.col("_kind").alias("context_kind"),
-            F.col("related").alias("_related"),
-            F.col("n_tokens").alias("_related_tokens"),
-        ),
-        ["abs_path", "context_kind"],
-        "left",
+    joined = (
+        listed.withColumn("context_kind", kind)
+        .where(kind.isNotNull())
+        .join(related, ["abs_path", "context_kind"], "left")
     )
     sentinel_tokens = len(text.NOT_APPLICABLE.split())
-    missing = F.coalesce(F.col("_related") == "", F.lit(True))
+    missing = F.coalesce(F.col("related") == "", F.lit(True))
     tokens = (
         F.lit(text.literal_tokens(PROMPT, _SLOTS) + sentinel_tokens).cast("bigint")
         + text.token_count(F.col("abs_path"))
@@ -181,16 +187,16 @@ def prompts(
         PROMPT,
         name=F.col("abs_path"),
         content=F.col("content"),
-        related=text.or_sentinel(F.col("_related")),
+        related=text.or_sentinel(F.col("related")),
         compiled=F.lit(text.NOT_APPLICABLE),
     )
-    return joined.select(
-        "repo", "path", "abs_path", "context_kind", tokens.alias("n_tokens"), prompt.alias("_prompt")
-    ).select(
+    made = joined.withColumns({"n_tokens": tokens, "_prompt": prompt})
+    return made.select(
         "repo",
         "path",
         "abs_path",
         "context_kind",
+        "content",
         "n_tokens",
         text.size_guard(F.col("_prompt"), F.col("n_tokens"), limit, cut).alias("prompt"),
     )

@@ -17,7 +17,7 @@ from corpusatlas.operators.skew import salted_join
 from corpusatlas.session import materialise
 
 MAX_QUERIES = 1_024
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 50_000
 DIGITS = 6
 _HITS = "query_id long, vec_id long, similarity double"
 

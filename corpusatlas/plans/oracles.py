@@ -51,6 +51,23 @@ _TAG = """CASE WHEN m IN (6, 9) THEN 'ui' WHEN m IN (7, 8) THEN 'dataAccess'
   WHEN m = 5 THEN 'utility' ELSE 'feature' END"""
 
 
+_PROMPTS = """
+code AS (
+  SELECT e.k, string_agg(coalesce(t.content, ''), chr(10) ORDER BY e.pos) AS related
+  FROM inner_refs e LEFT JOIN f t ON t.k = e.tk GROUP BY e.k
+), related AS (
+  SELECT k, related FROM code
+  UNION ALL SELECT t.k, i.content || chr(10) || s.content
+  FROM f t JOIN f i ON i.k = t.k - 6 JOIN f s ON s.k = t.k + 3 WHERE t.m = 6
+), made AS (
+  SELECT f.k, repo, path, m, 'Main file' || chr(10) || 'Name: ' || abs_path || chr(10) ||
+    'Content:' || chr(10) || content || chr(10) || chr(10) || 'Related files:' || chr(10) ||
+    coalesce(nullif(r.related, ''), 'Not Applicable Here') || chr(10) || chr(10) ||
+    'Compiled text:' || chr(10) || 'Not Applicable Here' || chr(10) AS prompt
+  FROM f LEFT JOIN related r ON r.k = f.k WHERE m <= 8
+)"""
+
+
 def _tokens(column: str) -> str:
     return rf"CAST(len(regexp_extract_all({column}, '[^ \n\t\r]+')) AS BIGINT)"
 
@@ -228,25 +245,15 @@ SELECT t.abs_path AS template, i.abs_path AS importer FROM f t JOIN f i ON i.k =
 SELECT t.abs_path AS template, i.content || chr(10) || s.content AS related,
   {_tokens("i.content")} + {_tokens("s.content")} AS n_tokens
 FROM f t JOIN f i ON i.k = t.k - 6 JOIN f s ON s.k = t.k + 3 WHERE t.m = 6""",
-    "prompt_assembly": f"""WITH {_EDGES}, code AS (
-  SELECT e.k, string_agg(coalesce(t.content, ''), chr(10) ORDER BY e.pos) AS related
-  FROM inner_refs e LEFT JOIN f t ON t.k = e.tk GROUP BY e.k
-), related AS (
-  SELECT k, related FROM code
-  UNION ALL SELECT t.k, i.content || chr(10) || s.content
-  FROM f t JOIN f i ON i.k = t.k - 6 JOIN f s ON s.k = t.k + 3 WHERE t.m = 6
-), made AS (
-  SELECT repo, path, m, 'Main file' || chr(10) || 'Name: ' || abs_path || chr(10) ||
-    'Content:' || chr(10) || content || chr(10) || chr(10) || 'Related files:' || chr(10) ||
-    coalesce(nullif(r.related, ''), 'Not Applicable Here') || chr(10) || chr(10) ||
-    'Compiled text:' || chr(10) || 'Not Applicable Here' || chr(10) AS prompt
-  FROM f LEFT JOIN related r ON r.k = f.k WHERE m <= 8
-)
+    "prompt_assembly": f"""WITH {_EDGES}, {_PROMPTS}
 SELECT repo, path,
   CASE WHEN m <= 5 THEN 'code' WHEN m = 6 THEN 'template' ELSE 'data' END AS context_kind,
   {_tokens("prompt")} AS n_tokens,
   CASE WHEN {_tokens("prompt")} > 120000 THEN substr(prompt, 1, 100000) ELSE prompt END AS prompt
 FROM made""",
+    "enrich_pending": f"""WITH {_EDGES}, {_PROMPTS}
+SELECT repo, path, {_tokens("prompt")} AS n_tokens, {_TAG} AS tag, 'valid' AS outcome
+FROM made JOIN part ON p_partkey = k WHERE NOT p_size < 25""",
     "filter_graph_nodes": f"""WITH {_FILES}
 SELECT repo, 'src/pkg' || (k % 7) AS project, count(*) AS n_files FROM f WHERE k % 7 <> 3 GROUP BY 1, 2""",
     "filter_graph_edges": f"""WITH {_EDGES}

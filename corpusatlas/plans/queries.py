@@ -20,6 +20,7 @@ from corpusatlas.operators import (
     telemetry,
     vectors,
 )
+from corpusatlas.plans import jobs
 from corpusatlas.session import materialise
 from corpusatlas.sources.code_files import ALIASES, code_files, located
 
@@ -357,9 +358,8 @@ def extract_interfaces(spark, sf):
 
 @query
 def html_tag_counts(spark, sf):
-    names = F.explode(markup.tag_names(F.col("html"))).alias("tag")
-    rows = _table(spark, sf, "pages").select("page_id", names)
-    return rows.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+    counts = F.inline(markup.tag_counts(F.col("html")))
+    return _table(spark, sf, "pages").select("page_id", counts)
 
 
 @query
@@ -538,6 +538,18 @@ def enrichment_outcome(spark, sf):
     return enrich.outcome(_answers(spark, sf)).select("doc_id", "outcome", "summary", "reason")
 
 
+@query
+def enrich_pending(spark, sf):
+    corpus = _Corpus(spark, sf)
+    done = _table(spark, sf, "part").where("p_size < 25").select(F.col("p_partkey").alias("k"))
+    summaries = manifest.scan(code_files(spark, sf).join(done, "k", "left_semi"))
+    catalogue = jobs.index(corpus.files.select("repo", "path", "content"), ALIASES)
+    made = jobs.enrich_pending(catalogue, summaries)
+    return made.select(
+        "repo", "path", "n_tokens", F.get_json_object("summary", "$.tag").alias("tag"), "outcome"
+    )
+
+
 @query
 def repo_summary(spark, sf):
     corpus = _Corpus(spark, sf)

@@ -49,6 +49,11 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it may go when the application ends."""
+    return f"{scratch_root(spark)}/corpusatlas/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -62,7 +67,7 @@ def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """As `materialise`, with the rows written; retried tasks may be counted twice,
     so take the number as an upper bound."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/corpusatlas/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     written = Observation()
     df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), written.get["rows"]
