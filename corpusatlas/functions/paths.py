@@ -61,6 +61,22 @@ def resolve(base: Column, path: Column) -> Column:
     )
 
 
+def from_folder(folder: Column, path: Column) -> Column:
+    """As `resolve`, for a folder that is already normal.
+
+    Leading `./` and `../` are settled with plain string functions, which is what
+    nearly all imports need; the segment walk is left for what remains.
+    """
+    plain = F.when(path.startswith("./"), F.substring(path, F.lit(3), F.length(path))).otherwise(path)
+    climbs = F.regexp_extract(plain, r"^(?:\.\./)+", 0)
+    levels = F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit("")))
+    left = F.greatest(levels + 1 - (F.length(climbs) / 3).cast("int"), F.lit(1))
+    kept = F.call_function("substring_index", folder, F.lit("/"), left)
+    below = F.substring(plain, F.length(climbs) + 1, F.length(plain))
+    joined = F.when(path.startswith("/"), path).otherwise(F.concat(kept, F.lit("/"), below))
+    return bind(joined, normalize)
+
+
 def ancestors(path: Column) -> Column:
     """Every folder above an absolute path, as an array (root excluded)."""
     return bind(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusatlas.functions import paths, source
 from corpusatlas.operators.skew import ROWS_PER_SPLIT, salted_join
-from corpusatlas.session import materialise, materialise_counted
+from corpusatlas.session import materialise_counted
 
 RELATIVE, BARE, ASSET = "relative", "bare", "asset"
 _LOOKUP = ["repo", "kind", "base", "specifier"]
@@ -23,7 +23,7 @@ _ALIASES = (
     "target_prefix:string,target_suffix:string,target_wild:boolean>>"
 )
 # Base places are tried after all alias places.
-_BASE_RANK = 1_000_000_000
+_BASE_RANK = 100_000_000
 
 
 @dataclass(frozen=True)
@@ -75,31 +75,46 @@ def references(contents: DataFrame, assets: bool = True) -> DataFrame:
 
 
 def existing_places(manifest: DataFrame) -> DataFrame:
-    """Files and all folders above them, as `(target, is_file)`."""
-    folders = manifest.select(paths.dir_name(F.col("abs_path")).alias("folder")).distinct()
+    """What a name can stand for: `(stem, target, probe, is_file)`.
+
+    A file answers to its own path (probe 0); an index file also to its folder (1); a
+    code file also to its path without `.ts` (2). Folders answer to their own path. The
+    endings are taken off the few files here and not tried on the many imports there.
+    """
+    path = F.col("abs_path")
+
+    def answers_to(stem: Column, probe: int) -> Column:
+        return F.struct(stem.alias("stem"), F.lit(probe).alias("probe"))
+
+    stems = F.array_compact(
+        F.array(
+            answers_to(path, 0),
+            F.when(
+                path.endswith("/index.ts"),
+                answers_to(F.substring(path, F.lit(1), F.length(path) - len("/index.ts")), 1),
+            ),
+            F.when(
+                path.endswith(".ts"),
+                answers_to(F.substring(path, F.lit(1), F.length(path) - len(".ts")), 2),
+            ),
+        )
+    )
+    files = manifest.select(path.alias("target"), F.inline(stems)).select(
+        "stem", "target", "probe", F.lit(True).alias("is_file")
+    )
+    folders = manifest.select(paths.dir_name(path).alias("folder")).distinct()
     above = folders.select(
-        F.explode(F.concat(F.array("folder"), paths.ancestors(F.col("folder")))).alias("target")
+        F.explode(F.concat(F.array("folder"), paths.ancestors(F.col("folder")))).alias("stem")
     ).distinct()
-    files = manifest.select(F.col("abs_path").alias("target"), F.lit(True).alias("is_file"))
-    return files.unionByName(above.withColumn("is_file", F.lit(False)))
-
-
-def _probes(place: Column, rank: Column) -> Column:
-    """The file itself, the index of a folder of that name, the name plus `.ts`."""
-    ends = ["", "/index.ts", ".ts"]
-    return F.array(
-        *(
-            F.struct(
-                (rank + n).alias("rank"),
-                F.concat(place, F.lit(end)).alias("target"),
-                F.lit(True).alias("file_only"),
-            )
-            for n, end in enumerate(ends)
+    return files.unionByName(
+        above.select(
+            "stem", F.col("stem").alias("target"), F.lit(0).alias("probe"), F.lit(False).alias("is_file")
         )
     )
 
 
-def _alias_places(root: Column) -> Column:
+def _alias_stems(root: Column) -> Column:
+    """Places named by the fitting rules, in order of pattern, then target."""
     spec = F.col("specifier")
 
     def matches(rule: Column) -> Column:
@@ -116,33 +131,42 @@ def _alias_places(root: Column) -> Column:
         middle = F.when(rule["target_wild"], captured).otherwise(F.lit(""))
         return paths.resolve(root, F.concat(rule["target_prefix"], middle, rule["target_suffix"]))
 
-    fitting = F.filter(F.col("_aliases"), matches)
-    return F.flatten(
-        F.transform(F.transform(fitting, place), lambda target, n: _probes(target, n * 3))
-    )
+    return F.transform(F.filter(F.col("_aliases"), matches), place)
+
 
+def _places() -> Column:
+    """Ranked places of a lookup with the way each may be answered.
 
-def _candidates() -> Column:
-    """Ranked places; `_root` and `_place` are worked out once per lookup."""
+    `module` takes a file, an index or a code file; `base` a file, a folder or a code
+    file; `asset` only what has this very path.
+    """
     kind, place = F.col("kind"), F.col("_place")
 
-    def loose(rank: int, target: Column) -> Column:
+    def named(form: str, stem: Column, rank: Column) -> Column:
         return F.struct(
-            F.lit(rank).alias("rank"), target.alias("target"), F.lit(False).alias("file_only")
+            rank.cast("int").alias("rank"), stem.alias("stem"), F.lit(form).alias("form")
         )
 
-    from_root = F.array(
-        loose(_BASE_RANK, place), loose(_BASE_RANK + 1, F.concat(place, F.lit(".ts")))
+    single = F.array(named("module", place, F.lit(0)))
+    aliased = F.transform(
+        _alias_stems(F.col("_root")), lambda stem, n: named("module", stem, n)
     )
+    from_base = F.array(named("base", place, F.lit(_BASE_RANK)))
     return (
-        F.when(kind == RELATIVE, _probes(place, F.lit(0)))
-        .when(kind == ASSET, F.array(loose(0, place)))
-        .otherwise(
-            F.concat(
-                _alias_places(F.col("_root")),
-                F.when(F.col("_use_base"), from_root).otherwise(F.slice(from_root, 1, 0)),
-            )
-        )
+        F.when(kind == RELATIVE, single)
+        .when(kind == ASSET, F.array(named("asset", place, F.lit(0))))
+        .when(F.col("_use_base"), F.concat(aliased, from_base))
+        .otherwise(aliased)
+    )
+
+
+def _answers_form() -> Column:
+    """Whether an existing place may answer a name of this form."""
+    form, probe = F.col("form"), F.col("probe")
+    return (
+        F.when(form == "module", F.col("is_file"))
+        .when(form == "base", probe != 1)
+        .otherwise(probe == 0)
     )
 
 
@@ -162,57 +186,58 @@ def resolve(
     """
     base = F.when(F.col("kind") == BARE, F.lit("")).otherwise(paths.dir_name(F.col("abs_path")))
     edges, n_edges = materialise_counted(refs.withColumn("base", base), "references")
-    lookups, n_lookups = edges.select(*_LOOKUP).distinct(), n_edges
-    if n_edges > rows_per_split:
-        lookups, n_lookups = materialise_counted(lookups, "lookups")
-    # A lookup names a place once or twice, so its rows also bound those of a place.
+    # However often a module is imported, it is looked up once per folder or repository.
+    # Stored, so that the numbers given here stay the same wherever they are read.
+    root = paths.resolve(F.col("repo"), F.lit(base_url))
+    start = F.when(F.col("kind") == BARE, root).otherwise(F.col("base"))
+    lookups, n_lookups = materialise_counted(
+        edges.select(*_LOOKUP)
+        .distinct()
+        .withColumns(
+            {
+                "_id": F.monotonically_increasing_id(),
+                "_place": paths.from_folder(start, F.col("specifier")),
+            }
+        ),
+        "lookups",
+    )
+    asked = lookups
     if isinstance(aliases, DataFrame):
-        lookups = salted_join(
+        asked = salted_join(
             lookups,
             aliases.select("repo", F.col("aliases").alias("_aliases")),
             ["repo"],
             "left",
-            spread_by=["base", "specifier"],
+            spread_by=["_id"],
             at_most=n_lookups,
             rows_per_split=rows_per_split,
         )
     else:
-        lookups = lookups.withColumn("_aliases", alias_column(aliases))
-    no_alias = F.array().cast(_ALIASES)
-    root = paths.resolve(F.col("repo"), F.lit(base_url))
-    start = F.when(F.col("kind") == BARE, F.col("_root")).otherwise(F.col("base"))
-    candidates = (
-        lookups.withColumns(
-            {
-                "_aliases": F.coalesce("_aliases", no_alias),
-                "_use_base": F.lit(use_base),
-                "_root": root,
-            }
-        )
-        .withColumn("_place", paths.resolve(start, F.col("specifier")))
-        .select(*_LOOKUP, F.explode(_candidates()).alias("_c"))
-        .select(*_LOOKUP, "_c.rank", "_c.target", "_c.file_only")
-    )
+        asked = lookups.withColumn("_aliases", alias_column(aliases))
+    places = asked.withColumns(
+        {
+            "_aliases": F.coalesce("_aliases", F.array().cast(_ALIASES)),
+            "_use_base": F.lit(use_base),
+            "_root": root,
+        }
+    ).select("_id", F.inline(_places()))
+    # A place is hot only if very many folders look it up; adaptive execution splits it.
     best = (
-        salted_join(
-            candidates,
-            existing_places(manifest),
-            ["target"],
-            "inner",
-            spread_by=_LOOKUP,
-            at_most=n_lookups,
-            rows_per_split=rows_per_split,
-        )
-        .where(F.col("is_file") | ~F.col("file_only"))
-        .groupBy(*_LOOKUP)
-        .agg(F.min_by("target", "rank").alias("_best"))
+        places.join(existing_places(manifest), "stem")
+        .where(_answers_form())
+        .groupBy("_id")
+        .agg(F.min_by("target", F.struct("rank", "probe")).alias("_best"))
+    )
+    # What stays unresolved keeps its joined path, or its own text.
+    fallback = F.when(F.col("kind") == RELATIVE, F.col("_place")).otherwise(F.col("specifier"))
+    answered = lookups.join(best, "_id", "left").select(
+        *_LOOKUP,
+        F.coalesce("_best", fallback).alias("target"),
+        F.col("_best").isNotNull().alias("resolved"),
     )
-    fallback = F.when(
-        F.col("kind") == RELATIVE, paths.resolve(F.col("base"), F.col("specifier"))
-    ).otherwise(F.col("specifier"))
     return salted_join(
         edges,
-        best,
+        answered,
         _LOOKUP,
         "left",
         spread_by=["abs_path", "pos"],
@@ -225,7 +250,7 @@ def resolve(
         "pos",
         "kind",
         "specifier",
-        F.coalesce("_best", fallback).alias("target"),
-        F.col("_best").isNotNull().alias("resolved"),
-        (F.col("_best").isNull() & (F.col("kind") == BARE)).alias("is_external"),
+        "target",
+        "resolved",
+        (~F.col("resolved") & (F.col("kind") == BARE)).alias("is_external"),
     )

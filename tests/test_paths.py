@@ -53,6 +53,25 @@ def test_normalize_property(evaluate, parts):
     assert evaluate(paths.normalize, once) == once
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(
+            st.lists(st.sampled_from(["a", "b.c", "..x"]), max_size=3),
+            st.lists(st.sampled_from(["a", "..", ".", "", "b", "..."]), max_size=6),
+        ),
+        min_size=5, max_size=20,
+    )
+)
+def test_from_folder_equals_resolve(spark, pairs):
+    rows = [(i, "/" + "/".join(a), "/".join(b)) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i int, folder string, path string").select(
+        "i", paths.from_folder(F.col("folder"), F.col("path")).alias("fast"),
+        paths.resolve(F.col("folder"), F.col("path")).alias("slow"),
+    )
+    assert [(r.i, r.fast) for r in df.collect()] == [(r.i, r.slow) for r in df.collect()]
+
+
 @pytest.mark.parametrize("spec,base,expected", [("./x", "/r/s", "/r/s/x"), ("../../x", "/r/s", "/x")])
 def test_resolve_relative(spark, spec, base, expected):
     assert spark.range(1).select(paths.resolve(F.lit(base), F.lit(spec))).first()[0] == expected

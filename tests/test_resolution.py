@@ -190,7 +190,12 @@ def test_markers_content_and_kinds(spark, corpus):
 
 
 def test_folders(spark):
-    listed = manifest.scan(spark.createDataFrame([("/r", "a/b/c.ts")], "repo string, path string"))
-    got = {r.target: r.is_file for r in imports.existing_places(listed).collect()}
-    assert got == {"/r": False, "/r/a": False, "/r/a/b": False, "/r/a/b/c.ts": True}
+    listed = manifest.scan(spark.createDataFrame([("/r", "a/b/c.ts"), ("/r", "i/index.ts")], "repo string, path string"))
+    got = {(r.stem, r.probe): (r.target, r.is_file) for r in imports.existing_places(listed).collect()}
+    assert got == {
+        ("/r", 0): ("/r", False), ("/r/a", 0): ("/r/a", False), ("/r/a/b", 0): ("/r/a/b", False),
+        ("/r/a/b/c.ts", 0): ("/r/a/b/c.ts", True), ("/r/a/b/c", 2): ("/r/a/b/c.ts", True),
+        ("/r/i/index.ts", 0): ("/r/i/index.ts", True), ("/r/i", 1): ("/r/i/index.ts", True),
+        ("/r/i/index", 2): ("/r/i/index.ts", True), ("/r/i", 0): ("/r/i", False),
+    }
     assert spark.range(1).select(paths.dir_name(F.lit("/r"))).first()[0] == "/"
