@@ -62,7 +62,10 @@ def enrich_pending(
     A `model` finds the prompt beside the content. Failed files come out as
     quarantine and stay pending.
     """
-    pending = manifest.pending(catalogue.manifest, summaries)
+    # Paths only, and wanted three times.
+    pending = materialise(
+        manifest.pending(catalogue.manifest, summaries).select("abs_path"), "pending"
+    )
     prompts = context.prompts(
         catalogue.files,
         catalogue.edges,
