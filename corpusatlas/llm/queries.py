@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusatlas.llm import decontaminate, near_dedup, quality
+from corpusatlas.llm import decontaminate, near_dedup, quality, substring_dedup
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's three-word shingles and similarity of 0.85."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
@@ -34,6 +41,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontaminate, op6_near_dedup, op8_quality_rules)
+    f.__name__: f for f in (op4_decontaminate, op5_substring_dedup, op6_near_dedup, op8_quality_rules)
 }
 ORACLES: dict[str, str] = {}
