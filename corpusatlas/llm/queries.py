@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusatlas.llm import decontaminate, near_dedup, quality, substring_dedup
+from corpusatlas.llm import decontaminate, language, near_dedup, quality, site_lines, substring_dedup, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,11 +36,36 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out())
+    model = language.fit(docs.where("not held_out"))
+    found = language.predicted(docs, model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's source is its site."""
+    cleaned = site_lines.without_boilerplate(_table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "source", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), "text"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontaminate, op5_substring_dedup, op6_near_dedup, op8_quality_rules)
+    f.__name__: f
+    for f in (
+        op4_decontaminate, op5_substring_dedup, op6_near_dedup, op7_language_id, op8_quality_rules, op9_warc,
+        op10_line_dedup,
+    )
 }
 ORACLES: dict[str, str] = {}
