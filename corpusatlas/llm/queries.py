@@ -7,13 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusatlas.llm import decontaminate, language, near_dedup, quality, site_lines, substring_dedup, warc
+from corpusatlas.llm import decontaminate, language, main_text, near_dedup, pieces, quality, secrets, site_lines, substring_dedup, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.found_secrets(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id", *(of(kind).alias(f"n_{kind}") for kind in secrets.BASE),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extracted(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+def model_file() -> str:
+    """The public piece model; set `spark.corpusatlas.pieceModel` to use another one."""
+    session = SparkSession.getActiveSession()
+    named = session.conf.get("spark.corpusatlas.pieceModel", None) if session else None
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    vocabulary = pieces.Vocabulary.load(model_file())
+    rows = pieces.decoded(pieces.encoded(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return rows.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids",
+        (F.sha2(F.col("text").cast("binary"), 256) == F.lower(F.hex("text_sha256"))).alias("round_trip"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -64,8 +104,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op4_decontaminate, op5_substring_dedup, op6_near_dedup, op7_language_id, op8_quality_rules, op9_warc,
+        op1_secret_scan, op2_main_text, op3_sentencepiece, op4_decontaminate, op5_substring_dedup, op6_near_dedup, op7_language_id, op8_quality_rules, op9_warc,
         op10_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_secret_scan": secrets.oracle()}
