@@ -2,14 +2,17 @@
 
 A text becomes words at places that no piece of the vocabulary spans, so words can be
 encoded one by one. Texts are read in chunks; a chunk holds its distinct words once and its
-texts as packed word numbers, and is all that is shuffled. Then, for every word:
+texts as packed word numbers, so no text is shuffled. The words of all chunks are dealt out
+by word, and for every distinct one:
 
 1. its substrings up to the longest piece are exploded,
 2. an equi-join with the piece table (as large as the model file) keeps those that are
    pieces; a character that is no piece stays as an edge of its own,
-3. the edges are grouped by word, which needs no shuffle after the chunks' own,
+3. the edges are grouped by word, which needs no further shuffle,
 4. a higher-order aggregate folds them into one path.
 
+The paths go back to the words of every chunk, packed, and a chunk looks up its numbers.
+
 The fold follows the kind of the model. A unigram model takes the path with the greatest sum
 of scores (Viterbi: edges come by their end, the best path to every place is kept, equal
 scores go to the longer last piece). The scores of a merge model are the ranks of its
@@ -48,6 +51,7 @@ MARK = "▁"
 #: The places of a word are bits of one number.
 LONGEST_WORD = 62
 CHUNK_BYTES = 24 << 20
+_NUMBER_BITS = 26
 #: What a character without a piece scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -101,8 +105,12 @@ class Vocabulary:
         )
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(p, i, s, p in self.late) for p, (i, s) in self.pieces.items()]
-        return spark.createDataFrame(rows, "piece string, id int, score double, late boolean")
+        ranked = sorted(self.pieces.items(), key=lambda x: -x[1][1])
+        rank, rows, last = -1, [], None
+        for piece, (number, score) in ranked:
+            rank, last = (rank if score == last else rank + 1), score
+            rows.append((piece, number, score, rank, piece in self.late))
+        return spark.createDataFrame(rows, "piece string, id int, score double, rank bigint, late boolean")
 
     def encode_word(self, word: str) -> list[int]:
         return self._merged(word) if self.merges else self._best(word)
@@ -225,7 +233,7 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BYT
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(shared.value.words).findall
-        first = TaskContext.get().partitionId() << 32
+        first = TaskContext.get().partitionId() << 12
         made = 0
 
         def emit() -> pa.RecordBatch:
@@ -262,9 +270,11 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BYT
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`(chunk, number, edges)` for `(chunk, number, word)`: the pieces inside every word.
+    """`(word, edges)` for `(word)`: the pieces inside every word, ready to be folded.
 
-    Edges are ready to be folded: by end for the best path, by rank for merges.
+    An edge of a unigram model is a struct that sorts by end and start. An edge of a merge
+    model is one number that sorts by rank and start: rank, start (6 bits), length (6),
+    late (1), no piece (1), id or code point (21).
     """
     pieces = vocabulary.frame(words.sparkSession)
     starts = words.withColumn("size", F.char_length("word")).withColumn(
@@ -272,55 +282,64 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     longest = F.least(F.lit(vocabulary.longest), F.col("size") - F.col("start"))
     cut = starts.withColumn("length", F.explode(F.sequence(F.lit(1), longest))).select(
-        "chunk", "number", "start", (F.col("start") + F.col("length")).alias("end"),
-        F.substring("word", F.col("start") + 1, F.col("length")).alias("piece"),
+        "word", "start", "length", F.substring("word", F.col("start") + 1, F.col("length")).alias("piece")
     )
-    alone = F.col("end") - F.col("start") == 1
-    piece_id = F.coalesce("id", -F.ascii("piece") - 1).alias("id")
     if vocabulary.merges:
-        edge = F.struct(
-            (-F.coalesce("score", F.lit(vocabulary.unknown))).alias("rank"), "start",
-            F.expr("shiftleft(1L, start) | shiftleft(1L, end)").alias("ends"),
-            F.expr("(shiftleft(1L, end) - 1) & ~(shiftleft(1L, start + 1) - 1)").alias("inside"),
-            F.coalesce("late", F.lit(False)).alias("late"), piece_id,
+        edge = F.expr(
+            f"shiftleft(coalesce(rank, {len(vocabulary.pieces)}L), 35) | shiftleft(cast(start as bigint), 29) | "
+            "shiftleft(cast(length as bigint), 23) | if(late, 4194304L, 0L) | if(id is null, 2097152L, 0L) | "
+            "cast(coalesce(id, ascii(piece)) as bigint)"
         )
     else:
-        edge = F.struct("end", "start", piece_id, F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"))
+        edge = F.struct(
+            (F.col("start") + F.col("length")).alias("end"), "start",
+            F.coalesce("id", -F.ascii("piece") - 1).alias("id"),
+            F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"),
+        )
     return (
         cut.join(F.broadcast(pieces), "piece", "left")
-        .where(F.col("id").isNotNull() | alone)
-        .select("chunk", "number", edge.alias("edge"))
-        .groupBy("chunk", "number").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+        .where(F.col("id").isNotNull() | (F.col("length") == 1))
+        .select("word", edge.alias("edge"))
+        .groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     )
 
 
 def merged_path(edges: str) -> Column:
     """Merge the edges by rank; null if a late piece was merged, so that order is in doubt.
 
-    The state is a number with a bit for every place that is still an end of a piece.
+    The state is a number with a bit for every place that is still an end of a piece; its
+    highest bit tells of doubt.
     """
-    start = F.struct(F.lit((1 << (LONGEST_WORD + 1)) - 1).cast("bigint").alias("open"), F.lit(False).alias("doubt"))
+    one, doubt = F.lit(1).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")
+
+    def field(e: Column, shift: int, bits: int) -> Column:
+        return F.shiftright(e, shift).bitwiseAND((1 << bits) - 1).cast("int")
+
+    def left(value: Column, by: Column) -> Column:
+        return F.call_function("shiftleft", value, by)
+
+    def ends(e: Column) -> Column:
+        start = field(e, 29, 6)
+        return left(one, start).bitwiseOR(left(one, start + field(e, 23, 6)))
+
+    def inside(e: Column) -> Column:
+        # length - 1 bits above the start
+        return left(left(one, field(e, 23, 6) - 1) - 1, field(e, 29, 6) + 1)
 
     def step(s: Column, e: Column) -> Column:
-        joins = (s["open"].bitwiseAND(e["ends"]) == e["ends"]) & (
-            F.bit_count(s["open"].bitwiseAND(e["inside"])) == 1
-        )
-        return F.when(
-            joins,
-            F.struct(
-                s["open"].bitwiseAND(F.bitwise_not(e["inside"])).alias("open"), (s["doubt"] | e["late"]).alias("doubt")
-            ),
-        ).otherwise(s)
+        joins = (s.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(s.bitwiseAND(inside(e))) == 1)
+        merged = s.bitwiseAND(F.bitwise_not(inside(e)))
+        return F.when(joins, F.when(field(e, 22, 1) == 1, merged.bitwiseOR(doubt)).otherwise(merged)).otherwise(s)
 
     def path(s: Column) -> Column:
-        used = F.filter(
-            edges,
-            lambda e: (s["open"].bitwiseAND(e["ends"]) == e["ends"]) & (s["open"].bitwiseAND(e["inside"]) == 0),
+        used = F.filter(edges, lambda e: (s.bitwiseAND(ends(e)) == ends(e)) & (s.bitwiseAND(inside(e)) == 0))
+        by_start = F.array_sort(F.transform(used, lambda e: e.bitwiseAND((1 << 35) - 1)))
+        ids = F.transform(
+            by_start, lambda e: F.when(field(e, 21, 1) == 1, -field(e, 0, 21) - 1).otherwise(field(e, 0, 21))
         )
-        by_start = F.array_sort(F.transform(used, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
-        return F.when(~s["doubt"], F.transform(by_start, lambda e: e["id"]))
+        return F.when(s >= 0, ids)
 
-    return F.aggregate(edges, start, step, path)
+    return F.aggregate(edges, F.lit((1 << (LONGEST_WORD + 1)) - 1).cast("bigint"), step, path)
 
 
 def best_path(edges: str) -> Column:
@@ -345,6 +364,51 @@ def best_path(edges: str) -> Column:
     return F.aggregate(edges, state, step, lambda s: s["best"]["ids"])
 
 
+_PATHS = pa.schema(
+    [
+        ("chunk", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
+        ("numbers", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()),
+    ]
+)
+
+
+def _pack_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`(place, ids)` rows as one packed row for each chunk; a count of -1 stands for null ids."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        place = table["place"].to_numpy()
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        lists = pa.concat_arrays(table["ids"].chunks).take(pa.array(order))
+        counts = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        stops = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))])
+        chunk = place >> _NUMBER_BITS
+        begins = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+        rows = []
+        for a, b in zip(begins, [*begins[1:], len(chunk)]):
+            number = (place[a:b] & ((1 << _NUMBER_BITS) - 1)).astype(np.uint32)
+            rows.append(
+                (
+                    int(chunk[a]), int(b - a), int(stops[b] - stops[a]),
+                    packed(np.diff(number, prepend=np.uint32(0))), packed(counts[a:b]), packed(values[stops[a] : stops[b]]),
+                )
+            )
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PATHS)], schema=_PATHS)
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= 500_000:
+            yield flush(held)
+            held, n = [], 0
+    if held:
+        yield flush(held)
+
+
 _FOUND = pa.schema(
     [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text_sha256", pa.binary())]
 )
@@ -373,21 +437,20 @@ def _assemble(vocabulary: Vocabulary, shared):
         n_words = len(row["words"])
         long_at = np.array(row["long_words"].as_py(), dtype=np.int64)
         long_ids = row["long_pieces"].as_py()
-        number = np.concatenate([folded["number"].to_numpy(), long_at]).astype(np.int64)
-        lists = pa.concat_arrays(folded["ids"].chunks) if folded.num_rows else pa.array([], pa.list_(pa.int32()))
+        parts = folded.to_pylist()
+        number = np.concatenate(
+            [np.zeros(0, np.int64), *(np.cumsum(unpacked(p["numbers"], p["n"], np.uint32)) for p in parts)]
+        ).astype(np.int64)
+        lengths = np.concatenate([np.zeros(0, np.int64), *(unpacked(p["counts"], p["n"], np.int32) for p in parts)])
+        flat = np.concatenate([np.zeros(0, np.int64), *(unpacked(p["ids"], p["total"], np.int32) for p in parts)])
         # Words whose order of merges is in doubt come without ids.
-        known = lists.is_valid().to_numpy(zero_copy_only=False)
+        known = lengths >= 0
         words = row["words"].values
-        again = [(n, shared.value.encode_word(words[n].as_py())) for n in number[: len(lists)][~known].tolist()]
-        number = np.concatenate([number[: len(lists)][known], [n for n, _ in again], long_at]).astype(np.int64)
+        again = [(n, shared.value.encode_word(words[n].as_py())) for n in number[~known].tolist()]
+        number = np.concatenate([number[known], [n for n, _ in again], long_at]).astype(np.int64)
         extra = [ids for _, ids in again] + long_ids
-        lists = lists.filter(pa.array(known))
-        counts = np.concatenate(
-            [lists.value_lengths().to_numpy(zero_copy_only=False), [len(x) for x in extra]]
-        ).astype(np.int64)
-        values = np.concatenate(
-            [lists.flatten().to_numpy(zero_copy_only=False), [i for ids in extra for i in ids]]
-        ).astype(np.int64)
+        counts = np.concatenate([lengths[known], [len(x) for x in extra]]).astype(np.int64)
+        values = np.concatenate([flat, [i for ids in extra for i in ids]]).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(counts)])
         values, bounds = with_bytes(values, bounds)
         begin, count = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
@@ -420,16 +483,23 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     """`(doc_id, ids, text_sha256)` for every row; the digest is that of the text's bytes."""
     spark = docs.sparkSession
     packed_chunks = chunks(docs, vocabulary, chunk_bytes).repartition("chunk")
-    words = packed_chunks.select("chunk", F.posexplode("words").alias("number", "word")).where("word <> ''")
+    places = (
+        packed_chunks.select("chunk", F.posexplode("words").alias("number", "word")).where("word <> ''")
+        .select((F.shiftleft("chunk", _NUMBER_BITS) + F.col("number")).alias("place"), "word")
+        .repartition("word")
+    )
     fold = merged_path if vocabulary.merges else best_path
-    folded = lattice(words, vocabulary).select(F.col("chunk").alias("of_chunk"), "number", fold("edges").alias("ids"))
+    folded = lattice(places.select("word").distinct(), vocabulary).select("word", fold("edges").alias("ids"))
+    paths = places.join(folded, "word").select("place", "ids").mapInArrow(
+        _pack_paths, "chunk bigint, n bigint, total bigint, numbers binary, counts binary, ids binary"
+    )
     assemble = _assemble(vocabulary, spark.sparkContext.broadcast(vocabulary))
 
     def join(chunk: pa.Table, found: pa.Table) -> pa.Table:
         return assemble(chunk, found) if chunk.num_rows else _FOUND.empty_table()
 
     return (
-        packed_chunks.groupBy("chunk").cogroup(folded.groupBy("of_chunk"))
+        packed_chunks.groupBy("chunk").cogroup(paths.groupBy("chunk"))
         .applyInArrow(join, "doc_id bigint, ids array<int>, text_sha256 binary")
     )
 
