@@ -1,9 +1,9 @@
 """SentencePiece encoding over a relational lattice, and decoding.
 
 A text becomes words at places that no piece of the vocabulary spans, so words can be
-encoded one by one. Texts are read in chunks; a chunk holds its distinct words once and its
-texts as packed word numbers, so no text is shuffled. The words of all chunks are dealt out
-by word, and for every distinct one:
+encoded one by one. Texts are read in chunks; a chunk is its distinct words, sorted, and its
+texts as packed word numbers, so no text is shuffled. One exchange deals the words out by
+a hash of the word and the numbers by chunk. For every distinct word:
 
 1. its substrings up to the longest piece are exploded,
 2. an equi-join with the piece table (as large as the model file) keeps those that are
@@ -37,6 +37,8 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ from corpusatlas.llm.substring_dedup import packed, unpacked
 MARK = "▁"
 #: The places of a word are bits of one number.
 LONGEST_WORD = 62
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 _NUMBER_BITS = 26
 #: What a character without a piece scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -216,36 +218,53 @@ def _word_pattern(pieces: dict) -> str:
 
 _CHUNK = pa.schema(
     [
-        ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-        ("words", pa.list_(pa.string())), ("numbers", pa.binary()), ("digests", pa.list_(pa.binary())),
-        ("long_words", pa.list_(pa.int32())), ("long_pieces", pa.list_(pa.list_(pa.int32()))),
+        ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("n_words", pa.int64()),
+        ("numbers", pa.binary()), ("digests", pa.list_(pa.binary())),
+        ("own_words", pa.list_(pa.int32())), ("own_pieces", pa.list_(pa.list_(pa.int32()))),
     ]
 )
-_CHUNK_DDL = (
-    "chunk bigint, ids array<bigint>, sizes array<int>, words array<string>, numbers binary, digests array<binary>, "
-    "long_words array<int>, long_pieces array<array<int>>"
-)
+_SENT = pa.schema([("dest", pa.int64()), ("base", pa.int64()), ("data", pa.binary())])
+_BREAK = "\n"
+
 
+def chunks(docs: DataFrame, vocabulary: Vocabulary, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """`(dest, base, data)`, from about `chunk_bytes` of text at a time.
 
-def chunks(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Texts as distinct words and packed word numbers, about `chunk_bytes` of text a row."""
+    For a bucket of words, dest is its number, data the sorted words and base the place of
+    the first: the chunk and the number of the word in it. For a chunk, dest is negative and
+    data holds its texts as word numbers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(shared.value.words).findall
-        first = TaskContext.get().partitionId() << 12
-        made = 0
+        chunk = TaskContext.get().partitionId() << 12
 
         def emit() -> pa.RecordBatch:
             words = list(index)
-            long = [i for i, w in enumerate(words) if len(w) > LONGEST_WORD]
-            pieces = [shared.value.encode_word(words[i]) for i in long]
-            for i in long:
-                words[i] = ""
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
-            row = [first + made, ids, sizes, words, packed(flat), digests, long, pieces]
+            own = [w for w in words if len(w) < 2 or len(w) > LONGEST_WORD or _BREAK in w]
+            left = set(own)
+            dealt = sorted((crc32(w.encode()) % buckets, w) for w in words if w not in left)
+            order = np.empty(len(words), dtype=np.uint32)
+            order[[index[w] for _, w in dealt] + [index[w] for w in own]] = np.arange(len(words))
+            flat = order[np.concatenate(numbers)] if numbers else np.zeros(0, np.uint32)
+            row = [
+                ids, sizes, len(words), packed(flat), digests, list(range(len(dealt), len(words))),
+                [shared.value.encode_word(w) for w in own],
+            ]
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, _CHUNK) as stream:
+                stream.write_batch(
+                    pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNK)], schema=_CHUNK)
+                )
+            sent = [(-1 - chunk, chunk << _NUMBER_BITS, out.getvalue().to_pybytes())]
+            at = 0
+            for bucket, group in groupby(dealt, key=lambda x: x[0]):
+                mine = [w for _, w in group]
+                sent.append((bucket, (chunk << _NUMBER_BITS) + at, _BREAK.join(mine).encode()))
+                at += len(mine)
             return pa.RecordBatch.from_arrays(
-                [pa.array([v], f.type) for v, f in zip(row, _CHUNK)], schema=_CHUNK
+                [pa.array(c, f.type) for c, f in zip(zip(*sent), _SENT)], schema=_SENT
             )
 
         index, ids, sizes, numbers, digests, held = {}, [], [], [], [], 0
@@ -261,16 +280,18 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BYT
                 held += len(text)
                 if held >= chunk_bytes:
                     yield emit()
-                    made += 1
+                    chunk += 1
                     index, ids, sizes, numbers, digests, held = {}, [], [], [], [], 0
         if ids:
             yield emit()
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(pack, _CHUNK_DDL)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        pack, "dest bigint, base bigint, data binary"
+    )
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`(word, edges)` for `(word)`: the pieces inside every word, ready to be folded.
+    """`(dest, word, edges)` for `(dest, word)`: the pieces inside every word, ready to be folded.
 
     An edge of a unigram model is a struct that sorts by end and start. An edge of a merge
     model is one number that sorts by rank and start: rank, start (6 bits), length (6),
@@ -282,7 +303,7 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     longest = F.least(F.lit(vocabulary.longest), F.col("size") - F.col("start"))
     cut = starts.withColumn("length", F.explode(F.sequence(F.lit(1), longest))).select(
-        "word", "start", "length", F.substring("word", F.col("start") + 1, F.col("length")).alias("piece")
+        "dest", "word", "start", "length", F.substring("word", F.col("start") + 1, F.col("length")).alias("piece")
     )
     if vocabulary.merges:
         edge = F.expr(
@@ -299,8 +320,8 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return (
         cut.join(F.broadcast(pieces), "piece", "left")
         .where(F.col("id").isNotNull() | (F.col("length") == 1))
-        .select("word", edge.alias("edge"))
-        .groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+        .select("dest", "word", edge.alias("edge"))
+        .groupBy("dest", "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     )
 
 
@@ -366,24 +387,31 @@ def best_path(edges: str) -> Column:
 
 _PATHS = pa.schema(
     [
-        ("chunk", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
+        ("dest", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
         ("numbers", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()),
     ]
 )
 
 
-def _pack_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """`(place, ids)` rows as one packed row for each chunk; a count of -1 stands for null ids."""
+def _packer(shared):
+    """Pack `(place, ids, word)` rows as one row for each chunk; a word without ids is encoded here."""
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held)
         place = table["place"].to_numpy()
+        lists = pa.concat_arrays(table["ids"].chunks)
+        known = lists.is_valid().to_numpy(zero_copy_only=False)
+        again = np.flatnonzero(~known)
+        words = table["word"].take(pa.array(again)).to_pylist()
+        added = pa.array([shared.value.encode_word(w) for w in words], lists.type)
+        place = np.concatenate([place[known], place[again]])
+        lists = pa.concat_arrays([lists.filter(pa.array(known)), added])
         order = np.argsort(place, kind="stable")
         place = place[order]
-        lists = pa.concat_arrays(table["ids"].chunks).take(pa.array(order))
-        counts = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        lists = lists.take(pa.array(order))
+        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
         values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        stops = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))])
+        stops = np.concatenate([[0], np.cumsum(counts)])
         chunk = place >> _NUMBER_BITS
         begins = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
         rows = []
@@ -391,22 +419,25 @@ def _pack_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = (place[a:b] & ((1 << _NUMBER_BITS) - 1)).astype(np.uint32)
             rows.append(
                 (
-                    int(chunk[a]), int(b - a), int(stops[b] - stops[a]),
+                    -1 - int(chunk[a]), int(b - a), int(stops[b] - stops[a]),
                     packed(np.diff(number, prepend=np.uint32(0))), packed(counts[a:b]), packed(values[stops[a] : stops[b]]),
                 )
             )
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PATHS)], schema=_PATHS)
 
-    held, n = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            n += batch.num_rows
-        if n >= 500_000:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= 500_000:
+                yield flush(held)
+                held, n = [], 0
+        if held:
             yield flush(held)
-            held, n = [], 0
-    if held:
-        yield flush(held)
+
+    return pack
 
 
 _FOUND = pa.schema(
@@ -414,9 +445,7 @@ _FOUND = pa.schema(
 )
 
 
-def _assemble(vocabulary: Vocabulary, shared):
-    byte_ids = vocabulary.byte_ids
-
+def _assemble(byte_ids: list[int]):
     def with_bytes(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece, stored as negative code points, as their bytes."""
         at = np.flatnonzero(values < 0)
@@ -431,35 +460,30 @@ def _assemble(vocabulary: Vocabulary, shared):
             out[ends[i] : ends[i + 1]] = ids
         return out, ends[bounds]
 
-    def assemble(chunk: pa.Table, folded: pa.Table) -> pa.Table:
-        """Look every word number up in the ids of the chunk's words."""
-        row = {name: chunk[name][0] for name in chunk.column_names}
-        n_words = len(row["words"])
-        long_at = np.array(row["long_words"].as_py(), dtype=np.int64)
-        long_ids = row["long_pieces"].as_py()
-        parts = folded.to_pylist()
+    def assemble(data: bytes, paths: pa.Table) -> pa.Table:
+        """Look every word number of a chunk up in the paths of its words."""
+        row = pa.ipc.open_stream(data).read_all().to_pylist()[0]
+        parts = paths.to_pylist()
+        own = row["own_pieces"]
         number = np.concatenate(
-            [np.zeros(0, np.int64), *(np.cumsum(unpacked(p["numbers"], p["n"], np.uint32)) for p in parts)]
+            [*(np.cumsum(unpacked(p["numbers"], p["n"], np.uint32)) for p in parts), np.array(row["own_words"], np.int64)]
         ).astype(np.int64)
-        lengths = np.concatenate([np.zeros(0, np.int64), *(unpacked(p["counts"], p["n"], np.int32) for p in parts)])
-        flat = np.concatenate([np.zeros(0, np.int64), *(unpacked(p["ids"], p["total"], np.int32) for p in parts)])
-        # Words whose order of merges is in doubt come without ids.
-        known = lengths >= 0
-        words = row["words"].values
-        again = [(n, shared.value.encode_word(words[n].as_py())) for n in number[~known].tolist()]
-        number = np.concatenate([number[known], [n for n, _ in again], long_at]).astype(np.int64)
-        extra = [ids for _, ids in again] + long_ids
-        counts = np.concatenate([lengths[known], [len(x) for x in extra]]).astype(np.int64)
-        values = np.concatenate([flat, [i for ids in extra for i in ids]]).astype(np.int64)
+        counts = np.concatenate(
+            [*(unpacked(p["counts"], p["n"], np.int32) for p in parts), np.array([len(x) for x in own], np.int64)]
+        ).astype(np.int64)
+        values = np.concatenate(
+            [*(unpacked(p["ids"], p["total"], np.int32) for p in parts), np.array([i for x in own for i in x], np.int64)]
+        ).astype(np.int64)
+        n_words = row["n_words"]
         bounds = np.concatenate([[0], np.cumsum(counts)])
         values, bounds = with_bytes(values, bounds)
         begin, count = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
         begin[number], count[number] = bounds[:-1], np.diff(bounds)
-        sizes = np.array(row["sizes"].as_py(), dtype=np.int64)
+        sizes = np.array(row["sizes"], dtype=np.int64)
         total = int(sizes.sum())
-        used = unpacked(row["numbers"].as_py(), total, np.uint32).astype(np.int64)
+        used = unpacked(row["numbers"], total, np.uint32)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids, digests = row["ids"].as_py(), row["digests"].as_py()
+        ids, digests = row["ids"], row["digests"]
         tables, doc = [], 0
         while doc < len(sizes):
             # A few documents at a time: the ids of a chunk are many times its words.
@@ -482,29 +506,34 @@ def _assemble(vocabulary: Vocabulary, shared):
 def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """`(doc_id, ids, text_sha256)` for every row; the digest is that of the text's bytes."""
     spark = docs.sparkSession
-    packed_chunks = chunks(docs, vocabulary, chunk_bytes).repartition("chunk")
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent = chunks(docs, vocabulary, buckets, chunk_bytes).repartition("dest")
+    # All columns and all rows are used on both ways, so that the exchange is made once.
+    lines = F.when(F.col("dest") >= 0, F.split(F.col("data").cast("string"), _BREAK))
     places = (
-        packed_chunks.select("chunk", F.posexplode("words").alias("number", "word")).where("word <> ''")
-        .select((F.shiftleft("chunk", _NUMBER_BITS) + F.col("number")).alias("place"), "word")
-        .repartition("word")
+        sent.select("dest", "base", F.posexplode_outer(lines).alias("number", "word")).where("word is not null")
+        .select("dest", (F.col("base") + F.col("number")).alias("place"), "word")
     )
     fold = merged_path if vocabulary.merges else best_path
-    folded = lattice(places.select("word").distinct(), vocabulary).select("word", fold("edges").alias("ids"))
-    paths = places.join(folded, "word").select("place", "ids").mapInArrow(
-        _pack_paths, "chunk bigint, n bigint, total bigint, numbers binary, counts binary, ids binary"
-    )
-    assemble = _assemble(vocabulary, spark.sparkContext.broadcast(vocabulary))
+    folded = lattice(places.select("dest", "word").distinct(), vocabulary).select("dest", "word", fold("edges").alias("ids"))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    paths = places.join(folded, ["dest", "word"]).select(
+        "place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word")
+    ).mapInArrow(_packer(shared), "dest bigint, n bigint, total bigint, numbers binary, counts binary, ids binary")
+    assemble = _assemble(vocabulary.byte_ids)
 
     def join(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        return assemble(chunk, found) if chunk.num_rows else _FOUND.empty_table()
+        if not chunk.num_rows or chunk["dest"][0].as_py() >= 0:
+            return _FOUND.empty_table()
+        return assemble(chunk["data"][0].as_py(), found)
 
     return (
-        packed_chunks.groupBy("chunk").cogroup(paths.groupBy("chunk"))
+        sent.groupBy("dest").cogroup(paths.groupBy("dest"))
         .applyInArrow(join, "doc_id bigint, ids array<int>, text_sha256 binary")
     )
 
 
-def decode(ids: np.ndarray, texts: list[bytes]) -> bytes:
+def decode(ids: list[int], texts: list[bytes]) -> bytes:
     """The text of a list of ids; the mark before the first word is no space of the text."""
     out = b"".join([texts[i] for i in ids])
     return out[1:] if out[:1] == b" " else out
@@ -519,7 +548,7 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
-                None if ids.as_py() is None else decode(ids.values.to_numpy(zero_copy_only=False), shared.value).decode(errors="replace")
+                None if ids.as_py() is None else decode(ids.values.to_pylist(), shared.value).decode(errors="replace")
                 for ids in batch.column(column)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
