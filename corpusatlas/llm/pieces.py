@@ -291,7 +291,7 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, buckets: int, chunk_bytes: i
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`(dest, word, edges)` for `(dest, word)`: the pieces inside every word, ready to be folded.
+    """`(dest, word, least, edges)` for `(dest, word, least)`: the pieces inside every word, ready to be folded.
 
     An edge of a unigram model is a struct that sorts by end and start. An edge of a merge
     model is one number that sorts by rank and start: rank, start (6 bits), length (6),
@@ -303,7 +303,7 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     longest = F.least(F.lit(vocabulary.longest), F.col("size") - F.col("start"))
     cut = starts.withColumn("length", F.explode(F.sequence(F.lit(1), longest))).select(
-        "dest", "word", "start", "length", F.substring("word", F.col("start") + 1, F.col("length")).alias("piece")
+        "dest", "word", "least", "start", "length", F.substring("word", F.col("start") + 1, F.col("length")).alias("piece")
     )
     if vocabulary.merges:
         edge = F.expr(
@@ -320,8 +320,8 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return (
         cut.join(F.broadcast(pieces), "piece", "left")
         .where(F.col("id").isNotNull() | (F.col("length") == 1))
-        .select("dest", "word", edge.alias("edge"))
-        .groupBy("dest", "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+        .select("dest", "word", "least", edge.alias("edge"))
+        .groupBy("dest", "word", "least").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     )
 
 
@@ -507,17 +507,18 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     """`(doc_id, ids, text_sha256)` for every row; the digest is that of the text's bytes."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = chunks(docs, vocabulary, buckets, chunk_bytes).repartition("dest")
-    # All columns and all rows are used on both ways, so that the exchange is made once.
+    # Every way down uses all columns and the same rows, so that the exchange is made once.
+    sent = chunks(docs, vocabulary, buckets, chunk_bytes).where("dest is not null").repartition("dest")
     lines = F.when(F.col("dest") >= 0, F.split(F.col("data").cast("string"), _BREAK))
     places = (
         sent.select("dest", "base", F.posexplode_outer(lines).alias("number", "word")).where("word is not null")
         .select("dest", (F.col("base") + F.col("number")).alias("place"), "word")
     )
     fold = merged_path if vocabulary.merges else best_path
-    folded = lattice(places.select("dest", "word").distinct(), vocabulary).select("dest", "word", fold("edges").alias("ids"))
+    distinct = places.groupBy("dest", "word").agg(F.min("place").alias("least"))
+    folded = lattice(distinct, vocabulary).select("dest", "word", "least", fold("edges").alias("ids"))
     shared = spark.sparkContext.broadcast(vocabulary)
-    paths = places.join(folded, ["dest", "word"]).select(
+    paths = places.join(folded, ["dest", "word"]).where("place >= least").select(
         "place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word")
     ).mapInArrow(_packer(shared), "dest bigint, n bigint, total bigint, numbers binary, counts binary, ids binary")
     assemble = _assemble(vocabulary.byte_ids)
