@@ -17,9 +17,10 @@ The fold follows the kind of the model. A unigram model takes the path with the
 of scores (Viterbi: edges come by their end, the best path to every place is kept, equal
 scores go to the longer last piece). The scores of a merge model are the ranks of its
 merges, for which a greatest sum means nothing; its edges come by rank, and an edge is
-merged if it joins two neighbours of what was merged so far. A merge that could bring back
-an edge of a better rank is rare; such a word is merged again, step by step, in the task
-that puts the texts together. Either way the ids are those of the model's own library.
+merged if it joins two neighbours of what was merged so far. One pass is enough unless a
+piece is only made by a merge of a worse rank than its own. Such pieces are found when the
+model is read; words that hold one are merged step by step, outside the fold. Either way
+the ids are those of the model's own library.
 
 Characters without a piece become their UTF-8 bytes. Words above `LONGEST_WORD` characters
 are encoded by the same rules in the task that reads the text, so that no row of the lattice
@@ -52,7 +53,7 @@ from corpusatlas.llm.substring_dedup import packed, unpacked
 MARK = "▁"
 #: The places of a word are bits of one number.
 LONGEST_WORD = 62
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _NUMBER_BITS = 26
 #: What a character without a piece scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -122,36 +123,8 @@ class Vocabulary:
         return -ord(piece) - 1 if found is None else found[0]
 
     def _merged(self, word: str) -> list[int]:
-        """Merge neighbours, the best rank first and from the left, until nothing is left to merge."""
-        ends = list(range(1, len(word) + 1))
-        before = list(range(-1, len(word) - 1))
-        queue: list[tuple[float, int, int, int]] = []
-
-        def offer(start: int) -> None:
-            middle = ends[start]
-            if middle < len(word):
-                found = self.pieces.get(word[start : ends[middle]])
-                if found is not None:
-                    heapq.heappush(queue, (-found[1], start, middle, ends[middle]))
-
-        for start in range(len(word) - 1):
-            offer(start)
-        gone = [False] * (len(word) + 1)
-        while queue:
-            _, start, middle, end = heapq.heappop(queue)
-            if gone[start] or gone[middle] or ends[start] != middle or ends[middle] != end:
-                continue
-            gone[middle], ends[start] = True, end
-            if end < len(word):
-                before[end] = start
-            offer(start)
-            if before[start] >= 0:
-                offer(before[start])
-        out, at = [], 0
-        while at < len(word):
-            out.append(self._id(word[at : ends[at]]))
-            at = ends[at]
-        return out
+        parts, _ = _merge(word, self.pieces)
+        return [self._id(part) for part in parts]
 
     def _best(self, word: str) -> list[int]:
         """The path with the greatest sum of scores."""
@@ -173,16 +146,51 @@ class Vocabulary:
         return ids[::-1]
 
 
+def _merge(word: str, pieces: dict) -> tuple[list[str], list[float]]:
+    """Merge neighbours, the best score first and from the left; the parts and the scores merged."""
+    ends = list(range(1, len(word) + 1))
+    before = list(range(-1, len(word) - 1))
+    gone = [False] * (len(word) + 1)
+    queue: list[tuple[float, int, int, int]] = []
+    merged = []
+
+    def offer(start: int) -> None:
+        middle = ends[start]
+        if middle < len(word):
+            found = pieces.get(word[start : ends[middle]])
+            if found is not None:
+                heapq.heappush(queue, (-found[1], start, middle, ends[middle]))
+
+    for start in range(len(word) - 1):
+        offer(start)
+    while queue:
+        rank, start, middle, end = heapq.heappop(queue)
+        if gone[start] or gone[middle] or ends[start] != middle or ends[middle] != end:
+            continue
+        merged.append(-rank)
+        gone[middle], ends[start] = True, end
+        if end < len(word):
+            before[end] = start
+        offer(start)
+        if before[start] >= 0:
+            offer(before[start])
+    parts, at = [], 0
+    while at < len(word):
+        parts.append(word[at : ends[at]])
+        at = ends[at]
+    return parts, merged
+
+
 def _late(pieces: dict) -> set[str]:
-    """Pieces at an end of a piece of a better rank: merging one may bring that one back."""
-    out = set()
-    for piece, (_, score) in pieces.items():
-        for size in range(2, len(piece)):
-            for part in (piece[:size], piece[-size:]):
-                found = pieces.get(part)
-                if found is not None and found[1] < score:
-                    out.add(part)
-    return out
+    """Pieces that are made after a merge of a worse score than their own.
+
+    A piece is always made from the same parts in the same order, whatever stands around it,
+    because nothing inside it has been joined to what is outside.
+    """
+    return {
+        piece for piece, (_, score) in pieces.items()
+        if (made := _merge(piece, pieces))[0] == [piece] and min(made[1], default=score) < score
+    }
 
 
 def _word_pattern(pieces: dict) -> str:
@@ -326,12 +334,11 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def merged_path(edges: str) -> Column:
-    """Merge the edges by rank; null if a late piece was merged, so that order is in doubt.
+    """Merge the edges by rank; null if a piece of the word asks for more than one pass.
 
-    The state is a number with a bit for every place that is still an end of a piece; its
-    highest bit tells of doubt.
+    The state is a number with a bit for every place that is still an end of a piece.
     """
-    one, doubt = F.lit(1).cast("bigint"), F.lit(-(1 << 63)).cast("bigint")
+    one = F.lit(1).cast("bigint")
 
     def field(e: Column, shift: int, bits: int) -> Column:
         return F.shiftright(e, shift).bitwiseAND((1 << bits) - 1).cast("int")
@@ -349,8 +356,7 @@ def merged_path(edges: str) -> Column:
 
     def step(s: Column, e: Column) -> Column:
         joins = (s.bitwiseAND(ends(e)) == ends(e)) & (F.bit_count(s.bitwiseAND(inside(e))) == 1)
-        merged = s.bitwiseAND(F.bitwise_not(inside(e)))
-        return F.when(joins, F.when(field(e, 22, 1) == 1, merged.bitwiseOR(doubt)).otherwise(merged)).otherwise(s)
+        return F.when(joins, s.bitwiseAND(F.bitwise_not(inside(e)))).otherwise(s)
 
     def path(s: Column) -> Column:
         used = F.filter(edges, lambda e: (s.bitwiseAND(ends(e)) == ends(e)) & (s.bitwiseAND(inside(e)) == 0))
@@ -358,7 +364,7 @@ def merged_path(edges: str) -> Column:
         ids = F.transform(
             by_start, lambda e: F.when(field(e, 21, 1) == 1, -field(e, 0, 21) - 1).otherwise(field(e, 0, 21))
         )
-        return F.when(s >= 0, ids)
+        return F.when(~F.exists(edges, lambda e: field(e, 22, 1) == 1), ids)
 
     return F.aggregate(edges, F.lit((1 << (LONGEST_WORD + 1)) - 1).cast("bigint"), step, path)
 
@@ -431,7 +437,7 @@ def _packer(shared):
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
-            if n >= 500_000:
+            if n >= 250_000:
                 yield flush(held)
                 held, n = [], 0
         if held:
@@ -440,12 +446,10 @@ def _packer(shared):
     return pack
 
 
-_FOUND = pa.schema(
-    [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text_sha256", pa.binary())]
-)
+_FOUND = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
 
 
-def _assemble(byte_ids: list[int]):
+def _assemble(byte_ids: list[int], shared):
     def with_bytes(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece, stored as negative code points, as their bytes."""
         at = np.flatnonzero(values < 0)
@@ -487,16 +491,19 @@ def _assemble(byte_ids: list[int]):
         tables, doc = [], 0
         while doc < len(sizes):
             # A few documents at a time: the ids of a chunk are many times its words.
-            last = max(doc + 1, int(np.searchsorted(ends, ends[doc] + 500_000, side="right")) - 1)
+            last = max(doc + 1, int(np.searchsorted(ends, ends[doc] + 250_000, side="right")) - 1)
             mine = used[ends[doc] : ends[last]]
             times = count[mine]
             stops = np.concatenate([[0], np.cumsum(times)])
             place = np.arange(stops[-1]) - np.repeat(stops[:-1], times) + np.repeat(begin[mine], times)
             offsets = stops[ends[doc : last + 1] - ends[doc]].astype(np.int32)
             pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[place].astype(np.int32)))
-            tables.append(
-                pa.table([pa.array(ids[doc:last], pa.int64()), pieces, pa.array(digests[doc:last], pa.binary())], schema=_FOUND)
-            )
+            texts = shared.value.texts
+            back = [
+                hashlib.sha256(decode(own, texts)).digest() == digest
+                for own, digest in zip(pieces.to_pylist(), digests[doc:last])
+            ]
+            tables.append(pa.table([pa.array(ids[doc:last], pa.int64()), pieces, pa.array(back)], schema=_FOUND))
             doc = last
         return pa.concat_tables(tables)
 
@@ -504,7 +511,7 @@ def _assemble(byte_ids: list[int]):
 
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """`(doc_id, ids, text_sha256)` for every row; the digest is that of the text's bytes."""
+    """`(doc_id, ids, round_trip)` for every row; the last tells whether the ids decode to the text."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Every way down uses all columns and the same rows, so that the exchange is made once.
@@ -521,7 +528,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     paths = places.join(folded, ["dest", "word"]).where("place >= least").select(
         "place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word")
     ).mapInArrow(_packer(shared), "dest bigint, n bigint, total bigint, numbers binary, counts binary, ids binary")
-    assemble = _assemble(vocabulary.byte_ids)
+    assemble = _assemble(vocabulary.byte_ids, shared)
 
     def join(chunk: pa.Table, found: pa.Table) -> pa.Table:
         if not chunk.num_rows or chunk["dest"][0].as_py() >= 0:
@@ -530,7 +537,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
 
     return (
         sent.groupBy("dest").cogroup(paths.groupBy("dest"))
-        .applyInArrow(join, "doc_id bigint, ids array<int>, text_sha256 binary")
+        .applyInArrow(join, "doc_id bigint, ids array<int>, round_trip boolean")
     )
 
 
