@@ -16,8 +16,9 @@ or one bucket.
    resolves its ties: the first document of a tie keeps its bytes, the later ones lose them.
 3. Every block gets one bit for each of its keys back, and covers the bytes.
 
-Keys stand for bytes: 40 bits for a sample, which only chooses candidates, and 64 bits plus
-an independent hash for the bucket for a full suffix.
+Keys stand for bytes: 40 bits for a sample, which only chooses candidates; for a full suffix
+an independent hash for the bucket and 50 bits more than the logarithm of the number of
+buckets, 64 at most.
 
 Texts that are equal to the last byte need no suffixes. Within an Arrow batch one of them
 carries the text, the others only their length; within a block one is compared for all.
@@ -73,11 +74,18 @@ class Block:
 
     def __init__(self, table: pa.Table, length: int):
         self.length = length
-        ids, texts = table["doc_id"].combine_chunks(), ta.plain(table["text"])
+        ids = table["doc_id"].combine_chunks()
         self.row_ids = np.asarray(pc.fill_null(ids, _NONE).to_numpy(zero_copy_only=False), dtype=np.int64)
         self.carried = table["carried"].to_numpy()
         self.n_bytes = table["n_bytes"].to_numpy()
-        raw, bounds = ta.flat(texts)
+        bounds = np.concatenate([[0], np.cumsum(np.where(self.carried, self.n_bytes, 0))])
+        raw = np.frombuffer(
+            b"".join(
+                pa.decompress(text, int(n), codec="zstd", asbytes=True)
+                for text, n in zip(table["text"].to_pylist(), self.n_bytes) if text is not None
+            ),
+            np.uint8,
+        )
         self.raw, self.bounds = raw, bounds
         holders: dict[bytes, int] = {}
         self.same_as = np.full(len(ids), -1, dtype=np.int64)
@@ -133,7 +141,8 @@ class Block:
         where = np.flatnonzero(candidate)
         del edges, candidate
         where = where[where + self.length <= self.offsets[1:][self.text_of[where]]] if len(where) else where
-        keys = hashing.of(self.prefix, where, where + self.length)
+        bits = min(64, 50 + buckets.bit_length())
+        keys = hashing.of(self.prefix, where, where + self.length) >> _U(64 - bits)
         if len(where):
             bucket = (other.of(other.prefix(self.data), where, where + self.length) >> _U(32)) * _U(buckets) >> _U(32)
         else:
@@ -178,7 +187,7 @@ def _bits(answers: pa.Table, level: int, buckets: np.ndarray, n: int) -> np.ndar
 
 
 def prepared(docs: DataFrame, length: int, blocks: int, salts: int) -> DataFrame:
-    """`(block, doc_id, text, carried, n_bytes)`; later copies in a batch carry no text."""
+    """`(block, doc_id, text, carried, n_bytes)`, texts compressed; later copies in a batch carry none."""
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,12 +198,12 @@ def prepared(docs: DataFrame, length: int, blocks: int, salts: int) -> DataFrame
             known = ids != _NONE
             np.minimum.at(least, codes[known], ids[known])
             copy = known & (sizes >= length) & (ids > least[codes])
+            texts = [
+                None if gone else pa.compress(text.as_buffer(), codec="zstd", asbytes=True)
+                for gone, text in zip(copy, batch.column(2))
+            ]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(1),
-                    pc.if_else(pa.array(copy), pa.scalar(None, pa.string()), batch.column(2)),
-                    pa.array(~copy), batch.column(3),
-                ],
+                [batch.column(0), batch.column(1), pa.array(texts, pa.binary()), pa.array(~copy), batch.column(3)],
                 names=["block", "doc_id", "text", "carried", "n_bytes"],
             )
 
@@ -205,15 +214,15 @@ def prepared(docs: DataFrame, length: int, blocks: int, salts: int) -> DataFrame
         F.col("doc_id").cast("bigint").alias("doc_id"),
         text.alias("text"),
         F.octet_length(text).cast("bigint").alias("n_bytes"),
-    ).mapInArrow(collapse, "block bigint, doc_id bigint, text string, carried boolean, n_bytes bigint")
+    ).mapInArrow(collapse, "block bigint, doc_id bigint, text binary, carried boolean, n_bytes bigint")
 
 
 def _rows(kind: pa.Schema, **columns) -> pa.Table:
     return pa.table({n: pa.array(columns[n], kind.field(n).type) for n in kind.names})
 
 
-_KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())])
-_KEYS_DDL = "block bigint, bucket int, n bigint, keys binary, ids binary"
+_KEYS = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("owners", pa.binary())])
+_KEYS_DDL = "block bigint, bucket int, n bigint, keys binary, n_ids bigint, ids binary, owners binary"
 _ANSWER = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
 
@@ -238,7 +247,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             bucket=[b for b, _, _ in parts],
             n=[e - s for _, s, e in parts],
             keys=[packed(_differences(block.keys[s:e])) for _, s, e in parts],
-            ids=[None] * len(parts),
+            n_ids=[None] * len(parts), ids=[None] * len(parts), owners=[None] * len(parts),
         )
 
     def bucket_keys(table: pa.Table) -> tuple[list[int], list[int], np.ndarray]:
@@ -282,20 +291,26 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return _KEYS.empty_table()
         block = with_suffixes(table, replies)
         parts = list(_per_bucket(block.suffix_buckets, buckets))
+        owners = [np.unique(block.first_id[s:e], return_inverse=True) for _, s, e in parts]
         return _rows(
             _KEYS,
             block=[table["block"][0].as_py()] * len(parts),
             bucket=[b for b, _, _ in parts],
             n=[e - s for _, s, e in parts],
             keys=[packed(_differences(block.suffix_keys[s:e])) for _, s, e in parts],
-            ids=[packed(block.first_id[s:e]) for _, s, e in parts],
+            n_ids=[len(u) for u, _ in owners],
+            ids=[packed(np.diff(u, prepend=np.int64(0))) for u, _ in owners],
+            owners=[packed(at.astype(np.uint32)) for _, at in owners],
         )
 
     def first_documents(table: pa.Table) -> pa.Table:
         """Order a suffix bucket by key and document: a key is taken if an earlier document has it."""
         blocks_here, counts, keys = bucket_keys(table)
         ids = np.concatenate(
-            [unpacked(blob, n, np.int64) for blob, n in zip(table["ids"].to_pylist(), counts)]
+            [
+                np.cumsum(unpacked(r["ids"], r["n_ids"], np.int64))[unpacked(r["owners"], r["n"], np.uint32)]
+                for r in table.select(["n", "n_ids", "ids", "owners"]).to_pylist()
+            ]
         )
         order = np.lexsort((ids, keys))
         keys, sorted_ids = keys[order], ids[order]
