@@ -198,8 +198,9 @@ def prepared(docs: DataFrame, length: int, blocks: int, salts: int) -> DataFrame
             known = ids != _NONE
             np.minimum.at(least, codes[known], ids[known])
             copy = known & (sizes >= length) & (ids > least[codes])
+            codec = pa.Codec("zstd", compression_level=6)
             texts = [
-                None if gone else pa.compress(text.as_buffer(), codec="zstd", asbytes=True)
+                None if gone else codec.compress(text.as_buffer(), asbytes=True)
                 for gone, text in zip(copy, batch.column(2))
             ]
             yield pa.RecordBatch.from_arrays(
