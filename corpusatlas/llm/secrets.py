@@ -234,11 +234,11 @@ def oracle(rules: Sequence[Rule] = RULES) -> str:
     def one(number: int, rule: Rule) -> str:
         pattern = rule.pattern.replace("'", "''")
         return f"""
-        SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), i -> {{
-            'start': list_sum(list_transform(gaps[1:i], g -> length(g))) + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0),
+        SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda i: {{
+            'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
             'rank': {number},
-            'end': list_sum(list_transform(gaps[1:i], g -> length(g))) + list_sum(list_transform(m[1:i], x -> length(x))),
-            'kind': '{rule.kind}', 'size': length(v[i])}}), s -> s.size >= {rule.least}) AS spans
+            'end': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(m[1:i], lambda x: length(x))),
+            'kind': '{rule.kind}', 'size': length(v[i])}}), lambda s: s.size >= {rule.least}) AS spans
         FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS m,
                      regexp_extract_all(t, '{pattern}', {rule.group}) AS v FROM texts)"""
 
