@@ -86,12 +86,12 @@ _INTERFACE = (
 )
 
 # Words that open statements or are not counted as methods.
-_NOT_METHODS = "constructor|if|for|while|switch|catch|return|function|new|throw|super|get|set"
+_NOT_METHODS = "constructor|if|for|while|switch|catch|return|function|new|throw|super"
 
 _METHOD = (
     rf"(?m)({_DECORATOR_LINES})^({_INLINE_DECORATORS})"
     r"(?:(?:public|private|protected|static|async|abstract|override)[ \t]+)*+"
-    rf"(?:\*[ \t]*)?(?!(?:{_NOT_METHODS})[ \t]*+(?:\(|[A-Za-z_$]))({_NAME})\??[ \t]*{_GENERIC}[ \t]*"
+    rf"(?:\*[ \t]*)?(?!(?:{_NOT_METHODS})[ \t]*+(?:\(|[A-Za-z_$])|(?:get|set)[ \t]++[A-Za-z_$#\[])({_NAME})\??[ \t]*{_GENERIC}[ \t]*"
     rf"\(({_IN})\){_RETURN}(?:\{{|;|$)"
 )
 

@@ -42,18 +42,19 @@ def gather(
     contents: DataFrame,
     file_sizes: DataFrame,
     split_owners: bool,
-    limit: int = text.TOKEN_LIMIT,
+    limit: int | None = None,
     cut: int = text.CUT_CHARS,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
     """Join the texts of `(owner, source, place, piece)` rows, one line end between.
 
-    Sizes come first, texts last. Up to `limit` tokens an owner gets its whole text.
-    Beyond it only the first `cut` characters can reach a prompt, so pieces starting
+    Sizes come first, texts last. Without a `limit` an owner gets its whole text, and so
+    it does up to `limit` tokens. Beyond it only the first `cut` characters can reach a prompt, so pieces starting
     later are left out before any text moves; `n_tokens` still counts all of them.
     `split_owners` is for owners that may have any number of pieces. Otherwise the
     pieces of an owner come from its own text and fit one task as that text did.
     """
+    limit = (1 << 63) - 1 if limit is None else limit
     pieces, n_pieces = materialise_counted(pieces, "pieces")
     measured = salted_join(
         pieces,

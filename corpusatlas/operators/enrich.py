@@ -65,6 +65,8 @@ def _summary(n: int) -> Column:
         F.col("_tokens").alias("tokens"),
         F.size(sentences).cast("bigint").alias("sentences"),
         F.col("answers").alias("verification"),
+        # Of everything that was read: a change in a related file changes it too.
+        F.sha2(F.col("_read"), 256).alias("digest"),
     )
     return F.to_json(
         F.struct(
@@ -89,7 +91,10 @@ def _answers() -> Column:
 def _guarded(model: Model, rows: pd.DataFrame, step: str, n: int) -> Sequence:
     """A failing batch is tried row by row, so only the failing rows are lost."""
     try:
-        return list(model(rows, step, n))
+        said = list(model(rows, step, n))
+        if len(said) != len(rows):
+            raise ValueError("a model gives one answer for each row")
+        return said
     except Exception:
         if len(rows) == 1:
             return [None]
@@ -108,7 +113,7 @@ def _ask(state: DataFrame, model: Model, column: str, step: str, n: int) -> Data
 def refine(files: DataFrame, passes: int = PASSES, model: Model | None = None) -> DataFrame:
     """Answer per file after `passes` passes, each fed the answer before it.
 
-    Input `(repo, path, content, …)`. After the first pass, questions are drawn from
+    Input `(repo, path, content, …)`, with `prompt` if one was made. After the first pass, questions are drawn from
     its answer and answered from the file; later passes see both. Without a `model`
     the steps are built-in expressions and nothing leaves the JVM.
     """
@@ -117,7 +122,11 @@ def refine(files: DataFrame, passes: int = PASSES, model: Model | None = None) -
         # Facts of the text, worked out once for all passes.
         content = F.col("content")
         state = state.withColumns(
-            {"_sentences": _sentences(content), "_tokens": text.token_count(content)}
+            {
+                "_sentences": _sentences(content),
+                "_tokens": text.token_count(content),
+                "_read": F.col("prompt") if "prompt" in files.columns else content,
+            }
         )
     for n in range(passes):
         if model is None:
@@ -130,7 +139,7 @@ def refine(files: DataFrame, passes: int = PASSES, model: Model | None = None) -
         if n == 0:
             state = _ask(state, model, "questions", "questions", n)
             state = _ask(state, model, "answers", "answers", n)
-    return state.drop("_sentences", "_tokens")
+    return state.drop("_sentences", "_tokens", "_read")
 
 
 def validated(rows: DataFrame, column: str = "answer") -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusatlas.operators.skew import null_safe
 from corpusatlas.session import materialise
 
 _SLICE = "_slice"
@@ -88,9 +89,11 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = sliced.join(carried, [*group, _SLICE], "left")
+    # Null groups are groups too, so the join takes null for equal to null.
+    named = carried.withColumnsRenamed({k: f"_of_{k}" for k in (*group, _SLICE)})
+    joined = sliced.join(named, null_safe(sliced, named, [*group, _SLICE], "_of_"), "left")
     return joined.select(
-        *df.columns,
+        *(sliced[c] for c in df.columns),
         *(
             _combine(
                 kind, F.col(f"_carried_{name}"), _REDUCE[kind](inputs[name]).over(here)

@@ -2,33 +2,61 @@
 
 Input vectors `(vec_id, embedding)`, queries `(query_id, embedding)`. Every batch of
 vectors keeps its k best per query before anything is shuffled.
+
+A vector or query is usable if it has an id and elements and none of them is null or no
+number; others are left out on both sides, however many there are (`unusable` lists them).
+A query meets vectors of its own length only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusatlas.operators.skew import salted_join
 from corpusatlas.session import materialise
 
 MAX_QUERIES = 1_024
-BLOCK_ROWS = 50_000
+ROWS_PER_CODE = 64
 DIGITS = 6
 _HITS = "query_id long, vec_id long, similarity double"
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of one length as unit vectors; a zero vector stays zero."""
+def _bad(id_column: str) -> Column:
+    """True for rows that no search can use."""
+    broken = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    return F.col(id_column).isNull() | F.coalesce(
+        (F.size("embedding") <= 0) | broken, F.lit(True)
+    )
+
+
+def unusable(vectors: DataFrame, id_column: str = "vec_id") -> DataFrame:
+    """The rows that searches leave out."""
+    return vectors.where(_bad(id_column))
+
+
+def _usable(vectors: DataFrame, id_column: str) -> DataFrame:
+    return vectors.where(~_bad(id_column)).select(id_column, "embedding")
+
+
+def _matrices(ids: pa.Array, column: pa.ChunkedArray | pa.Array) -> dict[int, tuple]:
+    """Ids and unit vectors by length; a zero vector stays zero."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = array.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(array), -1)
-    length = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(length == 0, 1, length)
+    sizes = array.value_lengths().to_numpy(zero_copy_only=False)
+    numbers = np.asarray(ids.to_numpy(zero_copy_only=False))
+    found = {}
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        flat = array.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        matrix = flat.astype(np.float64).reshape(len(rows), int(size))
+        length = np.linalg.norm(matrix, axis=1, keepdims=True)
+        found[int(size)] = (numbers[rows], matrix / np.where(length == 0, 1, length))
+    return found
 
 
 def _best(
@@ -62,106 +90,61 @@ def _merged(hits: DataFrame, k: int) -> DataFrame:
     )
 
 
-def top_k(
-    vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_QUERIES
-) -> DataFrame:
-    """Exact k nearest vectors of every query.
-
-    Up to `max_queries` queries travel to the vectors, which are not shuffled. More
-    than that are met block by block.
-    """
-    first = queries.select("query_id", "embedding").limit(max_queries + 1).toArrow()
-    if first.num_rows > max_queries:
-        return _top_k_blocks(vectors, queries, k)
-    if first.num_rows == 0:
-        return vectors.sparkSession.createDataFrame(
-            [], "query_id long, rank int, vec_id long, similarity double"
-        )
-    query_ids = first["query_id"].to_numpy()
-    query_rows = _matrix(first["embedding"])
+def _top_k_of(vectors: DataFrame, queries: pa.Table, k: int) -> DataFrame:
+    asked = _matrices(queries["query_id"], queries["embedding"]) if queries.num_rows else {}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                ids = batch.column("vec_id").to_numpy()
-                yield _best(query_ids, query_rows, ids, _matrix(batch.column("embedding")), k)
+            stored = _matrices(batch.column(0), batch.column(1)) if batch.num_rows else {}
+            for size, (ids, rows) in stored.items():
+                if size in asked:
+                    yield _best(*asked[size], ids, rows, k)
 
-    usable = vectors.where(F.size("embedding") > 0).select("vec_id", "embedding")
-    return _merged(usable.mapInArrow(search, _HITS), k)
+    return _usable(vectors, "vec_id").mapInArrow(search, _HITS)
 
 
-def _top_k_blocks(
-    vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS
+def top_k(
+    vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = MAX_QUERIES
 ) -> DataFrame:
-    """Exact search for any number of queries over a grid of hash blocks."""
-    vector_blocks = max(1, -(-vectors.count() // block_rows))
-    query_blocks = max(1, -(-queries.count() // block_rows))
-
-    def dealt(df: DataFrame, key: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return (
-            df.where(F.size("embedding") > 0)
-            .select(key, "embedding")
-            .withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-        )
-
-    left = dealt(queries, "query_id", "_q", query_blocks, "_v", vector_blocks)
-    right = dealt(vectors, "vec_id", "_v", vector_blocks, "_q", query_blocks)
-
-    def search(asked: pa.Table, stored: pa.Table) -> pa.Table:
-        if not asked.num_rows or not stored.num_rows:
-            return pa.table(
-                {
-                    "query_id": pa.array([], pa.int64()),
-                    "vec_id": pa.array([], pa.int64()),
-                    "similarity": pa.array([], pa.float64()),
-                }
-            )
-        vectors_here = _matrix(stored["embedding"])
-        ids = stored["vec_id"].to_numpy()
-        asked_rows, asked_ids = _matrix(asked["embedding"]), asked["query_id"].to_numpy()
-        step = 256
-        return pa.Table.from_batches(
-            [
-                _best(asked_ids[i : i + step], asked_rows[i : i + step], ids, vectors_here, k)
-                for i in range(0, len(asked_ids), step)
-            ]
-        )
-
-    hits = (
-        left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInArrow(search, _HITS)
-    )
-    return _merged(hits, k)
+    """Exact k nearest vectors of every query.
+
+    Queries travel to the vectors, which are not shuffled, in blocks of about
+    `max_queries`; every block is one scan of the vectors.
+    """
+    wanted = _usable(queries, "query_id")
+    blocks = max(1, -(-wanted.count() // max_queries))
+    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_top_k_of(vectors, wanted.where(place == n).toArrow(), k) for n in range(blocks)]
+    return _merged(reduce(DataFrame.union, parts), k)
 
 
 def band_codes(
     vectors: DataFrame, id_column: str, bands: int, bits: int, seed: int = 7
 ) -> DataFrame:
-    """Add one row per band with the side of `bits` random hyperplanes as a code."""
+    """One row per vector and band with the side of `bits` random hyperplanes as a code.
+
+    Rows hold no vector. Vectors of another length have planes and codes of their own.
+    """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _matrix(batch.column("embedding"))
-            if planes is None:
-                rng = np.random.default_rng(seed)
-                planes = rng.standard_normal((bands * bits, rows.shape[1]))
-            sides = (rows @ planes.T >= 0).reshape(len(rows), bands, bits)
-            codes = sides @ (1 << np.arange(bits, dtype=np.int64))
-            offsets = np.arange(0, codes.size + 1, bands, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_column), batch.column("embedding"), lists],
-                names=[id_column, "embedding", "codes"],
-            )
-
-    coded = (
-        vectors.where(F.size("embedding") > 0)
-        .select(id_column, F.col("embedding").cast("array<float>").alias("embedding"))
-        .mapInArrow(encode, f"{id_column} long, embedding array<float>, codes array<long>")
+            stored = _matrices(batch.column(0), batch.column(1)) if batch.num_rows else {}
+            for size, (ids, rows) in stored.items():
+                planes = np.random.default_rng([seed, size]).standard_normal((bands * bits, size))
+                sides = (rows @ planes.T >= 0).reshape(len(rows), bands, bits)
+                codes = sides @ (1 << np.arange(bits, dtype=np.int64))
+                offsets = np.arange(0, codes.size + 1, bands, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), size, np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1))),
+                    ],
+                    names=[id_column, "dim", "codes"],
+                )
+
+    coded = _usable(vectors, id_column).mapInArrow(
+        encode, f"{id_column} long, dim int, codes array<long>"
     )
-    return coded.select(id_column, "embedding", F.posexplode("codes").alias("band", "code"))
+    return coded.select(id_column, "dim", F.posexplode("codes").alias("band", "code"))
 
 
 def cosine(a: str, b: str):
@@ -173,29 +156,34 @@ def cosine(a: str, b: str):
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def code_bits(n_vectors: int) -> int:
+    """Bits of a code, so that about `ROWS_PER_CODE` of evenly spread vectors share one."""
+    return max(6, (max(1, n_vectors) // ROWS_PER_CODE).bit_length())
+
+
 def top_k_lsh(
     vectors: DataFrame,
     queries: DataFrame,
     k: int,
     bands: int = 8,
-    bits: int = 6,
+    bits: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """Approximate search: vectors sharing a band code with a query, ranked exactly.
 
-    The banded vectors stand for the stored index. A code held by very many vectors
-    is dealt out to several tasks, and each task ranks before it sends.
+    The banded ids stand for the stored index; codes get longer with the number of
+    vectors. A code held by very many vectors is dealt out to several tasks. Vectors are
+    fetched for the distinct pairs that have met.
     """
+    bits = code_bits(vectors.count()) if bits is None else bits
     stored = materialise(band_codes(vectors, "vec_id", bands, bits, seed), "bands")
-    asked = band_codes(queries, "query_id", bands, bits, seed).withColumnRenamed(
-        "embedding", "asked"
+    asked = band_codes(queries, "query_id", bands, bits, seed)
+    met = salted_join(stored, asked, ["dim", "band", "code"], "inner", spread_by=["vec_id"])
+    pairs = met.select("query_id", "vec_id").distinct()
+    near = pairs.join(_usable(vectors, "vec_id"), "vec_id").join(
+        _usable(queries, "query_id").withColumnRenamed("embedding", "asked"), "query_id"
     )
-    met = salted_join(stored, asked, ["band", "code"], "inner", spread_by=["vec_id"])
-    scored = met.select(
+    scored = near.select(
         "query_id", "vec_id", F.round(cosine("embedding", "asked"), DIGITS).alias("similarity")
     )
-    # A pair meets in at most `bands` bands, so the k best pairs are among the first
-    # k * bands rows: ranking runs before the shuffle, repeats go afterwards.
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    ahead = scored.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k * bands)
-    return _merged(ahead.drop("_n").distinct(), k)
+    return _merged(scored, k)

@@ -81,7 +81,9 @@ def enrich_pending(
 
 def commit(outcomes: DataFrame, folder: str, batch_id: int) -> None:
     """Write one batch of outcomes; writing it again replaces it."""
-    kept = materialise(outcomes, "outcomes")
+    kept = materialise(
+        outcomes.select("repo", "path", "abs_path", "outcome", "summary", "reason"), "outcomes"
+    )
     accepted, refused = enrich.split_outcome(kept)
     root = folder.rstrip("/")
     accepted.select("repo", "path", "abs_path", "summary").write.mode("overwrite").parquet(

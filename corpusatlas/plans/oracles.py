@@ -252,7 +252,7 @@ SELECT repo, path,
   CASE WHEN {_tokens("prompt")} > 120000 THEN substr(prompt, 1, 100000) ELSE prompt END AS prompt
 FROM made""",
     "enrich_pending": f"""WITH {_EDGES}, {_PROMPTS}
-SELECT repo, path, {_tokens("prompt")} AS n_tokens, {_TAG} AS tag, 'valid' AS outcome
+SELECT repo, path, {_tokens("prompt")} AS n_tokens, {_TAG} AS tag, sha256(prompt) AS digest, 'valid' AS outcome
 FROM made JOIN part ON p_partkey = k WHERE NOT p_size < 25""",
     "filter_graph_nodes": f"""WITH {_FILES}
 SELECT repo, 'src/pkg' || (k % 7) AS project, count(*) AS n_files FROM f WHERE k % 7 <> 3 GROUP BY 1, 2""",
@@ -266,7 +266,7 @@ FROM f WHERE m <= 8""",
 SELECT doc_id, coalesce(n.tag, e.tag) AS tag,
   CAST(CASE WHEN n.tag IS NULL THEN 0 ELSE 1 END AS INTEGER) AS batch_id
 FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'feature' ELSE 'utility' END AS tag FROM labels) e
-FULL OUTER JOIN (SELECT doc_id, 'ui-' || source AS tag FROM documents WHERE lang = 'en') n USING (doc_id)""",
+FULL OUTER JOIN (SELECT doc_id, 'ui-' || source AS tag FROM documents) n USING (doc_id)""",
     "refine_passes": f"""
 WITH s AS (
   SELECT doc_id, lang, text, {_SENTENCES} AS sentences FROM documents

@@ -23,6 +23,7 @@ from corpusatlas.operators import (
 from corpusatlas.plans import jobs
 from corpusatlas.session import materialise
 from corpusatlas.sources.code_files import ALIASES, code_files, located
+from corpusatlas.sources.files import tolerant_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,8 +179,13 @@ def manifest_union_repos(spark, sf):
 
 @query
 def content_or_empty(spark, sf):
-    readable = _files(spark, sf).where(F.col("ext") != ".yaml")
-    joined = manifest.with_content(_manifest(spark, sf), readable)
+    # The bytes of a .yaml file are no text here.
+    stored = F.when(F.col("ext") == ".yaml", F.unhex(F.lit("FFFE"))).otherwise(
+        F.encode("content", "UTF-8")
+    )
+    content, read_ok = tolerant_text(stored)
+    read = _files(spark, sf).withColumns({"content": content, "_ok": read_ok})
+    joined = manifest.with_content(_manifest(spark, sf), read.where("_ok").drop("_ok"))
     return joined.select("repo", "path", "content", "read_ok")
 
 
@@ -307,7 +313,7 @@ def extract_functions(spark, sf):
     )
     return found.select(
         "repo", "path", F.col("f.name").alias("name"), F.col("f.returnType").alias("return_type"),
-        F.posexplode("f.parameters").alias("param_no", "p"),
+        F.posexplode_outer("f.parameters").alias("param_no", "p"),
     ).select(
         "repo", "path", "name", "return_type", "param_no",
         F.col("p.name").alias("param_name"), F.col("p.type").alias("param_type"),
@@ -319,11 +325,11 @@ def extract_classes(spark, sf):
     files = _files(spark, sf).where(F.col("ext") == ".ts")
     found = files.select("repo", "path", F.explode(source.classes(F.col("content"))).alias("c"))
     methods = found.select(
-        "repo", "path", F.col("c.name").alias("class_name"), F.explode("c.methods").alias("m")
+        "repo", "path", F.col("c.name").alias("class_name"), F.explode_outer("c.methods").alias("m")
     )
     return methods.select(
         "repo", "path", "class_name", F.col("m.name").alias("method"),
-        F.col("m.returnType").alias("return_type"), F.explode("m.parameters").alias("p"),
+        F.col("m.returnType").alias("return_type"), F.explode_outer("m.parameters").alias("p"),
     ).select(
         "repo", "path", "class_name", "method", "return_type",
         F.col("p.name").alias("param_name"), F.col("p.type").alias("param_type"),
@@ -339,7 +345,7 @@ def extract_decorators(spark, sf):
     )
     return used.select(
         "repo", "path", "class_name", F.col("d.name").alias("decorator"),
-        F.posexplode("d.arguments").alias("arg_no", "argument"),
+        F.posexplode_outer("d.arguments").alias("arg_no", "argument"),
     )
 
 
@@ -349,7 +355,7 @@ def extract_interfaces(spark, sf):
     found = files.select("repo", "path", F.explode(source.interfaces(F.col("content"))).alias("i"))
     return found.select(
         "repo", "path", F.col("i.name").alias("name"),
-        F.posexplode("i.properties").alias("prop_no", "p"),
+        F.posexplode_outer("i.properties").alias("prop_no", "p"),
     ).select(
         "repo", "path", "name", "prop_no",
         F.col("p.name").alias("prop_name"), F.col("p.type").alias("prop_type"),
@@ -486,7 +492,7 @@ def summary_upsert(spark, sf):
         F.when(F.col("quality") == 1, "feature").otherwise("utility").alias("tag"),
         F.lit(0).alias("batch_id"),
     )
-    new = _table(spark, sf, "documents").where("lang = 'en'").select(
+    new = _table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("ui-"), "source").alias("tag"), F.lit(1).alias("batch_id")
     )
     return enrich.upsert(existing, new, ["doc_id"])
@@ -546,7 +552,8 @@ def enrich_pending(spark, sf):
     catalogue = jobs.index(corpus.files.select("repo", "path", "content"), ALIASES)
     made = jobs.enrich_pending(catalogue, summaries)
     return made.select(
-        "repo", "path", "n_tokens", F.get_json_object("summary", "$.tag").alias("tag"), "outcome"
+        "repo", "path", "n_tokens", F.get_json_object("summary", "$.tag").alias("tag"),
+        F.get_json_object("summary", "$.elementsDetail.digest").alias("digest"), "outcome",
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,7 +44,7 @@ def scratch_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusatlas-"))
     return context.getCheckpointDir().rstrip("/")

@@ -61,7 +61,10 @@ def test_listing_and_repository(spark, tmp_path):
     (tmp_path / "repo" / "src").mkdir(parents=True)
     (tmp_path / "repo" / "src" / "ü.ts").write_text("let ü = 1;")
     row = files.read_repository(spark, str(tmp_path / "repo"), repo="/r/app").first()
-    assert tuple(row) == ("/r/app", "src/ü.ts", "let ü = 1;")
+    assert tuple(row) == ("/r/app", "src/ü.ts", "let ü = 1;", True)
+    (tmp_path / "repo" / "logo.png").write_bytes(b"\x89PNG\xff\xfe")
+    image = files.read_repository(spark, str(tmp_path / "repo")).where("path = 'logo.png'").first()
+    assert (image.content, image.read_ok) == ("", False)
 
 
 def test_scratch_folder_is_the_configured_one(spark):

@@ -66,7 +66,7 @@ def test_salted_join_equals_join(spark, skewed, how):
 def test_salted_join_beyond_the_named_keys(spark, skewed):
     right = skewed.select("g").distinct().withColumn("r", F.length("g"))
     salted = salted_join(
-        skewed, right, ["g"], "inner", spread_by=["o"], rows_per_split=10, max_hot_keys=2
+        skewed, right, ["g"], "inner", spread_by=["o"], rows_per_split=10, broadcast_keys=2
     )
     assert as_set(salted) == as_set(skewed.join(right, ["g"]))
 
@@ -81,3 +81,23 @@ def test_salt_splits_the_hot_key(spark, skewed):
 def test_unknown_join_kind(skewed):
     with pytest.raises(ValueError):
         salted_join(skewed, skewed, ["g"], "full_outer", spread_by=["o"])
+
+
+def test_running_takes_a_null_group_for_a_group(spark):
+    rows = [(None if i % 2 else "g", i, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    for rows_per_task in (5, 1_000):
+        got = running(
+            df, ["g"], ["o"], {"r": ("sum", F.col("v"))}, totals=["r"], at_most=40, rows_per_task=rows_per_task
+        ).collect()
+        assert len(got) == 40
+        assert all(r.r == r.o // 2 + 1 and r.r_total == 20 for r in got)
+
+
+def test_every_hot_key_is_dealt_out_and_null_keys_too(spark):
+    rows = [(None if k == 0 else k, i) for k in range(60) for i in range(12)]
+    left = spark.createDataFrame(rows, "k int, o int")
+    right = spark.range(60).selectExpr("cast(id as int) k", "id * 2 as r")
+    for how in ("left", "inner"):
+        salted = salted_join(left, right, ["k"], how, spread_by=["o"], rows_per_split=3, broadcast_keys=5)
+        assert as_set(salted) == as_set(left.join(right, ["k"], how))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusatlas.operators import enrich, telemetry
 from corpusatlas.streaming.batches import enrich_new_files
-from corpusatlas.streaming.usage import usage_stream
+from corpusatlas.streaming.usage import running_totals, usage_stream
 
 
 def summaries(batch):
@@ -36,10 +36,46 @@ def test_batches_commit_and_resume(spark, tmp_path):
 
 
 def test_replayed_batch_adds_no_rows(spark, tmp_path):
-    df = spark.createDataFrame([("a", "valid", "s")], "path string, outcome string, summary string")
-    for _ in range(2):
-        df.write.mode("overwrite").parquet(str(tmp_path / "out" / "batch_id=0"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    """Take the last commit out of the checkpoint: the batch runs again and replaces its folder."""
+    source, out, mark = tmp_path / "in", tmp_path / "out", tmp_path / "mark"
+    source.mkdir()
+    for i in range(4):
+        (source / f"f{i}.ts").write_text(f"Sentence {i}.")
+    (source / "image.ts").write_bytes(b"\x89PNG\xff\xfe")
+
+    def run():
+        seen = []
+        query = enrich_new_files(
+            spark, str(source), str(out), str(mark),
+            lambda batch: seen.append(1) or batch.select("path", "content", "read_ok"), files_per_batch=3,
+        )
+        query.awaitTermination()
+        assert query.exception() is None
+        return len(seen)
+
+    assert run() == 2
+    for name in ("1", ".1.crc"):
+        (mark / "commits" / name).unlink(missing_ok=True)
+    assert run() == 1
+    rows = spark.read.parquet(str(out)).collect()
+    assert len(rows) == 5
+    assert [(r.content, r.read_ok) for r in rows if r.path.endswith("image.ts")] == [("", False)]
+
+
+def test_running_totals_count_a_late_event(spark, tmp_path):
+    schema = "run bigint, ts timestamp, kind string, completion_tokens bigint, prompt_tokens bigint, total_tokens bigint"
+    new, late = dt.datetime(2024, 6, 1), dt.datetime(2020, 1, 1)
+    for ts in (new, late):
+        spark.createDataFrame([(1, ts, telemetry.MODEL_END, 2, 3, 5)], schema).coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in")
+        )
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = (
+        running_totals(stream).writeStream.format("memory").queryName("late_totals").outputMode("complete")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("late_totals").select("run", "total_tokens", "n_ends").collect()] == [(1, 10, 2)]
 
 
 def test_usage_stream_equals_batch(spark, tmp_path):

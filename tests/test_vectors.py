@@ -40,9 +40,8 @@ def test_exact(spark, data):
     vectors, queries = table(spark, range(300), stored, "vec_id"), table(spark, range(4), asked, "query_id")
     expected = brute(stored, asked, 7)
     assert found(v.top_k(vectors, queries, 7)) == expected
-    # More queries than may travel: the grid of blocks.
-    assert found(v.top_k(vectors, queries, 7, max_queries=3)) == expected
-    assert found(v._top_k_blocks(vectors, queries, 7, block_rows=2)) == expected
+    # More queries than may travel at once: several blocks.
+    assert found(v.top_k(vectors, queries, 7, max_queries=1)) == expected
     assert found(v.top_k(vectors, queries.limit(0), 7)) == {}
     assert all(len(x) == 300 for x in found(v.top_k(vectors, queries, 500)).values())
 
@@ -56,3 +55,19 @@ def test_bands_find_near_copies(spark, data):
     hits = sum(len(set(got[q]) & set(expected[q])) for q in range(4))
     assert hits >= 9
     assert all(len(set(x)) == len(x) for x in got.values())
+
+
+@pytest.mark.parametrize("max_queries", [1, 1_024])
+def test_one_rule_for_vectors_that_cannot_be_used(spark, max_queries):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, []), (6, [None, 1.0, 0.0]), (7, [float("nan"), 1.0, 0.0]), (None, [1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    queries = vectors.withColumnRenamed("vec_id", "query_id")
+    got = found(v.top_k(vectors, queries, 5, max_queries=max_queries))
+    assert got == {1: [1, 2], 2: [2, 1], 3: [3]}
+    assert {r.vec_id for r in v.unusable(vectors).collect()} == {None, 4, 5, 6, 7}
+    near = found(v.top_k_lsh(vectors, queries, 5))
+    assert {q: r[0] for q, r in near.items()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_codes_get_longer_with_the_table():
+    assert v.code_bits(100) == 6 and v.code_bits(10**6) == 14 and v.code_bits(10**10) > 25
