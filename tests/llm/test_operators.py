@@ -244,7 +244,7 @@ def test_warc_odd_rows(spark):
     back = warc.archived(df)
     found = rows(back, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert found == sorted(brute.warc([(p, h) for p, _, h in table]), key=str)
-    assert {r.payload for r in back.where("page_id = 1").collect()} == {bytearray(big.encode())}
+    assert {bytes(r.payload) for r in back.where("page_id = 1").collect()} == {big.encode()}
     assert warc.archived(df.limit(0)).count() == 0
 
 
