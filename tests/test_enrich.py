@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pandas as pd
@@ -76,6 +77,7 @@ def test_default_passes(files):
     assert answer["tag"] == "feature"
     assert answer["elementsDetail"] == {
         "tokens": 5, "sentences": 4, "verification": "yes, in 30 characters",
+        "digest": hashlib.sha256(b"First 1. Second! Third? Fourth").hexdigest(),
     }
     assert rows["a1.ts"].questions == "Does the file say: First 1."
 
