@@ -11,7 +11,8 @@ a hash of the word and the numbers by chunk. For every distinct word:
 3. the edges are grouped by word, which needs no further shuffle,
 4. a higher-order aggregate folds them into one path.
 
-The paths go back to the words of every chunk, packed, and a chunk looks up its numbers.
+Beside its paths a bucket reads its words again, as each chunk sent them, and answers every
+chunk with one packed row of paths; a chunk looks up its numbers there.
 
 The fold follows the kind of the model. A unigram model takes the path with the greatest sum
 of scores (Viterbi: edges come by their end, the best path to every place is kept, equal
@@ -299,7 +300,7 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, buckets: int, chunk_bytes: i
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """`(dest, word, least, edges)` for `(dest, word, least)`: the pieces inside every word, ready to be folded.
+    """`(dest, word, edges)` for `(dest, word)`: the pieces inside every word, ready to be folded.
 
     An edge of a unigram model is a struct that sorts by end and start. An edge of a merge
     model is one number that sorts by rank and start: rank, start (6 bits), length (6),
@@ -311,7 +312,7 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     longest = F.least(F.lit(vocabulary.longest), F.col("size") - F.col("start"))
     cut = starts.withColumn("length", F.explode(F.sequence(F.lit(1), longest))).select(
-        "dest", "word", "least", "start", "length", F.substring("word", F.col("start") + 1, F.col("length")).alias("piece")
+        "dest", "word", "start", "length", F.substring("word", F.col("start") + 1, F.col("length")).alias("piece")
     )
     if vocabulary.merges:
         edge = F.expr(
@@ -328,8 +329,8 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return (
         cut.join(F.broadcast(pieces), "piece", "left")
         .where(F.col("id").isNotNull() | (F.col("length") == 1))
-        .select("dest", "word", "least", edge.alias("edge"))
-        .groupBy("dest", "word", "least").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+        .select("dest", "word", edge.alias("edge"))
+        .groupBy("dest", "word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
     )
 
 
@@ -393,57 +394,43 @@ def best_path(edges: str) -> Column:
 
 _PATHS = pa.schema(
     [
-        ("dest", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
-        ("numbers", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary()),
+        ("dest", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("total", pa.int64()),
+        ("counts", pa.binary()), ("ids", pa.binary()),
     ]
 )
 
 
-def _packer(shared):
-    """Pack `(place, ids, word)` rows as one row for each chunk; a word without ids is encoded here."""
-
-    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        place = table["place"].to_numpy()
-        lists = pa.concat_arrays(table["ids"].chunks)
-        known = lists.is_valid().to_numpy(zero_copy_only=False)
-        again = np.flatnonzero(~known)
-        words = table["word"].take(pa.array(again)).to_pylist()
-        added = pa.array([shared.value.encode_word(w) for w in words], lists.type)
-        place = np.concatenate([place[known], place[again]])
-        lists = pa.concat_arrays([lists.filter(pa.array(known)), added])
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        lists = lists.take(pa.array(order))
-        counts = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+def _looked_up(shared):
+    def look_up(sent: pa.Table, folded: pa.Table) -> pa.Table:
+        """The paths of one bucket's words, one row for each chunk that holds some of them."""
+        if not sent.num_rows or sent["dest"][0].as_py() < 0:
+            return _PATHS.empty_table()
+        words = folded["word"].to_pylist()
+        lists = pa.concat_arrays(folded["ids"].chunks)
+        again = np.flatnonzero(~lists.is_valid().to_numpy(zero_copy_only=False))
+        added = [shared.value.encode_word(words[i]) for i in again]
+        lists = pa.concat_arrays([lists, pa.array(added, lists.type)])
+        index = {word: i for i, word in enumerate(words)}
+        index.update((words[i], len(words) + k) for k, i in enumerate(again))
+        count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.concatenate([[0], np.cumsum(count)])[:-1]
         values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        stops = np.concatenate([[0], np.cumsum(counts)])
-        chunk = place >> _NUMBER_BITS
-        begins = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
         rows = []
-        for a, b in zip(begins, [*begins[1:], len(chunk)]):
-            number = (place[a:b] & ((1 << _NUMBER_BITS) - 1)).astype(np.uint32)
+        for base, data in zip(sent["base"].to_pylist(), sent["data"]):
+            mine = data.as_py().decode().split(_BREAK)
+            at = np.fromiter(map(index.__getitem__, mine), np.int64, len(mine))
+            times = count[at]
+            stops = np.concatenate([[0], np.cumsum(times)])
+            place = np.arange(stops[-1]) + np.repeat(begin[at] - stops[:-1], times)
             rows.append(
                 (
-                    -1 - int(chunk[a]), int(b - a), int(stops[b] - stops[a]),
-                    packed(np.diff(number, prepend=np.uint32(0))), packed(counts[a:b]), packed(values[stops[a] : stops[b]]),
+                    -1 - (base >> _NUMBER_BITS), base & ((1 << _NUMBER_BITS) - 1), len(mine), int(stops[-1]),
+                    packed(times.astype(np.int32)), packed(values[place]),
                 )
             )
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PATHS)], schema=_PATHS)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= 250_000:
-                yield flush(held)
-                held, n = [], 0
-        if held:
-            yield flush(held)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _PATHS)], schema=_PATHS)
 
-    return pack
+    return look_up
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
@@ -470,7 +457,7 @@ def _assemble(byte_ids: list[int], shared):
         parts = paths.to_pylist()
         own = row["own_pieces"]
         number = np.concatenate(
-            [*(np.cumsum(unpacked(p["numbers"], p["n"], np.uint32)) for p in parts), np.array(row["own_words"], np.int64)]
+            [*(np.arange(p["first"], p["first"] + p["n"]) for p in parts), np.array(row["own_words"], np.int64)]
         ).astype(np.int64)
         counts = np.concatenate(
             [*(unpacked(p["counts"], p["n"], np.int32) for p in parts), np.array([len(x) for x in own], np.int64)]
@@ -515,19 +502,22 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Every way down uses all columns and the same rows, so that the exchange is made once.
-    sent = chunks(docs, vocabulary, buckets, chunk_bytes).where("dest is not null").repartition("dest")
+    sent = chunks(docs, vocabulary, buckets, chunk_bytes).where("dest is not null and base is not null").repartition("dest")
     lines = F.when(F.col("dest") >= 0, F.split(F.col("data").cast("string"), _BREAK))
+    # The place is asked for only to read the base as well.
     places = (
-        sent.select("dest", "base", F.posexplode_outer(lines).alias("number", "word")).where("word is not null")
-        .select("dest", (F.col("base") + F.col("number")).alias("place"), "word")
+        sent.select("dest", "base", F.posexplode_outer(lines).alias("number", "word"))
+        .where("word is not null and base + number >= 0").select("dest", "word")
     )
     fold = merged_path if vocabulary.merges else best_path
-    distinct = places.groupBy("dest", "word").agg(F.min("place").alias("least"))
-    folded = lattice(distinct, vocabulary).select("dest", "word", "least", fold("edges").alias("ids"))
+    folded = lattice(places.distinct(), vocabulary).select(
+        F.col("dest").alias("bucket"), "word", fold("edges").alias("ids")
+    )
     shared = spark.sparkContext.broadcast(vocabulary)
-    paths = places.join(folded, ["dest", "word"]).where("place >= least").select(
-        "place", "ids", F.when(F.col("ids").isNull(), F.col("word")).alias("word")
-    ).mapInArrow(_packer(shared), "dest bigint, n bigint, total bigint, numbers binary, counts binary, ids binary")
+    paths = (
+        sent.groupBy("dest").cogroup(folded.groupBy("bucket"))
+        .applyInArrow(_looked_up(shared), "dest bigint, first bigint, n bigint, total bigint, counts binary, ids binary")
+    )
     assemble = _assemble(vocabulary.byte_ids, shared)
 
     def join(chunk: pa.Table, found: pa.Table) -> pa.Table:
