@@ -177,6 +177,22 @@ def test_near_duplicates_of_an_altered_group(spark):
     assert found == brute.near_duplicates(table)
 
 
+def test_near_duplicates_of_a_family_without_its_original(spark):
+    """Pairs of copies, far from all other pairs of their family but in the same buckets: no member is a centre for all."""
+    draw = random.Random(21)
+    original, table = words(22, 200).split(), []
+    for i in range(120):
+        one = list(original)
+        for j in draw.sample(range(200), 5):
+            one[j] = f"x{i}y{j}"
+        other = list(one)
+        other[draw.randrange(200)] = f"z{i}"
+        table += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 3, 85, bands=4, rows=1).collect()}
+    assert found == brute.near_duplicates(table)
+
+
 def test_near_duplicates_odd_rows(odd, empty, spark):
     found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, 3, 85).collect()}
     assert found == brute.near_duplicates(pairs())
