@@ -39,6 +39,10 @@ _BLOCK = frozenset(
     "td tfoot th thead tr ul".split()
 )
 _CONTAINER = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr html body li dd dt td th tr".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CELLS = frozenset(("td", "th"))
+#: What the start of an element ends if its end tag was left out; any block ends a paragraph.
+_ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": _CELLS, "th": _CELLS, "tr": {"tr"} | _CELLS}
 _OUT = frozenset("nav aside footer form menu dialog fieldset".split())
 _ARTICLE = frozenset(("article", "main"))
 #: Words of class, id and role that mark what is not the article.
@@ -127,13 +131,24 @@ def blocks(html: str) -> list[Block]:
             heading = False
         if name in ("p", "li", "td", "div", "article", "section"):
             in_link = False
-        if name not in _CONTAINER and not (m["rest"] and not ending):
-            continue
         if ending:
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
+                if stack[depth][0] == name or name in _HEADINGS and stack[depth][0] in _HEADINGS:
                     del stack[depth:]
                     break
+                if name not in _CONTAINER and stack[depth][0] in _CONTAINER:
+                    # The end of a paragraph or item does not reach out of its container.
+                    break
+            continue
+        # An element that was left open ends here; only marked ones are on the stack.
+        ended = _ENDS.get(name, set()) | {"p"}
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth][0] in _CONTAINER:
+                break
+            if stack[depth][0] in ended:
+                del stack[depth:]
+                break
+        if name not in _CONTAINER and not m["rest"] or name == "hr":
             continue
         rest = m["rest"]
         marks = _marks(rest) if "=" in rest else set()
@@ -149,7 +164,7 @@ def blocks(html: str) -> list[Block]:
         if name in _CONTAINER:
             stack.append((name, is_out, article, comment))
         elif own:
-            # A paragraph or item marked by itself ends with the next end tag of its kind.
+            # A paragraph or item marked by itself ends with its end tag or its next sibling.
             stack.append((name, True, article, comment))
     say(html[at:])
     close()

@@ -103,6 +103,15 @@ def test_main_text_by_block_rules():
     assert text.split("\n")[0] == "Title" and "Short." in text and "xkcd" not in text and "One" not in text
 
 
+def test_main_text_after_a_marked_paragraph():
+    for mark in ('<p class="share">Share</p>', '<p class="share">Share', '<h2 class="related">Share</h2>', '<ul><li class="share">Share<li>Item</ul>'):
+        kept = "Item\n" if "Item" in mark else ""
+        page = f"<body><article><p>One.</p>{mark}<p>Two.</p><h3>Three</h3><p>Four.</p></article></body>"
+        assert main_text.main_text(page) == f"One.\n{kept}Two.\nThree\nFour."
+    page = '<article><table><tr><td class="ad">Buy</td><td>Cell</td></tr><tr class="ad"><td>Buy</td></tr><tr><td>Last</td></tr></table></article>'
+    assert main_text.main_text(page) == "Cell\nLast"
+
+
 def test_main_text_odd_pages(spark):
     pages = [None, "", "plain", "<p", "<!-- open", "<script>x", "<p>" + "a " * 100_000, "&amp;&#x41;&bogus;", "<a href='>" * 50]
     df = spark.createDataFrame([(i, None, p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
