@@ -173,12 +173,14 @@ def blocks(html: str) -> list[Block]:
 
 def _first_pass(block: Block, marked: bool) -> bool | None:
     """True for main text, False for the rest, None if the block is too short to tell."""
-    if block.out or block.link_share > LINK_SHARE and not block.heading:
+    if block.out:
         return False
     if marked:
         return block.article
+    if block.link_share > LINK_SHARE and not block.heading:
+        return False
     if block.heading or len(block.text) < SHORT:
-        return None if block.link_share == 0 or block.heading else False
+        return None
     words = _WORD.findall(block.text.lower())
     share = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
     if share >= HIGH_SHARE or share >= LOW_SHARE and len(block.text) > LONG:

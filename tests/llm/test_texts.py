@@ -112,6 +112,15 @@ def test_main_text_after_a_marked_paragraph():
     assert main_text.main_text(page) == "Cell\nLast"
 
 
+def test_main_text_keeps_links_of_the_article():
+    page = "<article><p>One.</p><p>See <a href=1>this one here</a>.</p><ul><li><a href=2>Reference</a></li></ul></article><p><a href=3>Out</a></p>"
+    assert main_text.main_text(page) == "One.\nSee this one here.\nReference"
+    long = "This is the long paragraph of the page, and it has all of the words that one would want in it."
+    assert main_text.main_text(f"<p>{long}</p><p>It is a short one, with <a href=1>a link</a>.</p><p>{long}</p><p><a href=1>Out</a></p>").split("\n") == [
+        long, "It is a short one, with a link.", long
+    ]
+
+
 def test_main_text_odd_pages(spark):
     pages = [None, "", "plain", "<p", "<!-- open", "<script>x", "<p>" + "a " * 100_000, "&amp;&#x41;&bogus;", "<a href='>" * 50]
     df = spark.createDataFrame([(i, None, p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
