@@ -17,6 +17,7 @@ extracted; an empty table gives an empty result; other columns are not touched.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -54,6 +55,12 @@ _OUT_WORDS = frozenset(
 )
 _COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion".split())
 _HEADER_WORDS = frozenset("header masthead topbar".split())
+#: Words that may stand beside these in a compound; any other word makes it another name (no-sidebar, tag-search).
+_BESIDE = frozenset(
+    "area article bar block body bottom box btn button buttons center column container content entry form global group "
+    "holder icon icons inner item items left link links list main module page pane panel post posts primary right row "
+    "secondary section site slot story tool tools top unit wrap wrapper x".split()
+)
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -74,31 +81,38 @@ class Block:
     out: bool
     article: bool
     heading: bool
+    #: Where the elements begin whose names alone mark the block out.
+    under: tuple[int, ...] = ()
 
 
 def _marks(rest: str) -> set[str]:
+    """The marking words of names that consist of them and of words that may stand beside them."""
     found = set()
     for m in _MARK.finditer(rest):
-        found.update(re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()))
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = set(re.split(r"[^a-z]+", name)) - {""}
+            marks = words & (_OUT_WORDS | _COMMENT_WORDS | _HEADER_WORDS)
+            if words - marks <= _BESIDE:
+                found |= marks
     return found
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks with text in page order."""
+def blocks(html: str, ignored: frozenset[int] = frozenset()) -> list[Block]:
+    """The blocks with text in page order; names of elements that begin at `ignored` mark nothing."""
     out: list[Block] = []
     pieces: list[str] = []
     linked = at = 0
     in_link = heading = False
-    # (element, out, article, comment): what holds inside every open container.
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # (element, out, article, comment, under): what holds inside every open container.
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]
 
     def close() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
             size = sum(len(p.strip()) for p in pieces) or 1
-            _, is_out, article, _ = stack[-1]
-            out.append(Block(text, linked / size, is_out, article, heading))
+            _, is_out, article, _, under = stack[-1]
+            out.append(Block(text, linked / size, is_out, article, heading, under))
         pieces.clear()
         linked = 0
 
@@ -151,26 +165,48 @@ def blocks(html: str) -> list[Block]:
         if name not in _CONTAINER and not m["rest"] or name == "hr":
             continue
         rest = m["rest"]
-        marks = _marks(rest) if "=" in rest else set()
-        _, is_out, article, comment = stack[-1]
+        marks = _marks(rest) if "=" in rest and name not in ("html", "body") else set()
+        _, is_out, article, comment, under = stack[-1]
         comment = comment or bool(marks & _COMMENT_WORDS)
-        own = bool(name in _OUT or marks & _OUT_WORDS or comment or _HIDDEN.search(rest))
-        own = own or (not article and (name == "header" or bool(marks & _HEADER_WORDS)))
+        hard = bool(name in _OUT or comment or _HIDDEN.search(rest)) or name == "header" and not article
+        # A name says less than an article element, and less than what most of the page stands in.
+        named = name not in _ARTICLE and m.start() not in ignored
+        named = named and bool(marks & (_OUT_WORDS if article else _OUT_WORDS | _HEADER_WORDS))
+        own = hard or named
         if name in _ARTICLE:
             # An article in a container that was left open is still the article.
-            is_out, article = own, not own
+            is_out, article, under = own, not own, ()
         else:
+            if hard or article:
+                under = ()
+            elif named and (under or not is_out):
+                under = (*under, m.start())
             is_out = is_out or own
         if name in _CONTAINER:
-            stack.append((name, is_out, article, comment))
+            stack.append((name, is_out, article, comment, under))
         elif own:
             # A paragraph or item marked by itself ends with its end tag or its next sibling.
-            stack.append((name, True, article, comment))
+            stack.append((name, True, article, comment, under))
     say(html[at:])
     close()
     return out
 
 
+def judged_blocks(html: str) -> list[Block]:
+    """The blocks, where no name of an element marks most of the page's text out."""
+    ignored: frozenset[int] = frozenset()
+    while True:
+        found = blocks(html, ignored)
+        held: Counter[int] = Counter()
+        for block in found:
+            held.update(dict.fromkeys(block.under, len(block.text)))
+        total = sum(len(b.text) for b in found if b.under or not b.out)
+        most = {at for at, size in held.items() if 2 * size > total}
+        if not most:
+            return found
+        ignored |= most
+
+
 def _first_pass(block: Block, marked: bool) -> bool | None:
     """True for main text, False for the rest, None if the block is too short to tell."""
     if block.out:
@@ -218,7 +254,7 @@ def _second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
+    found = judged_blocks(html or "")
     marked = any(b.article and not b.out for b in found)
     labels = _second_pass(found, [_first_pass(b, marked) for b in found])
     return "\n".join(b.text for b, good in zip(found, labels) if good)

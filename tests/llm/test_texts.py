@@ -121,6 +121,19 @@ def test_main_text_keeps_links_of_the_article():
     ]
 
 
+def test_main_text_of_pages_whose_names_only_mention_what_is_out():
+    long = "This is the long paragraph of the page, and it has all of the words that one would want in it."
+    notice = '<div class="share-buttons">It is the place to share that with all of the others.</div>'
+    for page in (
+        f'<body class="no-sidebar sidebar"><div><p>{long}</p></div>{notice}</body>',
+        f'<body><div class="layout with-sidebar"><p>{long}</p></div>{notice}</body>',
+        f'<body><article class="post tag-search category-social"><p>{long}</p></article>{notice}</body>',
+        f'<body><article class="related"><p>{long}</p></article>{notice}</body>',
+        f'<body><div class="sidebar"><p>{long}</p><p>{long[:-1]}!</p></div>{notice}</body>',
+    ):
+        assert main_text.main_text(page).startswith(long) and "others" not in main_text.main_text(page)
+
+
 def test_main_text_odd_pages(spark):
     pages = [None, "", "plain", "<p", "<!-- open", "<script>x", "<p>" + "a " * 100_000, "&amp;&#x41;&bogus;", "<a href='>" * 50]
     df = spark.createDataFrame([(i, None, p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
