@@ -24,6 +24,8 @@ from corpusatlas.session import materialise
 MAX_QUERIES = 1_024
 ROWS_PER_CODE = 64
 DIGITS = 6
+#: Expected recall that the number of bands is chosen for, and the queries it is estimated on.
+RECALL, SAMPLE_QUERIES = 0.95, 256
 _HITS = "query_id long, vec_id long, similarity double"
 
 
@@ -161,11 +163,28 @@ def code_bits(n_vectors: int) -> int:
     return max(6, (max(1, n_vectors) // ROWS_PER_CODE).bit_length())
 
 
+def bands_for(similarities: np.ndarray, bits: int, recall: float = RECALL) -> int:
+    """The least number of bands in which neighbours as near as these are met with `recall`."""
+    alike = (1 - np.arccos(np.clip(similarities, -1, 1)) / np.pi) ** bits
+
+    def met(bands: int) -> float:
+        return float(np.mean(1 - (1 - alike) ** bands))
+
+    high = 1
+    while met(high) < recall and high < 1 << 40:
+        high *= 2
+    low = high // 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if met(middle) >= recall else (middle, high)
+    return high
+
+
 def top_k_lsh(
     vectors: DataFrame,
     queries: DataFrame,
     k: int,
-    bands: int = 8,
+    bands: int | None = None,
     bits: int | None = None,
     seed: int = 7,
 ) -> DataFrame:
@@ -174,8 +193,18 @@ def top_k_lsh(
     The banded ids stand for the stored index; codes get longer with the number of
     vectors. A code held by very many vectors is dealt out to several tasks. Vectors are
     fetched for the distinct pairs that have met.
+
+    Without `bands`, exact neighbours of a sample of queries tell how many bands are needed
+    for `RECALL`. If so many bands would meet as many vectors as there are, the search is exact.
     """
-    bits = code_bits(vectors.count()) if bits is None else bits
+    n_vectors = vectors.count() if bits is None or bands is None else 0
+    bits = code_bits(n_vectors) if bits is None else bits
+    if bands is None:
+        sample = _usable(queries, "query_id").orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE_QUERIES)
+        near = top_k(vectors, sample, k).select("similarity").toArrow()["similarity"].to_numpy()
+        bands = bands_for(near, bits) if len(near) else 1
+        if bands * ROWS_PER_CODE >= n_vectors:
+            return top_k(vectors, queries, k)
     stored = materialise(band_codes(vectors, "vec_id", bands, bits, seed), "bands")
     asked = band_codes(queries, "query_id", bands, bits, seed)
     met = salted_join(stored, asked, ["dim", "band", "code"], "inner", spread_by=["vec_id"])

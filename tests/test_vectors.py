@@ -71,3 +71,23 @@ def test_one_rule_for_vectors_that_cannot_be_used(spark, max_queries):
 
 def test_codes_get_longer_with_the_table():
     assert v.code_bits(100) == 6 and v.code_bits(10**6) == 14 and v.code_bits(10**10) > 25
+
+
+def test_recall_of_the_registered_query(spark):
+    from corpusatlas.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    got, expected = found(QUERIES["vector_topk_lsh"](spark, sf)), found(QUERIES["vector_topk"](spark, sf))
+    hits = sum(len(set(got[q]) & set(expected[q])) for q in expected)
+    assert hits >= 0.9 * sum(map(len, expected.values()))
+
+
+def test_recall_by_bands_with_default_numbers(spark):
+    """Enough vectors that bands are used: groups of ten around 1,000 centres."""
+    rng = np.random.default_rng(3)
+    stored = np.repeat(rng.standard_normal((1_000, 32)), 10, axis=0) + 0.25 * rng.standard_normal((10_000, 32))
+    asked = stored[::250]
+    assert v.bands_for(np.array([0.9]), v.code_bits(10_000)) * v.ROWS_PER_CODE < 10_000
+    got = found(v.top_k_lsh(table(spark, range(10_000), stored, "vec_id"), table(spark, range(40), asked, "query_id"), 10))
+    expected = brute(stored.astype(np.float32), asked.astype(np.float32), 10)
+    assert sum(len(set(got[q]) & set(expected[q])) for q in expected) >= 0.9 * 400
