@@ -8,10 +8,10 @@ or one bucket.
 1. Cover sample. The offsets of a text that fall into a difference cover modulo 31 are six
    in 31, and any two equal strings of `length` bytes, wherever they start, have a sampled
    offset in common within their first 31 bytes. The 20 bytes at every sampled offset are
-   ordered bucket by bucket; this gives each sample its rank class and tells which classes
-   reach into another document.
+   fingerprinted and ordered bucket by bucket, which tells by one bit each which samples
+   another block has too. No ranks are computed.
 2. Suffix buckets. A suffix can only tie with one of another document to the full depth if
-   one of the samples in its first 31 bytes is in such a class. These suffixes alone are
+   one of the samples in its first 31 bytes is in another block or in several texts of its own. These alone are
    dealt out to buckets. A bucket is ordered by suffix key and then by document, which
    resolves its ties: the first document of a tie keeps its bytes, the later ones lose them.
 3. Every block gets one bit for each of its keys back, and covers the bytes.
