@@ -5,6 +5,8 @@ import pytest
 
 import check_oracles
 from __spark_entry__ import entry, oracle_sql, queries
+from corpusatlas.plans.oracles import ORACLES
+from corpusatlas.plans.queries import QUERIES
 
 WITHOUT_SQL = {"vector_topk_lsh"}
 
@@ -22,13 +24,14 @@ def test_entry(spark):
 
 
 def test_keys():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_SQL
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if n not in WITHOUT_SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WITHOUT_SQL])
 def test_equals_sql(spark, sf, connection, name):
-    result = queries()[name](spark, sf)
-    answer = connection.execute(oracle_sql()[name])
+    result = QUERIES[name](spark, sf)
+    answer = connection.execute(ORACLES[name])
     assert set(result.columns) == {d[0] for d in answer.description}
     assert check_oracles._plain(result.toPandas()) == check_oracles._plain(answer.df())
