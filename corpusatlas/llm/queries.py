@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusatlas.llm import decontaminate, language, main_text, near_dedup, pieces, quality, secrets, site_lines, substring_dedup, warc
+from corpusatlas.llm import decontaminate, language, main_text, near_dedup, pieces, quality, secrets, site_lines, substring_dedup, vector_codes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -98,11 +98,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and the digest of the codebooks they index."""
+    found, books = vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_main_text, op3_sentencepiece, op4_decontaminate, op5_substring_dedup, op6_near_dedup, op7_language_id, op8_quality_rules, op9_warc,
-        op10_line_dedup,
+        op10_line_dedup, op11_vector_codes,
     )
 }
-ORACLES: dict[str, str] = {"op1_secret_scan": secrets.oracle()}
+ORACLES: dict[str, str] = {"op1_secret_scan": secrets.oracle(), "op11_vector_codes": vector_codes.ORACLE_SQL}
