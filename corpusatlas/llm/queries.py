@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusatlas.llm import decontaminate, language, main_text, near_dedup, pieces, quality, repeated_words, secrets, site_lines, substring_dedup, vector_codes, warc
+from corpusatlas.llm import conversation_trie, decontaminate, language, main_text, near_dedup, pieces, quality, repeated_words, secrets, site_lines, substring_dedup, vector_codes, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -104,6 +104,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_words.without_repeats(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -113,7 +117,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_main_text, op3_sentencepiece, op4_decontaminate, op5_substring_dedup, op6_near_dedup, op7_language_id, op8_quality_rules, op9_warc,
-        op10_line_dedup, op11_vector_codes, op13_repeated_words,
+        op10_line_dedup, op11_vector_codes, op12_conversation_trie,
+        op13_repeated_words,
     )
 }
-ORACLES: dict[str, str] = {"op1_secret_scan": secrets.oracle(), "op11_vector_codes": vector_codes.ORACLE_SQL, "op13_repeated_words": repeated_words.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_secret_scan": secrets.oracle(), "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_conversation_trie": conversation_trie.ORACLE_SQL,
+    "op13_repeated_words": repeated_words.ORACLE_SQL,
+}
