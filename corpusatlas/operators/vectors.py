@@ -10,8 +10,7 @@ A query meets vectors of its own length only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +21,15 @@ from corpusatlas.operators.skew import salted_join
 from corpusatlas.session import materialise
 
 MAX_QUERIES = 1_024
+#: Rows of a block when more queries meet the vectors, and rows that are scored at a time.
+BLOCK_VECTORS, BLOCK_QUERIES = 65_536, 16_384
+SCORED_VECTORS, SCORED_QUERIES = 8_192, 1_024
 ROWS_PER_CODE = 64
 DIGITS = 6
 #: Expected recall that the number of bands is chosen for, and the queries it is estimated on.
 RECALL, SAMPLE_QUERIES = 0.95, 256
 _HITS = "query_id long, vec_id long, similarity double"
+_NO_HITS = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
 
 
 def _bad(id_column: str) -> Column:
@@ -42,11 +45,12 @@ def unusable(vectors: DataFrame, id_column: str = "vec_id") -> DataFrame:
     return vectors.where(_bad(id_column))
 
 
-def _usable(vectors: DataFrame, id_column: str) -> DataFrame:
+def usable(vectors: DataFrame, id_column: str) -> DataFrame:
+    """The rows that searches take."""
     return vectors.where(~_bad(id_column)).select(id_column, "embedding")
 
 
-def _matrices(ids: pa.Array, column: pa.ChunkedArray | pa.Array) -> dict[int, tuple]:
+def matrices(ids: pa.Array, column: pa.ChunkedArray | pa.Array) -> dict[int, tuple]:
     """Ids and unit vectors by length; a zero vector stays zero."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = array.value_lengths().to_numpy(zero_copy_only=False)
@@ -83,7 +87,7 @@ def _best(
     )
 
 
-def _merged(hits: DataFrame, k: int) -> DataFrame:
+def merged(hits: DataFrame, k: int) -> DataFrame:
     ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return (
         hits.withColumn("rank", F.row_number().over(ranked).cast("int"))
@@ -93,16 +97,71 @@ def _merged(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _top_k_of(vectors: DataFrame, queries: pa.Table, k: int) -> DataFrame:
-    asked = _matrices(queries["query_id"], queries["embedding"]) if queries.num_rows else {}
+    asked = matrices(queries["query_id"], queries["embedding"]) if queries.num_rows else {}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stored = _matrices(batch.column(0), batch.column(1)) if batch.num_rows else {}
+            stored = matrices(batch.column(0), batch.column(1)) if batch.num_rows else {}
             for size, (ids, rows) in stored.items():
                 if size in asked:
                     yield _best(*asked[size], ids, rows, k)
 
-    return _usable(vectors, "vec_id").mapInArrow(search, _HITS)
+    return usable(vectors, "vec_id").mapInArrow(search, _HITS)
+
+
+def block_hits(
+    stored: DataFrame, asked: DataFrame, group: Sequence[str], k: int,
+    vectors_per_block: int = BLOCK_VECTORS, queries_per_block: int = BLOCK_QUERIES,
+) -> DataFrame:
+    """Hits `(query_id, vec_id, similarity)` of queries and vectors of the same group, block by block.
+
+    A group is cut into blocks of vectors and of queries by hashed ids; every pair of blocks
+    is one task's work and keeps its k best for each query. Groups are few (the cells of
+    an index, or one), so their sizes may travel to all rows.
+    """
+    keys = list(group)
+
+    def cut(rows: DataFrame, name: str, most: int) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name))
+
+    sizes = F.broadcast(cut(stored, "_v", vectors_per_block).join(cut(asked, "_q", queries_per_block), keys))
+
+    def dealt(rows: DataFrame, id_column: str, own: str, other: str) -> DataFrame:
+        # New names, because both sides may come from one table.
+        sized = rows.select(*(F.col(c).alias(c) for c in (*keys, id_column, "embedding"))).join(sizes, keys)
+        place = F.pmod(F.xxhash64(id_column, "embedding"), F.col(own)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        return sized.select(*keys, id_column, "embedding", place, every)
+
+    left, right = dealt(stored, "vec_id", "_v", "_q"), dealt(asked, "query_id", "_q", "_v")
+
+    def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return _NO_HITS
+        held = matrices(queries["query_id"], queries["embedding"])
+        found = []
+        for at in range(0, vectors.num_rows, SCORED_VECTORS):
+            part = vectors.slice(at, SCORED_VECTORS)
+            for size, (ids, rows) in matrices(part["vec_id"], part["embedding"]).items():
+                if size not in held:
+                    continue
+                asked_ids, asked_rows = held[size]
+                for n in range(0, len(asked_ids), SCORED_QUERIES):
+                    some = slice(n, n + SCORED_QUERIES)
+                    found.append(_best(asked_ids[some], asked_rows[some], ids, rows, k))
+        if not found:
+            return _NO_HITS
+        hits = pa.Table.from_batches(found)
+        # The best of all slices.
+        order = np.lexsort([hits["vec_id"].to_numpy(), -hits["similarity"].to_numpy(), hits["query_id"].to_numpy()])
+        asked_by = hits["query_id"].to_numpy()[order]
+        first = np.flatnonzero(np.append(True, asked_by[1:] != asked_by[:-1]))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        return hits.take(pa.array(order[rank < k]))
+
+    both = [*keys, "_v", "_q"]
+    left, right = (side.select(*(F.col(c).alias(c) for c in side.columns)) for side in (left, right))
+    return left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(search, _HITS)
 
 
 def top_k(
@@ -110,14 +169,19 @@ def top_k(
 ) -> DataFrame:
     """Exact k nearest vectors of every query.
 
-    Queries travel to the vectors, which are not shuffled, in blocks of about
-    `max_queries`; every block is one scan of the vectors.
+    Up to `max_queries` queries travel to the vectors, which are not shuffled then. More
+    queries meet the vectors in pairs of blocks.
     """
-    wanted = _usable(queries, "query_id")
-    blocks = max(1, -(-wanted.count() // max_queries))
-    place = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [_top_k_of(vectors, wanted.where(place == n).toArrow(), k) for n in range(blocks)]
-    return _merged(reduce(DataFrame.union, parts), k)
+    wanted = usable(queries, "query_id")
+    if wanted.limit(max_queries + 1).count() <= max_queries:
+        return merged(_top_k_of(vectors, wanted.toArrow(), k), k)
+    whole = F.lit(0).alias("_all")
+    hits = block_hits(
+        usable(vectors, "vec_id").select(whole, "vec_id", "embedding"),
+        wanted.select(whole, "query_id", "embedding"), ["_all"], k,
+        queries_per_block=min(max_queries * 16, BLOCK_QUERIES),
+    )
+    return merged(hits, k)
 
 
 def band_codes(
@@ -129,7 +193,7 @@ def band_codes(
     """
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stored = _matrices(batch.column(0), batch.column(1)) if batch.num_rows else {}
+            stored = matrices(batch.column(0), batch.column(1)) if batch.num_rows else {}
             for size, (ids, rows) in stored.items():
                 planes = np.random.default_rng([seed, size]).standard_normal((bands * bits, size))
                 sides = (rows @ planes.T >= 0).reshape(len(rows), bands, bits)
@@ -143,7 +207,7 @@ def band_codes(
                     names=[id_column, "dim", "codes"],
                 )
 
-    coded = _usable(vectors, id_column).mapInArrow(
+    coded = usable(vectors, id_column).mapInArrow(
         encode, f"{id_column} long, dim int, codes array<long>"
     )
     return coded.select(id_column, "dim", F.posexplode("codes").alias("band", "code"))
@@ -187,6 +251,7 @@ def top_k_lsh(
     bands: int | None = None,
     bits: int | None = None,
     seed: int = 7,
+    exact_if_cheaper: bool = True,
 ) -> DataFrame:
     """Approximate search: vectors sharing a band code with a query, ranked exactly.
 
@@ -195,24 +260,25 @@ def top_k_lsh(
     fetched for the distinct pairs that have met.
 
     Without `bands`, exact neighbours of a sample of queries tell how many bands are needed
-    for `RECALL`. If so many bands would meet as many vectors as there are, the search is exact.
+    for `RECALL`. If so many bands would meet as many vectors as there are, the search is exact,
+    unless `exact_if_cheaper` is false.
     """
     n_vectors = vectors.count() if bits is None or bands is None else 0
     bits = code_bits(n_vectors) if bits is None else bits
     if bands is None:
-        sample = _usable(queries, "query_id").orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE_QUERIES)
+        sample = usable(queries, "query_id").orderBy(F.xxhash64("query_id"), "query_id").limit(SAMPLE_QUERIES)
         near = top_k(vectors, sample, k).select("similarity").toArrow()["similarity"].to_numpy()
         bands = bands_for(near, bits) if len(near) else 1
-        if bands * ROWS_PER_CODE >= n_vectors:
+        if exact_if_cheaper and bands * ROWS_PER_CODE >= n_vectors:
             return top_k(vectors, queries, k)
     stored = materialise(band_codes(vectors, "vec_id", bands, bits, seed), "bands")
     asked = band_codes(queries, "query_id", bands, bits, seed)
     met = salted_join(stored, asked, ["dim", "band", "code"], "inner", spread_by=["vec_id"])
     pairs = met.select("query_id", "vec_id").distinct()
-    near = pairs.join(_usable(vectors, "vec_id"), "vec_id").join(
-        _usable(queries, "query_id").withColumnRenamed("embedding", "asked"), "query_id"
+    near = pairs.join(usable(vectors, "vec_id"), "vec_id").join(
+        usable(queries, "query_id").withColumnRenamed("embedding", "asked"), "query_id"
     )
     scored = near.select(
         "query_id", "vec_id", F.round(cosine("embedding", "asked"), DIGITS).alias("similarity")
     )
-    return _merged(scored, k)
+    return merged(scored, k)

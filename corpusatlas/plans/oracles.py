@@ -350,6 +350,15 @@ FROM documents d LEFT JOIN langs l ON l.lang = d.lang LEFT JOIN modes m ON m.mod
     "escape_braces": """SELECT doc_id,
   '{{' || lang || '}} ' || replace(replace(text, '{', '{{'), '}', '}}') AS escaped FROM documents""",
     "vector_topk": """
+WITH scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+    round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, similarity FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY similarity DESC, vec_id)
+QUALIFY row_number() OVER w <= 10""",
+    "vector_topk_centres": """
 WITH parts AS (
   SELECT CAST(label AS BIGINT) AS query_id, unnest(range(len(embedding))) AS pos,
     unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusatlas.functions import answers, markup, paths, source, text
 from corpusatlas.operators import (
+    cells,
     context,
     conversations,
     documents,
@@ -21,7 +23,7 @@ from corpusatlas.operators import (
     vectors,
 )
 from corpusatlas.plans import jobs
-from corpusatlas.session import materialise
+from corpusatlas.session import materialise, scratch_folder
 from corpusatlas.sources.code_files import ALIASES, code_files, located
 from corpusatlas.sources.files import tolerant_text
 
@@ -643,14 +645,32 @@ def escape_braces(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", text.escape_braces(marked).alias("escaped"))
 
 
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated query set of the searches: every vector whose id is divisible by 100."""
+    rows = _table(spark, sf, "embeddings").where(F.col("vec_id") % 100 == 0)
+    return rows.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 @query
 def vector_topk(spark, sf):
+    return vectors.top_k(_table(spark, sf, "embeddings"), _asked(spark, sf), k=10)
+
+
+@query
+def vector_topk_centres(spark, sf):
     return vectors.top_k(_table(spark, sf, "embeddings"), _label_centres(spark, sf), k=10)
 
 
 @query
 def vector_topk_lsh(spark, sf):
-    return vectors.top_k_lsh(_table(spark, sf, "embeddings"), _label_centres(spark, sf), k=10)
+    return vectors.top_k_lsh(_table(spark, sf, "embeddings"), _asked(spark, sf), k=10, exact_if_cheaper=False)
+
+
+@query
+def vector_topk_cells(spark, sf):
+    stored = _table(spark, sf, "embeddings")
+    index = cells.CellIndex.write(stored, f"{scratch_folder(spark)}/cells-{uuid.uuid4().hex}", k=10)
+    return index.search(_asked(spark, sf), k=10)
 
 
 # ---- conversations -----------------------------------------------------------

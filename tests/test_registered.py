@@ -8,7 +8,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from corpusatlas.plans.oracles import ORACLES
 from corpusatlas.plans.queries import QUERIES
 
-WITHOUT_SQL = {"vector_topk_lsh"}
+#: Approximate searches; `test_vectors.py` and `test_cells.py` measure their recall.
+WITHOUT_SQL = {"vector_topk_lsh", "vector_topk_cells"}
 
 
 @pytest.fixture(scope="module")

@@ -42,6 +42,9 @@ def test_exact(spark, data):
     assert found(v.top_k(vectors, queries, 7)) == expected
     # More queries than may travel at once: several blocks.
     assert found(v.top_k(vectors, queries, 7, max_queries=1)) == expected
+    whole = vectors.selectExpr("0 AS g", "vec_id", "embedding")
+    blocks = v.block_hits(whole, queries.selectExpr("0 AS g", "query_id", "embedding"), ["g"], 7, 40, 2)
+    assert found(v.merged(blocks, 7)) == expected
     assert found(v.top_k(vectors, queries.limit(0), 7)) == {}
     assert all(len(x) == 300 for x in found(v.top_k(vectors, queries, 500)).values())
 
