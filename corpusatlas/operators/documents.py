@@ -46,18 +46,18 @@ def from_records(records: DataFrame, size: int = text.CHUNK_TOKENS) -> DataFrame
     return chunked(records.select(metadata.alias("metadata"), body.alias("text")), size)
 
 
+def chunk_key(repository: Column, source: Column, chunk_no: Column) -> Column:
+    """The text whose digest names a chunk."""
+    return F.concat_ws("\n", repository, source, chunk_no.cast("string"))
+
+
 def with_vectors(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Chunks of a store: `(chunk_id, text, metadata, embedding)`.
 
     The id is a digest of source and chunk number, so it is the same in every run;
     vectors `(chunk_id, embedding)` come from outside and may be missing.
     """
-    key = F.concat_ws(
-        "\n",
-        F.col("metadata")["repository"],
-        F.col("metadata")["source"],
-        F.col("chunk_no").cast("string"),
-    )
+    key = chunk_key(F.col("metadata")["repository"], F.col("metadata")["source"], F.col("chunk_no"))
     identified = chunks.withColumn("chunk_id", F.sha2(key, 256))
     return identified.join(embeddings, "chunk_id", "left").select(
         "chunk_id", "text", "metadata", "embedding"

@@ -53,12 +53,18 @@ def tag_by_rule(path: Column) -> Column:
 
 
 def _sentences(content: Column) -> Column:
+    """All sentences of a text, those with the most tokens first, then in the text's order."""
     found = F.regexp_extract_all(content, F.lit(r"[^.!?\n]*[^.!? \n\t\r][^.!?\n]*[.!?]?"), F.lit(0))
-    return F.transform(found, lambda s: F.trim(s))
+    ranked = F.array_sort(
+        F.transform(
+            found, lambda s, i: F.struct((-text.token_count(s)).alias("rank"), i.alias("at"), F.trim(s).alias("said"))
+        )
+    )
+    return F.transform(ranked, lambda s: s["said"])
 
 
 def _summary(n: int) -> Column:
-    """Pass `n` keeps what the last answer said and adds the next sentence."""
+    """Pass `n` keeps what the last answer said and adds the densest sentence that is left."""
     before = F.get_json_object(F.col("answer"), "$.fileDescription")
     sentences = F.col("_sentences")
     detail = F.struct(
@@ -84,8 +90,8 @@ def _questions() -> Column:
 
 def _answers() -> Column:
     said = F.get_json_object(F.col("answer"), "$.fileDescription")
-    verdict = F.when(F.col("content").contains(said), "yes").otherwise("no")
-    return F.concat(verdict, F.lit(", in "), F.length("content").cast("string"), F.lit(" characters"))
+    verdict = F.when(F.col("_read").contains(said), "yes").otherwise("no")
+    return F.concat(verdict, F.lit(", in "), F.length("_read").cast("string"), F.lit(" characters"))
 
 
 def _guarded(model: Model, rows: pd.DataFrame, step: str, n: int) -> Sequence:
@@ -115,18 +121,15 @@ def refine(files: DataFrame, passes: int = PASSES, model: Model | None = None) -
 
     Input `(repo, path, content, …)`, with `prompt` if one was made. After the first pass, questions are drawn from
     its answer and answered from the file; later passes see both. Without a `model`
-    the steps are built-in expressions and nothing leaves the JVM.
+    the steps are built-in expressions over all of the prompt (without one, of the text), and
+    nothing leaves the JVM.
     """
     state = files.select("*", *(F.lit(None).cast(T.StringType()).alias(c) for c in _STATE))
     if model is None:
-        # Facts of the text, worked out once for all passes.
-        content = F.col("content")
+        # Facts of the whole guarded prompt, or of the text without one, worked out once for all passes.
+        read = F.col("prompt") if "prompt" in files.columns else F.col("content")
         state = state.withColumns(
-            {
-                "_sentences": _sentences(content),
-                "_tokens": text.token_count(content),
-                "_read": F.col("prompt") if "prompt" in files.columns else content,
-            }
+            {"_sentences": _sentences(read), "_tokens": text.token_count(read), "_read": read}
         )
     for n in range(passes):
         if model is None:

@@ -62,15 +62,23 @@ def enrich_pending(
     A `model` finds the prompt beside the content. Failed files come out as
     quarantine and stay pending.
     """
+    return enrich_files(catalogue, manifest.pending(catalogue.manifest, summaries), passes, model)
+
+
+def enrich_files(
+    catalogue: Catalogue,
+    wanted: DataFrame,
+    passes: int = enrich.PASSES,
+    model: enrich.Model | None = None,
+) -> DataFrame:
+    """The same for the files that `wanted` names by `abs_path`."""
     # Paths only, and wanted three times.
-    pending = materialise(
-        manifest.pending(catalogue.manifest, summaries).select("abs_path"), "pending"
-    )
+    named = materialise(wanted.select("abs_path"), "pending")
     prompts = context.prompts(
         catalogue.files,
         catalogue.edges,
         catalogue.manifest,
-        wanted=pending,
+        wanted=named,
         contents=catalogue.contents,
     )
     if model is not None:
@@ -79,11 +87,14 @@ def enrich_pending(
     return enrich.outcome(enrich.refine(prompts, passes, model))
 
 
+def stored_outcomes(outcomes: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """These columns of outcomes as a table, so that enrichment runs once for all its readers."""
+    return materialise(outcomes.select(*columns), "outcomes")
+
+
 def commit(outcomes: DataFrame, folder: str, batch_id: int) -> None:
     """Write one batch of outcomes; writing it again replaces it."""
-    kept = materialise(
-        outcomes.select("repo", "path", "abs_path", "outcome", "summary", "reason"), "outcomes"
-    )
+    kept = stored_outcomes(outcomes, ["repo", "path", "abs_path", "outcome", "summary", "reason"])
     accepted, refused = enrich.split_outcome(kept)
     root = folder.rstrip("/")
     accepted.select("repo", "path", "abs_path", "summary").write.mode("overwrite").parquet(

@@ -73,8 +73,9 @@ def _tokens(column: str) -> str:
 
 
 _TOKEN_LIST = r"regexp_extract_all(text, '(?:^[ \n\t\r]+)?[^ \n\t\r]+[ \n\t\r]*')"
-_SENTENCES = r"""list_transform(
-  regexp_extract_all(text, '[^.!?\n]*[^.!? \n\t\r][^.!?\n]*[.!?]?'), lambda s: trim(s))"""
+_SENTENCES = r"""list_transform(list_sort(list_transform(
+  regexp_extract_all(text, '[^.!?\n]*[^.!? \n\t\r][^.!?\n]*[.!?]?'),
+  lambda s, i: {'k': -len(regexp_extract_all(s, '[^ \n\t\r]+')), 'i': i, 's': trim(s)})), lambda x: x.s)"""
 
 _RECORD = """
 '{"repository":"' || repo || '","fileName":"' || abs_path || '",' ||
@@ -254,6 +255,10 @@ FROM made""",
     "enrich_pending": f"""WITH {_EDGES}, {_PROMPTS}
 SELECT repo, path, {_tokens("prompt")} AS n_tokens, {_TAG} AS tag, sha256(prompt) AS digest, 'valid' AS outcome
 FROM made JOIN part ON p_partkey = k WHERE NOT p_size < 25""",
+    "enrich_resumable": f"""WITH {_EDGES}, {_PROMPTS}
+SELECT repo, path, (row_number() OVER (PARTITION BY repo ORDER BY path) - 1) // 50 AS batch_no,
+  {_tokens("prompt")} AS n_tokens, {_TAG} AS tag, sha256(prompt) AS digest, 'valid' AS outcome, CAST(2 AS BIGINT) AS n_commits
+FROM made""",
     "filter_graph_nodes": f"""WITH {_FILES}
 SELECT repo, 'src/pkg' || (k % 7) AS project, count(*) AS n_files FROM f WHERE k % 7 <> 3 GROUP BY 1, 2""",
     "filter_graph_edges": f"""WITH {_EDGES}
@@ -315,6 +320,12 @@ SELECT repo, tag, count(*) AS n_files, CAST(grouping(repo, tag) AS INTEGER) AS l
 FROM (SELECT repo, {_TAG} AS tag FROM f) t GROUP BY ROLLUP (repo, tag)""",
     "catalogue_lookup": f"""WITH {_FILES}
 SELECT repo AS repository, abs_path AS "fileName" FROM f WHERE repo = '/r/app0' AND m <= 5""",
+    "catalogue_postings": f"""WITH {_FILES}
+SELECT repo AS repository, abs_path AS "fileName" FROM f WHERE m = 0 AND k < 400 AND k % 4 = 0""",
+    "document_store_roundtrip": f"""WITH {_FILES}
+SELECT sha256('app' || (k % 3) || chr(10) || path || chr(10) || '0') AS chunk_id,
+  'file-path: ' || path || chr(10) || chr(10) || '    ' || content || chr(10) || '    ' AS text, path AS source,
+  CAST(len(embedding) AS BIGINT) AS n_dims FROM f LEFT JOIN embeddings ON vec_id = k""",
     "docs_from_files": f"""WITH {_FILES}
 SELECT 'app' || (k % 3) AS repository, repo AS "repositoryUrl", path AS source, 0 AS chunk_no,
   'file-path: ' || path || chr(10) || chr(10) || '    ' || content || chr(10) || '    ' AS text FROM f""",
@@ -411,3 +422,5 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, run
   CAST(sum(c + p) AS BIGINT) AS total_tokens, count(*) AS n_ends
 FROM usage WHERE event_type = 'purchase' GROUP BY 1, 2""",
 }
+# What was written comes back.
+ORACLES["catalogue_roundtrip"] = ORACLES["file_record"]

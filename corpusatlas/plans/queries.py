@@ -18,14 +18,17 @@ from corpusatlas.operators import (
     graph,
     imports,
     manifest,
+    postings,
     records,
     telemetry,
     vectors,
 )
 from corpusatlas.plans import jobs
 from corpusatlas.session import materialise, scratch_folder
+from corpusatlas.sources import catalogue
 from corpusatlas.sources.code_files import ALIASES, code_files, located
 from corpusatlas.sources.files import tolerant_text
+from corpusatlas.streaming import resumable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -399,10 +402,7 @@ def tolerant_json_props(spark, sf):
     )
 
 
-@query
-def file_record(spark, sf):
-    rows = _Corpus(spark, sf).records()
-
+def _record_rows(rows: DataFrame) -> DataFrame:
     def names(column: str, field: str) -> Column:
         return F.array_join(F.transform(F.col(column), lambda x: x[field]), ",").alias(column)
 
@@ -414,6 +414,11 @@ def file_record(spark, sf):
     )
 
 
+@query
+def file_record(spark, sf):
+    return _record_rows(_Corpus(spark, sf).records())
+
+
 # ---- graph and context -------------------------------------------------------
 
 
@@ -559,6 +564,23 @@ def enrich_pending(spark, sf):
     )
 
 
+@query
+def enrich_resumable(spark, sf):
+    """The whole job as a stream of two commits, from a queue of numbered batches."""
+    corpus = _Corpus(spark, sf)
+    known = jobs.index(corpus.files.select("repo", "path", "content"), ALIASES)
+    root = f"{scratch_folder(spark)}/resumable-{uuid.uuid4().hex}"
+    job = resumable.ResumableJob(spark, known, f"{root}/queue", root)
+    n_batches = resumable.queue(resumable.pending_files(known, job.summaries()), job.queue_folder)
+    job.run(batches_per_commit=-(-n_batches // 2))
+    done, n_commits = job.summaries(), job.store.manifest().count()
+    return done.select(
+        "repo", "path", "batch_no", "n_tokens", F.get_json_object("summary", "$.tag").alias("tag"),
+        F.get_json_object("summary", "$.elementsDetail.digest").alias("digest"), "outcome",
+        F.lit(n_commits).cast("bigint").alias("n_commits"),
+    )
+
+
 @query
 def repo_summary(spark, sf):
     corpus = _Corpus(spark, sf)
@@ -572,9 +594,46 @@ def repo_tag_rollup(spark, sf):
 
 @query
 def catalogue_lookup(spark, sf):
-    rows = _Corpus(spark, sf).records()
-    found = records.lookup(rows, repository="/r/app0", imports=["lodash"])
-    return found.select("repository", "fileName")
+    example = postings.Example(repository="/r/app0", imports=["lodash"])
+    # Only the repository's own texts are read, and only imports are taken from them.
+    own = _files(spark, sf).where(F.col("repo") == example.repository)
+    edges = imports.resolve(imports.references(own), _manifest(spark, sf), ALIASES)
+    return postings.matching(postings.of_edges(edges), example)
+
+
+def _published_catalogue(spark: SparkSession, sf: str) -> str:
+    root = f"{scratch_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    catalogue.publish_catalogue(_Corpus(spark, sf).records(), root)
+    return root
+
+
+@query
+def catalogue_postings(spark, sf):
+    """Files with a function or class of some names and a resolved import, from the stored postings."""
+    example = postings.Example(
+        imports=["lodash"], functions=[f"fn{k}" for k in range(0, 400, 4)], classes=[f"C{k}" for k in range(0, 400, 10)]
+    )
+    return catalogue.lookup_published(spark, _published_catalogue(spark, sf), example)
+
+
+@query
+def catalogue_roundtrip(spark, sf):
+    return _record_rows(catalogue.read_published_catalogue(spark, _published_catalogue(spark, sf)))
+
+
+@query
+def document_store_roundtrip(spark, sf):
+    files = code_files(spark, sf)
+    chunks = documents.from_files(located(files))
+    key = documents.chunk_key(paths.base_name(F.col("repo")), F.col("path"), F.lit(0))
+    stored = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
+    embeddings = files.join(stored, "k").select(F.sha2(key, 256).alias("chunk_id"), "embedding")
+    root = f"{scratch_folder(spark)}/documents-{uuid.uuid4().hex}"
+    catalogue.publish_document_store(documents.with_vectors(chunks, embeddings), root)
+    back = catalogue.read_published_documents(spark, root)
+    return back.select(
+        "chunk_id", "text", F.col("metadata")["source"].alias("source"), F.size("embedding").cast("bigint").alias("n_dims")
+    )
 
 
 # ---- documents ---------------------------------------------------------------

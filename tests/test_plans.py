@@ -9,7 +9,7 @@ from corpusatlas.operators import imports, manifest, telemetry
 from corpusatlas.plans.queries import QUERIES
 from corpusatlas.sources.code_files import ALIASES, code_files, located
 
-PYTHON_ALLOWED = {"vector_topk", "vector_topk_lsh"}
+PYTHON_ALLOWED = {"vector_topk", "vector_topk_centres", "vector_topk_lsh", "vector_topk_cells"}
 NARROW = [
     "manifest_scan", "exclude_projects", "path_extension", "import_specifiers", "extract_classes",
     "chunk_documents", "token_counts", "validate_summary", "enrichment_outcome", "refine_passes",
