@@ -4,8 +4,8 @@ A word goes if a window of `WINDOW` words that covers it also starts in a docume
 smaller id. Whole texts are read; windows never cross documents.
 
 1. Every partition counts its windows in a sparse count-min sketch (`ROWS` rows of cells). The
-   partitions' sketches are merged cell block by cell block, a bounded number of pieces at a
-   time; counts stop at `HOT`. What is merged can only overestimate a window.
+   partitions' sketches are merged cell block by cell block, one piece after the other;
+   counts stop at `HOT`. What is merged can only overestimate a window.
 2. The cells counted twice or more (one bit each) travel to the texts. Windows with all their
    bits set are candidates; every repeated window is one, and few others are. The sketch also
    says which windows may be very frequent.
@@ -32,28 +32,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusatlas.llm import textarrays as ta
 from corpusatlas.llm.substring_dedup import packed, unpacked
-from corpusatlas.session import materialise
 
 WINDOW = 13
 ROWS = 2
 #: Cells for each window that the texts may hold, by their bytes.
-CELLS_PER_WINDOW, BYTES_PER_WINDOW = 4, 7
+CELLS_PER_WINDOW, BYTES_PER_WINDOW = 2, 7
 LEAST_CELLS, MOST_CELLS = 1 << 20, 1 << 30
 #: Counts stop here; windows that reach it are dealt out.
 HOT = 255
 BLOCK_BITS = 20
-#: Windows that a task counts before it writes them as a piece, and pieces merged at a time.
-PIECE_WINDOWS, FAN_IN = 4_000_000, 64
+#: Windows that a task counts before it writes them as a piece.
+PIECE_WINDOWS = 4_000_000
 _U = np.uint64
 _SEED = 13
-_PIECE = "line int, block int, part bigint, n bigint, cells binary, counts binary"
-_PIECE_NAMES = ["line", "block", "part", "n", "cells", "counts"]
+_PIECE = "line int, block int, n bigint, cells binary, counts binary"
+_PIECE_NAMES = ["line", "block", "n", "cells", "counts"]
 
 
 class Windows:
@@ -65,6 +63,7 @@ class Windows:
         runs = ta.sequences(hashing.of(hashing.prefix(data), self.starts, self.ends), k)
         n_words = np.diff(self.bounds)
         self.text_of = np.repeat(np.arange(len(n_words)), n_words)
+        self.stops = offsets[1:][self.text_of]
         last = np.repeat(self.bounds[1:], n_words)
         #: The first word and the hash of every window.
         self.first = np.flatnonzero(last - np.arange(len(last)) >= k)
@@ -72,13 +71,15 @@ class Windows:
 
     def joined(self) -> tuple[np.ndarray, np.ndarray]:
         """All words, each followed by a space, and where each of them starts."""
-        sizes = self.ends - self.starts
-        places = np.concatenate([[0], np.cumsum(sizes + 1)])
+        places = np.concatenate([[0], np.cumsum(self.ends - self.starts + 1)])
+        # The byte after a word is white space, but for the last word of some texts.
+        inside = self.ends < self.stops
+        data, taken = self.data.copy(), ~ta.is_space(self.data)
+        data[self.ends[inside]], taken[self.ends[inside]] = 0x20, True
         out = np.full(int(places[-1]), 0x20, dtype=np.uint8)
-        gap = np.repeat(np.arange(len(sizes)), sizes)
-        begin = np.repeat(self.starts - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
-        at = np.arange(len(gap))
-        out[at + gap] = self.data[at + begin]
+        there = np.ones(len(out), dtype=bool)
+        there[places[1:][~inside] - 1] = False
+        out[there] = data[taken]
         return out, places
 
 
@@ -87,14 +88,14 @@ def _cells(hashes: np.ndarray, line: int, bits: int) -> np.ndarray:
     return (spread >> _U(64 - bits)).astype(np.uint32)
 
 
-def _piece(line: int, block: int, part: int, cells: np.ndarray, counts: np.ndarray) -> tuple:
+def _piece(line: int, block: int, cells: np.ndarray, counts: np.ndarray) -> tuple:
     """Ascending cells of one block, counted from its first, and their counts."""
     gaps = np.diff(cells.astype(np.uint32), prepend=np.uint32(0))
-    return line, block, part, len(cells), packed(gaps), packed(counts.astype(np.uint8))
+    return line, block, len(cells), packed(gaps), packed(counts.astype(np.uint8))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_PIECE_NAMES)
 
 
@@ -102,7 +103,7 @@ def partition_sketches(docs: DataFrame, k: int, bits: int) -> DataFrame:
     """Every partition's windows as pieces: ascending cells of one block with their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing, part = ta.RangeHash(_SEED), TaskContext.get().partitionId()
+        hashing = ta.RangeHash(_SEED)
         shift = min(BLOCK_BITS, bits)
 
         def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +115,7 @@ def partition_sketches(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 made = []
                 for low, high in zip(cuts[:-1], cuts[1:]):
                     own = cells[low:high] & np.uint32((1 << shift) - 1)
-                    made.append(_piece(line, int(blocks[low]), part, own, np.minimum(counts[low:high], HOT)))
+                    made.append(_piece(line, int(blocks[low]), own, np.minimum(counts[low:high], HOT)))
                 yield _rows(made)
 
         held, size = [], 0
@@ -132,26 +133,23 @@ def partition_sketches(docs: DataFrame, k: int, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(count, _PIECE)
 
 
-def merged_sketch(pieces: DataFrame, bits: int, n_parts: int) -> DataFrame:
-    """One piece for each row and block; `FAN_IN` partitions are merged at a time."""
+def merged_sketch(pieces: DataFrame, bits: int) -> DataFrame:
+    """One piece for each row and block; the partitions' pieces are added up one at a time."""
     shift = min(BLOCK_BITS, bits)
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << shift, dtype=np.uint16)
-        for n, cells, times in zip(table["n"].to_pylist(), table["cells"], table["counts"]):
-            at = np.cumsum(unpacked(cells.as_py(), n, np.uint32), dtype=np.uint32)
-            # The cells of a piece differ, so plain addition counts each.
-            counts[at] = np.minimum(counts[at] + unpacked(times.as_py(), n, np.uint8), HOT)
+        for batch in batches:
+            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("n", "cells", "counts"))
+            for n, cells, times in zip(*columns):
+                at = np.cumsum(unpacked(cells.as_py(), n.as_py(), np.uint32), dtype=np.uint32)
+                # The cells of a piece differ, so plain addition counts each.
+                counts[at] = np.minimum(counts[at] + unpacked(times.as_py(), n.as_py(), np.uint8), HOT)
         filled = np.flatnonzero(counts)
-        line, block, part = (k.as_py() for k in key)
-        return pa.Table.from_batches([_rows([_piece(line, block, part, filled, counts[filled])])])
+        line, block = (k.as_py() for k in key)
+        yield _rows([_piece(line, block, filled, counts[filled])])
 
-    while True:
-        pieces = pieces.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("bigint"))
-        pieces = pieces.groupBy("line", "block", "part").applyInArrow(merge, _PIECE)
-        n_parts = -(-n_parts // FAN_IN)
-        if n_parts <= 1:
-            return pieces
+    return pieces.groupBy("line", "block").applyInArrow(merge, _PIECE)
 
 
 class Sketch:
@@ -170,13 +168,13 @@ class Sketch:
         def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for line, block, _, n, cells, times in zip(*(c.to_pylist() for c in batch.columns)):
+                for line, block, n, cells, times in zip(*(c.to_pylist() for c in batch.columns)):
                     at = np.cumsum(unpacked(cells, n, np.uint32), dtype=np.uint32)
                     times = unpacked(times, n, np.uint8)
                     full = np.zeros(1 << shift, dtype=bool)
                     full[at[times >= 2]] = True
                     hot = at[times >= HOT]
-                    rows.append((line, block, 0, len(hot), packed(np.packbits(full, bitorder="little")), hot.tobytes()))
+                    rows.append((line, block, len(hot), packed(np.packbits(full, bitorder="little")), hot.tobytes()))
                 if rows:
                     yield _rows(rows)
 
@@ -207,11 +205,7 @@ def sketched(docs: DataFrame, k: int = WINDOW, bits: int | None = None) -> Sketc
         size = docs.select(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
         wanted = min(max(size // BYTES_PER_WINDOW * CELLS_PER_WINDOW, LEAST_CELLS), MOST_CELLS)
         bits = max(3, (wanted - 1).bit_length())
-    pieces = materialise(partition_sketches(docs, k, bits), "sketches")
-    n_parts = pieces.select(F.max("part")).first()[0]
-    if n_parts is None:
-        return Sketch(bits)
-    return Sketch.gathered(merged_sketch(pieces, bits, n_parts + 1), bits)
+    return Sketch.gathered(merged_sketch(partition_sketches(docs, k, bits), bits), bits)
 
 
 def _candidates(docs: DataFrame, k: int, shared, splits: int) -> DataFrame:
@@ -258,21 +252,22 @@ def repeated_windows(docs: DataFrame, sketch: Sketch, k: int = WINDOW) -> DataFr
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
     splits = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # All ways down read all columns, so that the exchange is made once.
-    dealt = _candidates(docs, k, shared, splits).repartition("hash", "check", "salt")
+    # All ways down read all columns and the same rows, so that the exchange is made once.
+    dealt = _candidates(docs, k, shared, splits).where(
+        "hash is not null and check is not null and salt is not null and doc_id is not null"
+    ).repartition("hash", "check", "salt")
     key = ["hash", "check", "salt"]
-    grouped = dealt.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    cold = grouped.where("salt < 0 and first < last").drop("last")
+    # A draw below one changes no sign; a condition that rests on it is not pushed below the exchange.
+    grouped = dealt.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).withColumn(
+        "frequent", F.col("salt") + F.rand() >= 0
+    )
+    cold = grouped.where("not frequent and first < last").select(*key, "first")
     # A very frequent window: one row for each split, so a group holds `splits` rows at most.
-    parts = grouped.where("salt >= 0")
-    whole = parts.groupBy("hash", "check").agg(
+    whole = grouped.where("frequent").groupBy("hash", "check").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.collect_set("salt").alias("salts")
     ).where("first < last")
     hot = whole.select("hash", "check", F.explode("salts").alias("salt"), "first")
-    found = [
-        dealt.where(condition).join(side, key).where("doc_id > first").select("doc_id", "hash")
-        for condition, side in (("salt < 0", cold), ("salt >= 0", hot))
-    ]
+    found = [dealt.join(side, key).where("doc_id > first").select("doc_id", "hash") for side in (cold, hot)]
     return found[0].unionByName(found[1])
 
 

@@ -226,9 +226,9 @@ def odd_texts():
     return rows
 
 
-@pytest.mark.parametrize(("bits", "hot", "fan_in", "piece"), [(None, 255, 64, 4_000_000), (4, 255, 2, 50), (14, 3, 64, 500), (21, 2, 2, 10)])
-def test_repeated_words_odd_rows(spark, monkeypatch, bits, hot, fan_in, piece):
-    for name, value in {"HOT": hot, "FAN_IN": fan_in, "PIECE_WINDOWS": piece}.items():
+@pytest.mark.parametrize(("bits", "hot", "piece"), [(None, 255, 4_000_000), (4, 255, 50), (14, 3, 500), (21, 2, 10)])
+def test_repeated_words_odd_rows(spark, monkeypatch, bits, hot, piece):
+    for name, value in {"HOT": hot, "PIECE_WINDOWS": piece}.items():
         monkeypatch.setattr(repeated_words, name, value)
     rows = odd_texts()
     schema = "doc_id long, text string, gone string, hash string, kept string"
