@@ -271,6 +271,11 @@ FROM f WHERE m <= 8""",
 SELECT doc_id, coalesce(n.tag, e.tag) AS tag,
   CAST(CASE WHEN n.tag IS NULL THEN 0 ELSE 1 END AS INTEGER) AS batch_id
 FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'feature' ELSE 'utility' END AS tag FROM labels) e
+FULL OUTER JOIN (SELECT doc_id, 'ui-' || source AS tag FROM documents) n USING (doc_id)""",
+    "summary_merge": """
+SELECT doc_id, coalesce(n.tag, e.tag) AS tag,
+  CAST(CASE WHEN n.tag IS NULL THEN 0 WHEN doc_id % 100 = 0 THEN 2 ELSE 1 END AS INTEGER) AS batch_id
+FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'feature' ELSE 'utility' END AS tag FROM labels) e
 FULL OUTER JOIN (SELECT doc_id, 'ui-' || source AS tag FROM documents) n USING (doc_id)""",
     "refine_passes": f"""
 WITH s AS (

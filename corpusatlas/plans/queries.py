@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusatlas.functions import answers, markup, paths, source, text
 from corpusatlas.operators import (
@@ -18,6 +19,7 @@ from corpusatlas.operators import (
     graph,
     imports,
     manifest,
+    merging,
     postings,
     records,
     telemetry,
@@ -505,6 +507,20 @@ def summary_upsert(spark, sf):
     return enrich.upsert(existing, new, ["doc_id"])
 
 
+@query
+def summary_merge(spark, sf):
+    """The same table by merges into stored buckets: labels first, then documents in two batches."""
+    schema = StructType.fromDDL("doc_id bigint, tag string, batch_id int")
+    table = merging.MergedTable.create(spark, f"{scratch_folder(spark)}/merged-{uuid.uuid4().hex}", schema, ["doc_id"])
+    labels, docs = _table(spark, sf, "labels"), _table(spark, sf, "documents")
+    tag = F.when(F.col("quality") == 1, "feature").otherwise("utility")
+    table.merge(labels.select("doc_id", tag.alias("tag"), F.lit(0).alias("batch_id")))
+    new = docs.select("doc_id", F.concat(F.lit("ui-"), "source").alias("tag"))
+    for batch, rows in ((1, new), (2, new.where("doc_id % 100 = 0"))):
+        table.merge(rows.withColumn("batch_id", F.lit(batch)))
+    return table.read()
+
+
 @query
 def refine_passes(spark, sf):
     answer = F.col("answer")
