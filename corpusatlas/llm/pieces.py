@@ -37,9 +37,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -55,7 +56,8 @@ MARK = "▁"
 #: The places of a word are bits of one number.
 LONGEST_WORD = 62
 CHUNK_BYTES = 8 << 20
-_NUMBER_BITS = 26
+#: A chunk is named by its partition and its number there, of 32 bits each.
+_PARTITION_BITS = 32
 #: What a character without a piece scores below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -232,33 +234,42 @@ _CHUNK = pa.schema(
         ("own_words", pa.list_(pa.int32())), ("own_pieces", pa.list_(pa.list_(pa.int32()))),
     ]
 )
-_SENT = pa.schema([("dest", pa.int64()), ("base", pa.int64()), ("data", pa.binary())])
+_SENT = pa.schema([("dest", pa.int64()), ("chunk", pa.int64()), ("first", pa.int32()), ("data", pa.binary())])
 _BREAK = "\n"
 
 
 def chunks(docs: DataFrame, vocabulary: Vocabulary, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """`(dest, base, data)`, from about `chunk_bytes` of text at a time.
+    """`(dest, chunk, first, data)`, from about `chunk_bytes` of text at a time.
 
-    For a bucket of words, dest is its number, data the sorted words and base the place of
-    the first: the chunk and the number of the word in it. For a chunk, dest is negative and
-    data holds its texts as word numbers.
+    For a bucket of words, dest is its number, data the sorted words and first the number of
+    the first one in the chunk. For a chunk, dest is negative and data holds its texts as word
+    numbers.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = re.compile(shared.value.words).findall
-        chunk = TaskContext.get().partitionId() << 12
+        chunk = TaskContext.get().partitionId() << _PARTITION_BITS
+
+        def numbered() -> defaultdict:
+            """A word that is looked up first gets the next number."""
+            index = defaultdict()
+            index.default_factory = index.__len__
+            return index
 
         def emit() -> pa.RecordBatch:
-            words = list(index)
-            own = [w for w in words if len(w) < 2 or len(w) > LONGEST_WORD or _BREAK in w]
+            own = [w for w in index if len(w) < 2 or len(w) > LONGEST_WORD or _BREAK in w]
             left = set(own)
-            dealt = sorted((crc32(w.encode()) % buckets, w) for w in words if w not in left)
-            order = np.empty(len(words), dtype=np.uint32)
-            order[[index[w] for _, w in dealt] + [index[w] for w in own]] = np.arange(len(words))
+            words = sorted(w for w in index if w not in left)
+            bucket = np.fromiter((crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+            dealt = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+            words = [words[i] for i in dealt.tolist()]
+            order = np.empty(len(index), dtype=np.uint32)
+            order[np.fromiter(map(index.__getitem__, chain(words, own)), np.int64, len(index))] = np.arange(len(index))
             flat = order[np.concatenate(numbers)] if numbers else np.zeros(0, np.uint32)
             row = [
-                ids, sizes, len(words), packed(flat), digests, list(range(len(dealt), len(words))),
+                ids, sizes, len(index), packed(flat), digests, list(range(len(words), len(index))),
                 [shared.value.encode_word(w) for w in own],
             ]
             out = pa.BufferOutputStream()
@@ -266,36 +277,34 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, buckets: int, chunk_bytes: i
                 stream.write_batch(
                     pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _CHUNK)], schema=_CHUNK)
                 )
-            sent = [(-1 - chunk, chunk << _NUMBER_BITS, out.getvalue().to_pybytes())]
-            at = 0
-            for bucket, group in groupby(dealt, key=lambda x: x[0]):
-                mine = [w for _, w in group]
-                sent.append((bucket, (chunk << _NUMBER_BITS) + at, _BREAK.join(mine).encode()))
-                at += len(mine)
+            sent = [(-1 - chunk, chunk, 0, out.getvalue().to_pybytes())]
+            for dest in np.flatnonzero(np.diff(cuts)).tolist():
+                low, high = int(cuts[dest]), int(cuts[dest + 1])
+                sent.append((dest, chunk, low, _BREAK.join(words[low:high]).encode()))
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*sent), _SENT)], schema=_SENT
             )
 
-        index, ids, sizes, numbers, digests, held = {}, [], [], [], [], 0
+        index, ids, sizes, numbers, digests, held = numbered(), [], [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 marked = MARK + text.replace(" ", MARK) if text else ""
-                found = [index.setdefault(w, len(index)) for w in split(marked)]
+                found = split(marked)
                 ids.append(doc_id)
                 sizes.append(len(found))
-                numbers.append(np.array(found, dtype=np.uint32))
+                numbers.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
                 digests.append(hashlib.sha256(text.encode()).digest())
                 held += len(text)
                 if held >= chunk_bytes:
                     yield emit()
                     chunk += 1
-                    index, ids, sizes, numbers, digests, held = {}, [], [], [], [], 0
+                    index, ids, sizes, numbers, digests, held = numbered(), [], [], [], [], 0
         if ids:
             yield emit()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        pack, "dest bigint, base bigint, data binary"
+        pack, "dest bigint, chunk bigint, first int, data binary"
     )
 
 
@@ -416,7 +425,7 @@ def _looked_up(shared):
         begin = np.concatenate([[0], np.cumsum(count)])[:-1]
         values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
         rows = []
-        for base, data in zip(sent["base"].to_pylist(), sent["data"]):
+        for chunk, first, data in zip(sent["chunk"].to_pylist(), sent["first"].to_pylist(), sent["data"]):
             mine = data.as_py().decode().split(_BREAK)
             at = np.fromiter(map(index.__getitem__, mine), np.int64, len(mine))
             times = count[at]
@@ -424,7 +433,7 @@ def _looked_up(shared):
             place = np.arange(stops[-1]) + np.repeat(begin[at] - stops[:-1], times)
             rows.append(
                 (
-                    -1 - (base >> _NUMBER_BITS), base & ((1 << _NUMBER_BITS) - 1), len(mine), int(stops[-1]),
+                    -1 - chunk, first, len(mine), int(stops[-1]),
                     packed(times.astype(np.int32)), packed(values[place]),
                 )
             )
@@ -475,6 +484,7 @@ def _assemble(byte_ids: list[int], shared):
         used = unpacked(row["numbers"], total, np.uint32)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids, digests = row["ids"], row["digests"]
+        texts = pa.array(shared.value.texts, pa.large_binary())
         tables, doc = [], 0
         while doc < len(sizes):
             # A few documents at a time: the ids of a chunk are many times its words.
@@ -485,10 +495,9 @@ def _assemble(byte_ids: list[int], shared):
             place = np.arange(stops[-1]) - np.repeat(stops[:-1], times) + np.repeat(begin[mine], times)
             offsets = stops[ends[doc : last + 1] - ends[doc]].astype(np.int32)
             pieces = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[place].astype(np.int32)))
-            texts = shared.value.texts
             back = [
-                hashlib.sha256(decode(own, texts)).digest() == digest
-                for own, digest in zip(pieces.to_pylist(), digests[doc:last])
+                hashlib.sha256(text).digest() == digest
+                for text, digest in zip(decoded_texts(pieces, texts), digests[doc:last])
             ]
             tables.append(pa.table([pa.array(ids[doc:last], pa.int64()), pieces, pa.array(back)], schema=_FOUND))
             doc = last
@@ -502,12 +511,14 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Every way down uses all columns and the same rows, so that the exchange is made once.
-    sent = chunks(docs, vocabulary, buckets, chunk_bytes).where("dest is not null and base is not null").repartition("dest")
+    sent = chunks(docs, vocabulary, buckets, chunk_bytes).where(
+        "dest is not null and chunk is not null and first is not null"
+    ).repartition("dest")
     lines = F.when(F.col("dest") >= 0, F.split(F.col("data").cast("string"), _BREAK))
-    # The place is asked for only to read the base as well.
+    # The place is asked for only to read all columns.
     places = (
-        sent.select("dest", "base", F.posexplode_outer(lines).alias("number", "word"))
-        .where("word is not null and base + number >= 0").select("dest", "word")
+        sent.select("dest", "chunk", "first", F.posexplode_outer(lines).alias("number", "word"))
+        .where("word is not null and chunk + first + number >= 0").select("dest", "word")
     )
     fold = merged_path if vocabulary.merges else best_path
     folded = lattice(places.distinct(), vocabulary).select(
@@ -531,10 +542,17 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     )
 
 
-def decode(ids: list[int], texts: list[bytes]) -> bytes:
-    """The text of a list of ids; the mark before the first word is no space of the text."""
-    out = b"".join([texts[i] for i in ids])
-    return out[1:] if out[:1] == b" " else out
+def decoded_texts(pieces: pa.ListArray, texts: pa.Array) -> Iterator[memoryview]:
+    """The text of every list of ids; the mark before the first word is no space of the text."""
+    taken = texts.take(pieces.values)
+    if not len(taken):
+        yield from (memoryview(b"") for _ in range(len(pieces)))
+        return
+    starts = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    bounds = starts[pieces.offsets.to_numpy()]
+    data = memoryview(taken.buffers()[2] or b"").cast("B")
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield data[begin + (begin < end and data[begin] == 0x20) : end]
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -544,12 +562,18 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     names = [*rows.columns, "text"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            texts = [
-                None if ids.as_py() is None else decode(ids.values.to_pylist(), shared.value).decode(errors="replace")
-                for ids in batch.column(column)
+            ids = batch.column(column)
+            whole = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)),
+                ids.flatten(),
+            )
+            found = [
+                bytes(text).decode(errors="replace") if there else None
+                for text, there in zip(decoded_texts(whole, texts), ids.is_valid().to_pylist())
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(read, f"{kinds}, text string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusatlas.functions import paths, source
@@ -22,8 +22,9 @@ _ALIASES = (
     "array<struct<prefix:string,suffix:string,wild:boolean,"
     "target_prefix:string,target_suffix:string,target_wild:boolean>>"
 )
-# Base places are tried after all alias places.
-_BASE_RANK = 100_000_000
+# Base places are tried after all alias places; a rank has the rule, then its target.
+_BASE_RANK = 1 << 62
+_TARGET_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,40 @@ def alias_column(rules: Sequence[AliasRule]) -> Column:
     return F.array(*flat).cast(_ALIASES)
 
 
+def rule_rows(spark: SparkSession, rules: Sequence[AliasRule] | DataFrame) -> DataFrame:
+    """Rules as rows `(repo, prefix, suffix, wild, target_prefix, target_suffix, target_wild, rank)`.
+
+    `rules` hold for all repositories (a null repo), or are a table: `(repo, aliases)` made with
+    `alias_column`, or `(repo, pattern, target, rule_no, target_no)` with any number of rows.
+    """
+    named = "prefix string, suffix string, wild boolean, target_prefix string, target_suffix string, target_wild boolean"
+    if not isinstance(rules, DataFrame):
+        flat = []
+        for n, rule in enumerate(rules):
+            prefix, star, suffix = rule.pattern.partition("*")
+            for m, target in enumerate(rule.targets):
+                before, target_star, after = target.partition("*")
+                flat.append((None, prefix, suffix, bool(star), before, after, bool(target_star), n << _TARGET_BITS | m))
+        return spark.createDataFrame(flat, f"repo string, {named}, rank bigint")
+    if "aliases" in rules.columns:
+        placed = rules.select("repo", F.posexplode("aliases").alias("_n", "_r"))
+        return placed.select("repo", "_r.*", (F.col("_n").cast("bigint") * (1 << _TARGET_BITS)).alias("rank"))
+
+    def cut(column: str, prefix: str, suffix: str, wild: str) -> list[Column]:
+        star = F.instr(column, "*")
+        return [
+            F.when(star > 0, F.substring(F.col(column), F.lit(1), star - 1)).otherwise(F.col(column)).alias(prefix),
+            F.when(star > 0, F.substring(F.col(column), star + 1, F.length(column))).otherwise("").alias(suffix),
+            (star > 0).alias(wild),
+        ]
+
+    rank = F.col("rule_no").cast("bigint") * (1 << _TARGET_BITS) + F.col("target_no")
+    return rules.select(
+        "repo", *cut("pattern", "prefix", "suffix", "wild"), *cut("target", "target_prefix", "target_suffix", "target_wild"),
+        rank.alias("rank"),
+    )
+
+
 def references(contents: DataFrame, assets: bool = True) -> DataFrame:
     """One row per import of a code file, then per asset its decorators name.
 
@@ -113,51 +148,49 @@ def existing_places(manifest: DataFrame) -> DataFrame:
     )
 
 
-def _alias_stems(root: Column) -> Column:
-    """Places named by the fitting rules, in order of pattern, then target."""
+def _alias_places(bare: DataFrame, rules: DataFrame, at_most: int, rows_per_split: int) -> DataFrame:
+    """`(_id, rank, stem, form)`: what the fitting rules make of module names.
+
+    A name is looked up by its own prefixes, of the lengths that rules have, so it meets
+    the rules with these prefixes and no others.
+    """
+    # One row for each length of a prefix, at most the longest pattern.
+    lengths = sorted(r.n for r in rules.select(F.length("prefix").alias("n")).distinct().collect())
+    everywhere = rules.where("repo is null").drop("repo")
+    own = rules.where("repo is not null")
     spec = F.col("specifier")
+    fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(spec))
+    asked = bare.select(
+        "_id", "repo", "specifier", "_root", F.explode(F.transform(fitting, lambda n: F.substring(spec, F.lit(1), n))).alias("prefix")
+    )
+    bound = at_most * max(1, len(lengths))
 
-    def matches(rule: Column) -> Column:
+    def met(table: DataFrame, keys: list[str]) -> DataFrame:
+        joined = salted_join(asked, table, keys, "inner", spread_by=["_id"], at_most=bound, rows_per_split=rows_per_split)
         fits = (
-            spec.startswith(rule["prefix"])
-            & spec.endswith(rule["suffix"])
-            & (F.length(spec) >= F.length(rule["prefix"]) + F.length(rule["suffix"]))
+            spec.endswith(F.col("suffix")) & (F.length(spec) >= F.length("prefix") + F.length("suffix"))
         )
-        return F.when(rule["wild"], fits).otherwise(spec == rule["prefix"])
+        found = joined.where(F.when(F.col("wild"), fits).otherwise(spec == F.col("prefix")))
+        kept = F.length(spec) - F.length("prefix") - F.length("suffix")
+        captured = F.substring(spec, F.length("prefix") + 1, kept)
+        middle = F.when(F.col("target_wild"), captured).otherwise(F.lit(""))
+        place = paths.resolve(F.col("_root"), F.concat("target_prefix", middle, "target_suffix"))
+        return found.select("_id", "rank", place.alias("stem"), F.lit("module").alias("form"))
 
-    def place(rule: Column) -> Column:
-        kept = F.length(spec) - F.length(rule["prefix"]) - F.length(rule["suffix"])
-        captured = F.substring(spec, F.length(rule["prefix"]) + 1, kept)
-        middle = F.when(rule["target_wild"], captured).otherwise(F.lit(""))
-        return paths.resolve(root, F.concat(rule["target_prefix"], middle, rule["target_suffix"]))
+    return met(everywhere, ["prefix"]).unionByName(met(own, ["repo", "prefix"]))
 
-    return F.transform(F.filter(F.col("_aliases"), matches), place)
 
-
-def _places() -> Column:
-    """Ranked places of a lookup with the way each may be answered.
+def _places(lookups: DataFrame, use_base: bool) -> DataFrame:
+    """Ranked places of lookups without alias rules, with the way each may be answered.
 
     `module` takes a file, an index or a code file; `base` a file, a folder or a code
     file; `asset` only what has this very path.
     """
-    kind, place = F.col("kind"), F.col("_place")
-
-    def named(form: str, stem: Column, rank: Column) -> Column:
-        return F.struct(
-            rank.cast("int").alias("rank"), stem.alias("stem"), F.lit(form).alias("form")
-        )
-
-    single = F.array(named("module", place, F.lit(0)))
-    aliased = F.transform(
-        _alias_stems(F.col("_root")), lambda stem, n: named("module", stem, n)
-    )
-    from_base = F.array(named("base", place, F.lit(_BASE_RANK)))
-    return (
-        F.when(kind == RELATIVE, single)
-        .when(kind == ASSET, F.array(named("asset", place, F.lit(0))))
-        .when(F.col("_use_base"), F.concat(aliased, from_base))
-        .otherwise(aliased)
-    )
+    kind = F.col("kind")
+    form = F.when(kind == RELATIVE, "module").when(kind == ASSET, "asset").otherwise("base")
+    rank = F.when(kind == BARE, F.lit(_BASE_RANK)).otherwise(0).cast("bigint")
+    known = lookups if use_base else lookups.where(kind != BARE)
+    return known.select("_id", rank.alias("rank"), F.col("_place").alias("stem"), form.alias("form"))
 
 
 def _answers_form() -> Column:
@@ -180,8 +213,7 @@ def resolve(
 ) -> DataFrame:
     """Add `target`, `resolved` and `is_external` to references.
 
-    `aliases` are rules for all repositories, or a table `(repo, aliases)` made with
-    `alias_column`. An unresolved relative import keeps its joined path; an
+    `aliases` are rules for all repositories, or a table of rules (see `rule_rows`). An unresolved relative import keeps its joined path; an
     unresolved asset or module keeps its own text, and such a module is external.
     """
     base = F.when(F.col("kind") == BARE, F.lit("")).otherwise(paths.dir_name(F.col("abs_path")))
@@ -201,26 +233,9 @@ def resolve(
         ),
         "lookups",
     )
-    asked = lookups
-    if isinstance(aliases, DataFrame):
-        asked = salted_join(
-            lookups,
-            aliases.select("repo", F.col("aliases").alias("_aliases")),
-            ["repo"],
-            "left",
-            spread_by=["_id"],
-            at_most=n_lookups,
-            rows_per_split=rows_per_split,
-        )
-    else:
-        asked = lookups.withColumn("_aliases", alias_column(aliases))
-    places = asked.withColumns(
-        {
-            "_aliases": F.coalesce("_aliases", F.array().cast(_ALIASES)),
-            "_use_base": F.lit(use_base),
-            "_root": root,
-        }
-    ).select("_id", F.inline(_places()))
+    bare = lookups.where(F.col("kind") == BARE).withColumn("_root", root)
+    rules = rule_rows(refs.sparkSession, aliases)
+    places = _places(lookups, use_base).unionByName(_alias_places(bare, rules, n_lookups, rows_per_split))
     # A place is hot only if very many folders look it up; adaptive execution splits it.
     best = (
         places.join(existing_places(manifest), "stem")

@@ -56,12 +56,15 @@ def targets(edges):
 
 
 @pytest.mark.parametrize("split", [1_000_000, 1])
-@pytest.mark.parametrize("as_table", [False, True])
-def test_resolution(corpus, split, as_table):
+@pytest.mark.parametrize("form", ["rules", "arrays", "rows"])
+def test_resolution(spark, corpus, split, form):
     files, listed = corpus
     rules = RULES
-    if as_table:
+    if form == "arrays":
         rules = listed.select("repo").distinct().withColumn("aliases", imports.alias_column(RULES))
+    if form == "rows":
+        flat = [(repo, r.pattern, t, n, m) for repo in ("/r/one", "/r/two") for n, r in enumerate(RULES) for m, t in enumerate(r.targets)]
+        rules = spark.createDataFrame(flat, "repo string, pattern string, target string, rule_no int, target_no int")
     got = targets(imports.resolve(imports.references(files), listed, rules, rows_per_split=split))
     a, m, c = "src/a.ts", "lib/m.ts", "cmp/c.ts"
     assert got[a, "./both"] == ("/r/one/src/both/index.ts", True)  # a folder's index comes first
@@ -83,6 +86,35 @@ def test_resolution(corpus, split, as_table):
     assert len(got) == 5 + 8 + 5
 
 
+def test_ten_thousand_rules_for_each_repository(spark):
+    """Rules meet names by prefix; no array of rules travels with a name."""
+    rows = [(repo, f"src/m{i}.ts", "") for repo in ("/a", "/b") for i in range(20)]
+    rows += [(repo, "src/use.ts", "".join(f"import x from '@p{i}/m{i % 20}';\n" for i in range(0, 10_000, 500)) + "import y from '@p7';\n") for repo in ("/a", "/b")]
+    files = located(spark.createDataFrame(rows, "repo string, path string, content string"))
+    listed = manifest.scan(files.select("repo", "path"))
+    per_repo = spark.range(10_000).select(
+        F.explode(F.array(F.lit("/a"), F.lit("/b"))).alias("repo"), F.concat(F.lit("@p"), F.col("id").cast("string"), F.lit("/*")).alias("pattern"),
+        F.lit("src/*").alias("target"), F.col("id").alias("rule_no"), F.lit(0).alias("target_no"),
+    )
+    edges = imports.resolve(imports.references(files), listed, per_repo)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "_aliases" not in plan and "NestedLoop" not in plan
+    got = {(r.repo, r.specifier): (r.target, r.resolved) for r in edges.collect()}
+    assert len(got) == 42
+    assert all(got[repo, f"@p{i}/m{i % 20}"] == (f"{repo}/src/m{i % 20}.ts", True) for repo in ("/a", "/b") for i in range(0, 10_000, 500))
+    assert got["/a", "@p7"] == ("@p7", False)
+
+
+def test_first_fitting_rule_with_a_file_wins(spark):
+    rows = [("/r", "one/a.ts", ""), ("/r", "two/a.ts", ""), ("/r", "two/b.ts", ""), ("/r", "u.ts", "import a from 'x/y/a';\nimport b from 'x/y/b';\nimport c from 'x/c-end';\nimport d from 'anything';\n"), ("/r", "three/c.ts", ""), ("/r", "any/anything.ts", "")]
+    files = located(spark.createDataFrame(rows, "repo string, path string, content string"))
+    rules = [AliasRule("x/*", ("none/*", "one/a")), AliasRule("x/y/*", ("two/*",)), AliasRule("x/*-end", ("three/*",)), AliasRule("*", ("any/*",))]
+    got = targets(imports.resolve(imports.references(files), manifest.scan(files.select("repo", "path")), rules))
+    assert got["u.ts", "x/y/a"] == ("/r/one/a.ts", True)  # the first rule, by its second target
+    assert got["u.ts", "x/c-end"] == ("/r/one/a.ts", True)
+    assert got["u.ts", "anything"] == ("/r/any/anything.ts", True)
+
+
 @pytest.mark.parametrize("split", [1_000_000, 1])
 def test_contexts(corpus, linked, split):
     _, listed = corpus
