@@ -52,6 +52,42 @@ def exclude(manifest: DataFrame, names: Sequence[str], column: str = "path") ->
     return manifest.where(~contains_any(F.col(column), names))
 
 
+#: Lengths of the piece of a name that paths are looked up by; the longest that fits is taken.
+ANCHORS = (16, 8, 4, 2, 1)
+
+
+def _pieces(column: Column, n: int) -> Column:
+    """All pieces of `n` characters, each once; none of a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(column) - (n - 1))
+    pieces = F.transform(starts, lambda i: F.substring(column, i, F.lit(n)))
+    return F.when(F.length(column) >= n, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+def exclude_names(manifest: DataFrame, names: DataFrame, column: str = "path") -> DataFrame:
+    """The same as `exclude` for a table `(name)` of any size.
+
+    Every name has one anchor, its piece with the least hash. A path is looked up by its own
+    pieces of the anchors' lengths, and what it meets is tried whole, so a path meets few names and
+    no expression grows with them. An empty name occurs in every path.
+    """
+    known = names.select("name").where("name is not null").distinct()
+    if not known.where("name = ''").isEmpty():
+        return manifest.limit(0)
+    length = F.coalesce(*(F.when(F.length("name") >= n, n) for n in ANCHORS))
+    anchored = known.withColumn("_n", length).withColumn(
+        "_pieces", F.coalesce(*(F.when(F.col("_n") == n, _pieces(F.col("name"), n)) for n in ANCHORS))
+    )
+    ranked = F.transform("_pieces", lambda p: F.struct(F.xxhash64(p).alias("rank"), p.alias("piece")))
+    anchors = anchored.select("name", F.array_min(ranked)["piece"].alias("_piece"))
+    # Five numbers at most.
+    in_use = [r["_n"] for r in anchored.select("_n").distinct().collect()]
+    texts = manifest.select(F.col(column).alias("_text")).where("_text is not null").distinct()
+    pieces = F.concat(F.array().cast("array<string>"), *(_pieces(F.col("_text"), n) for n in sorted(in_use)))
+    asked = texts.select("_text", F.explode(pieces).alias("_piece"))
+    bad = asked.join(anchors, "_piece").where(F.col("_text").contains(F.col("name"))).select("_text").distinct()
+    return manifest.join(bad, manifest[column] == F.col("_text"), "left_anti")
+
+
 def eligible(manifest: DataFrame) -> DataFrame:
     return manifest.where(F.col("ext").isin(*ENRICHED))
 

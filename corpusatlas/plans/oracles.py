@@ -154,6 +154,8 @@ FROM (SELECT event_id, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'inf
   event_type || ' ' || props AS msg FROM events) e""",
     "exclude_projects": f"""WITH {_FILES}
 SELECT repo, path FROM f WHERE k % 7 <> 3 AND NOT starts_with(CAST(k AS VARCHAR), '1')""",
+    "exclude_many_names": f"""WITH {_FILES}
+SELECT repo, path FROM f JOIN part ON p_partkey = k WHERE m = 5 OR p_size >= 20""",
     "path_extension": f"WITH {_FILES} SELECT repo, path, {_EXT} AS ext FROM f",
     "eligible_files": f"WITH {_FILES} SELECT repo, path, {_EXT} AS ext FROM f WHERE m <= 8",
     "pending_files": f"""WITH {_FILES}

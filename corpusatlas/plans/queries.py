@@ -61,17 +61,12 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 class _Corpus:
-    """The code files as a stored table, as they would lie in a lake.
-
-    Queries that read them several times see plain columns, so filters and column
-    selection reach the scan instead of the formulas the view is made of.
-    """
+    """The code files, their texts and their manifest; no text is stored."""
 
     def __init__(self, spark: SparkSession, sf: str):
-        stored = materialise(located(code_files(spark, sf)), "code-files")
-        self.files = stored
-        self.contents = stored.select("abs_path", "content")
-        self.manifest = manifest.scan(stored.select("repo", "path"))
+        self.files = located(code_files(spark, sf))
+        self.contents = self.files.select("abs_path", "content")
+        self.manifest = manifest.scan(code_files(spark, sf).select("repo", "path"))
 
     def references(self, assets: bool = True) -> DataFrame:
         return imports.references(self.files, assets=assets)
@@ -212,6 +207,13 @@ def exclude_projects(spark, sf):
     return manifest.exclude(_manifest(spark, sf), ["pkg3", "mod1"]).select("repo", "path")
 
 
+@query
+def exclude_many_names(spark, sf):
+    small = _table(spark, sf, "part").where("p_size < 20")
+    names = small.select(F.concat(F.lit("mod"), F.col("p_partkey").cast("string"), F.lit(".")).alias("name"))
+    return manifest.exclude_names(_manifest(spark, sf), names).select("repo", "path")
+
+
 @query
 def path_extension(spark, sf):
     return _listing(spark, sf).select("repo", "path", paths.extension(F.col("path")).alias("ext"))

@@ -61,10 +61,9 @@ FROM linked
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`(k, repo, path, content)` for every row of `part`."""
-    view = "corpusatlas_part"
     part = spark.read.schema("p_partkey bigint").parquet(f"{sf_dir}/part.parquet")
-    part.createOrReplaceTempView(view)
-    return spark.sql(CODE_FILES_SQL.format(part=view))
+    # Spark fills the slot with the table itself, so no view is registered.
+    return spark.sql(CODE_FILES_SQL, part=part)
 
 
 def located(files: DataFrame) -> DataFrame:
