@@ -1,13 +1,18 @@
 """The main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides a block from where it
-stands (menus, forms, adverts, comments and the like are out; an article that the page marks
-is in), from the share of its characters inside links, from its length and from the share of
-function words among its words. The second pass gives every block that is too short to be
-decided the label of its nearest decided neighbours: in between two of the same label that
-one, in between two different ones the label of the nearer, and if both are as near, that of
-the main text only if the block holds function words. A page without any decided block is
-main text.
+stands (menus, forms, adverts, comments and the like are out), from the share of its characters
+inside links, from its length and from the share of function words among its words. Function
+words are listed for some languages; on a page that has few of these, they are the page's own
+commonest short words (characters, in scripts without spaces). Article elements count if they hold
+at least as much text as lies densely outside them: then their blocks are main text, but for runs of blocks of nothing
+but links, and all others are not. A small article beside longer text is a card.
+
+The second pass gives every block that is not decided the label of its nearest decided
+neighbours: in between two of the same label that one, in between two different ones the label of
+the nearer, and if both are as near, that of the main text only if the block holds function
+words. A run of link blocks inside an article stays in between its text; a longer one at its edge
+goes. A page without any block of main text takes its undecided blocks, and then its sparse ones.
 
 Defined cases: a null or empty page, and one without main text, give an empty text; an
 unclosed comment, script or tag reaches to the end of the page; repeated rows are each
@@ -30,6 +35,11 @@ from corpusatlas.llm.quality import FUNCTION_WORDS
 #: First pass: lengths in characters, shares of link characters and of function words.
 SHORT, LONG = 70, 200
 LINK_SHARE, LOW_SHARE, HIGH_SHARE = 0.33, 0.1, 0.2
+#: A block of nothing but links, and how many of them in a row are a list of other pages at an article's edge.
+LINKS_ONLY, LINK_RUN = 0.9, 3
+#: The page's own function words: so many short words, each so often; a character of a script without
+#: spaces is a word, and counts for so many characters of length.
+OWN_WORDS, OWN_LENGTH, OWN_TIMES, WIDE = 20, 4, 3, 3
 
 #: Elements whose content is no text of the page.
 _SILENT = "script style noscript template head title svg math iframe object canvas select textarea button option datalist audio video".split()
@@ -71,7 +81,10 @@ _TAG = re.compile(
 )
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORD = re.compile(r"[^\W\d_]+")
+#: Scripts without spaces: kana, Chinese characters, Thai, Lao, Khmer, Burmese.
+_UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W\d_{_UNSPACED}]+")
+_WIDE = re.compile(rf"[{_UNSPACED}]")
 
 
 @dataclass
@@ -79,7 +92,8 @@ class Block:
     text: str
     link_share: float
     out: bool
-    article: bool
+    #: 1 inside `main`, 2 inside `article`.
+    article: int
     heading: bool
     #: Where the elements begin whose names alone mark the block out.
     under: tuple[int, ...] = ()
@@ -104,7 +118,7 @@ def blocks(html: str, ignored: frozenset[int] = frozenset()) -> list[Block]:
     linked = at = 0
     in_link = heading = False
     # (element, out, article, comment, under): what holds inside every open container.
-    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = [("", False, False, False, ())]
+    stack: list[tuple[str, bool, int, bool, tuple[int, ...]]] = [("", False, 0, False, ())]
 
     def close() -> None:
         nonlocal linked
@@ -175,7 +189,7 @@ def blocks(html: str, ignored: frozenset[int] = frozenset()) -> list[Block]:
         own = hard or named
         if name in _ARTICLE:
             # An article in a container that was left open is still the article.
-            is_out, article, under = own, not own, ()
+            is_out, article, under = own, 0 if own else max(article, 1 + (name == "article")), ()
         else:
             if hard or article:
                 under = ()
@@ -207,21 +221,91 @@ def judged_blocks(html: str) -> list[Block]:
         ignored |= most
 
 
-def _first_pass(block: Block, marked: bool) -> bool | None:
-    """True for main text, False for the rest, None if the block is too short to tell."""
-    if block.out:
-        return False
-    if marked:
-        return block.article
-    if block.link_share > LINK_SHARE and not block.heading:
-        return False
-    if block.heading or len(block.text) < SHORT:
-        return None
-    words = _WORD.findall(block.text.lower())
-    share = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
-    if share >= HIGH_SHARE or share >= LOW_SHARE and len(block.text) > LONG:
-        return True
-    return None if share >= LOW_SHARE else False
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def _function_words(found: list[Block]) -> frozenset[str]:
+    """The listed function words, or the page's own if it has few of these."""
+    words = [w for b in found if not b.out and b.link_share <= LINK_SHARE for w in _words(b.text)]
+    listed = sum(w in FUNCTION_WORDS for w in words)
+    if listed >= LOW_SHARE * len(words):
+        return FUNCTION_WORDS
+    short = Counter(w for w in words if len(w) <= OWN_LENGTH)
+    return FUNCTION_WORDS | {w for w, n in short.most_common(OWN_WORDS) if n >= OWN_TIMES}
+
+
+def _length(text: str) -> int:
+    return len(text) + (WIDE - 1) * len(_WIDE.findall(text))
+
+
+def _in_article(found: list[Block], level: int) -> list[bool | None]:
+    """Labels where the page marks its article; blocks of nothing but links are left to their neighbours."""
+    labels: list[bool | None] = [
+        False if b.out or b.article < level else None if b.link_share >= LINKS_ONLY and not b.heading else True for b in found
+    ]
+    at = 0
+    while at < len(labels):
+        end = at
+        while end < len(labels) and labels[end] is None:
+            end += 1
+        if end > at:
+            inside = at > 0 and labels[at - 1] and end < len(labels) and labels[end]
+            keep = inside or end - at < LINK_RUN
+            labels[at:end] = [bool(keep)] * (end - at)
+        at = end + 1
+    for i in range(len(found) - 1, 0, -1):
+        # A heading of `main` right above an article is the article's.
+        if labels[i] and found[i - 1].heading and found[i - 1].article and not found[i - 1].out:
+            labels[i - 1] = True
+    if True not in labels:
+        # An article of links alone.
+        return [not b.out and b.article >= level for b in found]
+    return labels
+
+
+def _first_pass(block: Block, function_words: frozenset[str]) -> tuple[bool | None, bool]:
+    """True for main text, False for the rest, None if the block is too short to tell; and whether it is only sparse."""
+    if block.out or block.link_share > LINK_SHARE and not block.heading:
+        return False, False
+    length = _length(block.text)
+    if block.heading or length < SHORT:
+        return None, False
+    words = _words(block.text)
+    share = sum(w in function_words for w in words) / max(1, len(words))
+    if share >= HIGH_SHARE or share >= LOW_SHARE and length > LONG:
+        return True, False
+    return (None, False) if share >= LOW_SHARE else (False, True)
+
+
+def _marked_level(found: list[Block], function_words: frozenset[str]) -> int:
+    """2 if article elements hold at least as much text as lies densely outside them, 1 if `main` does, else 0."""
+    sizes = [0.0, 0.0, 0.0]
+    for b in found:
+        if not b.out and (b.article or _first_pass(b, function_words)[0]):
+            sizes[b.article] += len(b.text) * (1 - b.link_share)
+    total = sum(sizes)
+    for level in (2, 1):
+        if any(b.article >= level and not b.out for b in found) and 2 * sum(sizes[level:]) >= total:
+            return level
+    return 0
+
+
+def _by_density(found: list[Block], function_words: frozenset[str]) -> list[bool | None]:
+    """Labels of the first pass where no article is marked."""
+    told = [_first_pass(b, function_words) for b in found]
+    labels = [label for label, _ in told]
+    if any(label and not b.article for b, label in zip(found, labels)):
+        # Small articles beside the text are cards.
+        labels = [False if label is None and b.article else label for b, label in zip(found, labels)]
+    elif True not in labels:
+        # No block is dense: long ones that are no links are all there is.
+        long = [_length(b.text) >= SHORT and not b.heading for b in found]
+        wanted = [label is None and big for label, big in zip(labels, long)]
+        if not any(wanted):
+            wanted = [sparse for _, sparse in told]
+        labels = [True if want else label for want, label in zip(wanted, labels)]
+    return labels
 
 
 def _nearest(labels: list[bool | None]) -> list[tuple[int, bool | None]]:
@@ -233,7 +317,7 @@ def _nearest(labels: list[bool | None]) -> list[tuple[int, bool | None]]:
     return out
 
 
-def _second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
+def _second_pass(found: list[Block], labels: list[bool | None], function_words: frozenset[str]) -> list[bool]:
     before, after = _nearest(labels), _nearest(labels[::-1])[::-1]
     out = []
     for block, label, (back, left), (ahead, right) in zip(found, labels, before, after):
@@ -248,16 +332,24 @@ def _second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
             elif back != ahead:
                 label = left if back < ahead else right
             else:
-                label = any(w in FUNCTION_WORDS for w in _WORD.findall(block.text.lower()))
+                label = any(w in function_words for w in _words(block.text))
         out.append(label)
     return out
 
 
 def main_text(html: str | None) -> str:
-    found = judged_blocks(html or "")
-    marked = any(b.article and not b.out for b in found)
-    labels = _second_pass(found, [_first_pass(b, marked) for b in found])
-    return "\n".join(b.text for b, good in zip(found, labels) if good)
+    # Names of elements mark what is out, unless they would take most of a page without an article.
+    found = blocks(html or "")
+    function_words = _function_words(found)
+    level = _marked_level(found, function_words)
+    if level:
+        labels = _in_article(found, level)
+    else:
+        found = judged_blocks(html or "")
+        function_words = _function_words(found)
+        labels = _by_density(found, function_words)
+    kept = _second_pass(found, labels, function_words)
+    return "\n".join(b.text for b, good in zip(found, kept) if good)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -45,6 +45,16 @@ def check(spark, texts, file, chunk_bytes=1 << 20):
         assert found[i].text == (text or "")
 
 
+def test_more_chunks_than_twelve_bits(spark):
+    """Every text is a chunk of its own, thousands of them in a partition."""
+    vocabulary = pieces.Vocabulary.load(model_file())
+    texts = [f"word{i % 7} number {i}" for i in range(4_500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = pieces.decoded(pieces.encoded(df, vocabulary, chunk_bytes=1), vocabulary)
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == 4_500 and all(got[i].text == t and got[i].round_trip for i, t in enumerate(texts))
+
+
 @pytest.mark.parametrize("chunk_bytes", [1 << 20, 30])
 def test_merge_model_gives_the_ids_of_its_library(spark, chunk_bytes):
     check(spark, TEXTS, model_file(), chunk_bytes)
@@ -134,6 +144,41 @@ def test_main_text_of_pages_whose_names_only_mention_what_is_out():
         assert main_text.main_text(page).startswith(long) and "others" not in main_text.main_text(page)
 
 
+LONG = "This is the long paragraph of the page, and it has all of the words that one would want in it."
+NAV = "<div><a href=1>Home</a> <a href=2>News</a> <a href=3>Shop</a></div>"
+RUSSIAN = (
+    "Вчера вечером на площади собрались жители города, чтобы обсудить новый план. Они говорили о том, что в центре не хватает деревьев, и о том, что дороги не чинят уже много лет.",
+    "Мэр обещал, что на ремонт выделят деньги, и что работы начнутся в мае. Но не все поверили, и на встрече было много вопросов о том, кто и когда это сделает.",
+)
+FINNISH = "Kaupungin keskustassa järjestettiin eilen tapahtuma, johon osallistui satoja ihmisiä eri puolilta maata. Tapahtuman järjestäjät olivat iloisia, ja myös kauppiaat kiittivät."
+CHINESE = "昨天晚上，市民们聚集在广场上，讨论新的城市规划。他们认为市中心的树木太少，道路也已经多年没有修理。市长表示，明年五月将开始施工，但是很多人并不相信，会上提出了很多问题。"
+STORIES = "<ul>" + "".join(f"<li><a href={i}>Other story {i}</a></li>" for i in range(5)) + "</ul>"
+LINES = "\n".join(f"Other story {i}" for i in range(5))
+
+
+@pytest.mark.parametrize(("body", "expected"), [
+    # Languages without listed function words, with and without marks.
+    (f"{NAV}<div><p>{RUSSIAN[0]}</p><p>{RUSSIAN[1]}</p></div>{NAV}", "\n".join(RUSSIAN)),
+    (f"{NAV}<h1>Otsikko</h1><p>{FINNISH}</p>{NAV}", f"Otsikko\n{FINNISH}"),
+    (f"{NAV}<p>{CHINESE}</p>{NAV}", CHINESE),
+    (f"<article><p>{CHINESE}</p></article><div>{FINNISH[:60]}</div>", CHINESE),
+    # Cards beside the text.
+    (f"<div><p>{LONG}</p><p>{LONG}</p></div><article><p>Buy</p></article>", f"{LONG}\n{LONG}"),
+    (f"<div><p>{LONG}</p></div><article><h3>Card</h3><p>More</p></article><article><h3>Card</h3><p>More</p></article>", LONG),
+    # Lists of links: between the text they stay, after it they go; a single one stays.
+    (f"<main><p>{LONG}</p><p>{LONG}</p>{STORIES}</main>", f"{LONG}\n{LONG}"),
+    (f"<main>{STORIES}<p>{LONG}</p></main>", LONG),
+    (f"<main><p>{LONG}</p>{STORIES}<p>{LONG}</p></main>", f"{LONG}\n{LINES}\n{LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=1>Reference</a></li></ul></article>", f"{LONG}\nReference"),
+    # The side of `main` beside its article, and the article's heading above it.
+    (f"<main><h1>Title</h1><article><p>{LONG}</p></article><div><p>Short side</p></div></main>", f"Title\n{LONG}"),
+    # A small article keeps its text against a dense advert that is marked.
+    ('<div class="ad">It is the best of all of the things that you could have in this shop.</div><article><p>Small.</p></article>', "Small."),
+])
+def test_main_text_of_hand_written_pages(body, expected):
+    assert main_text.main_text(f"<html><body>{body}</body></html>") == expected
+
+
 def test_main_text_odd_pages(spark):
     pages = [None, "", "plain", "<p", "<!-- open", "<script>x", "<p>" + "a " * 100_000, "&amp;&#x41;&bogus;", "<a href='>" * 50]
     df = spark.createDataFrame([(i, None, p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
