@@ -47,16 +47,19 @@ def _angled(depth: int) -> str:
     return rf"<(?:[^<>=]++|=>|={inner})*+>"
 
 
-_IN = _balanced(24)
-_GENERIC = rf"(?:{_angled(3)})?"
+#: Brackets and type arguments may nest this deep; the pattern grows by one level for each.
+BRACKET_LEVELS, ANGLE_LEVELS = 96, 24
+_IN = _balanced(BRACKET_LEVELS)
+_ANGLED = _angled(ANGLE_LEVELS)
+_GENERIC = rf"(?:{_ANGLED})?"
 _NAME = r"[A-Za-z_$#][\w$]*+"
 
 # One item of a list separated by commas outside brackets and quotes.
 _ITEM = (
-    rf"(?:[^,(){{}}\[\]<>='\"`]++|=>|=|{_QUOTED}|[({{\[]{_IN}[)}}\]]|{_angled(3)}|[<>])++"
+    rf"(?:[^,(){{}}\[\]<>='\"`]++|=>|=|{_QUOTED}|[({{\[]{_IN}[)}}\]]|{_ANGLED}|[<>])++"
 )
 
-_RETURN = r"(?:[ \t]*:[ \t]*((?:\{[^{}\n]*+\}|[^{};\n])+?))?[ \t]*"
+_RETURN = rf"(?:[ \t]*:[ \t]*((?:\{{{_IN}\}}|[^{{}};\n])+?))?[ \t]*"
 
 _FUNCTION = (
     rf"(?m)^(?:export[ \t]+)?(?:default[ \t]+)?(?:declare[ \t]+)?(?:async[ \t]+)?"
@@ -98,7 +101,7 @@ _METHOD = (
 _PROPERTY = (
     r"(?m)(?:^|;|,)[ \t]*(?:readonly[ \t]+)?"
     r"([A-Za-z_$][\w$]*+|'[^'\n]+'|\"[^\"\n]+\")\??[ \t]*:[ \t]*"
-    r"((?:=>|\{[^{}]*+\}|\([^()]*+\)|[^;,\n(){}<]|<[^<>\n]*(?:<[^<>\n]*>[^<>\n]*)*>)+)"
+    rf"((?:=>|\{{{_IN}\}}|\({_IN}\)|[^;,\n(){{}}<]|{_ANGLED})+)"
 )
 
 

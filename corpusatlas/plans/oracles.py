@@ -194,6 +194,20 @@ SELECT repo, path, 'C' || k AS class_name, 'run' AS method, 'void' AS return_typ
     "extract_decorators": f"""WITH {_FILES}
 SELECT repo, path, 'C' || k AS class_name, 'Component' AS decorator, 0 AS arg_no,
   regexp_extract(content, '@Component\\(([^)]*)\\)', 1) AS argument FROM f WHERE m = 0""",
+    "extract_method_decorators": """
+SELECT doc_id, 'D' || doc_id AS class_name, 1 AS n_class_decorators, 'on' || doc_id AS method,
+  'Promise<Map<string, number>>' AS return_type,
+  '[{"name":"event","type":"Event"},{"name":"deep","type":"string"}]' AS parameters,
+  CAST(dn AS INTEGER) AS decorator_no, decorator, CAST(an AS INTEGER) AS argument_no,
+  CASE an WHEN 0 THEN chr(39) || source || chr(39) WHEN 1 THEN '[''$event'']' END AS argument
+FROM documents, (VALUES (0, 'Input', NULL), (1, 'HostListener', 0), (1, 'HostListener', 1)) v(dn, decorator, an)
+UNION ALL SELECT doc_id, 'D' || doc_id, 1, 'empty', NULL, '[]', NULL, NULL, NULL, NULL FROM documents
+UNION ALL SELECT doc_id, 'Empty', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents""",
+    "extract_deep_types": """
+SELECT doc_id, 'I' || doc_id AS name, CAST(n AS INTEGER) AS prop_no, p AS prop_name,
+  CASE n WHEN 0 THEN repeat('{ a: ', doc_id % 40 + 1) || 'string' || repeat(' }', doc_id % 40 + 1)
+    ELSE repeat('(x: ', doc_id % 40 + 1) || 'y' || repeat(') => void', doc_id % 40 + 1) END AS prop_type
+FROM documents, (VALUES (0, 'id'), (1, 'call')) v(n, p)""",
     "extract_interfaces": f"""WITH {_FILES}
 SELECT repo, path, 'I' || k AS name, n AS prop_no, p AS prop_name, t AS prop_type
 FROM f, (VALUES (0, 'id', 'number'), (1, 'name', 'string')) v(n, p, t) WHERE m = 1""",

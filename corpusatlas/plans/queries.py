@@ -371,6 +371,50 @@ def extract_interfaces(spark, sf):
     )
 
 
+def _declared_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One text with a decorated class and an interface for every document; brackets nest up to 40 levels."""
+    deep = (F.col("doc_id") % 40 + 1).cast("int")
+
+    def nested(left: str, middle: str, right: str) -> Column:
+        return F.concat(F.repeat(F.lit(left), deep), F.lit(middle), F.repeat(F.lit(right), deep))
+
+    number = F.col("doc_id").cast("string")
+    parts = [
+        "@Injectable()\nexport class D", number, " extends Base<Map<string, Array<x>>> {\n  private count = 0;\n\n"
+        "  constructor(private readonly source: Source) {\n  }\n\n  get size(): number {\n    return this.count;\n  }\n\n"
+        "  set size(v: number) {\n    this.count = v;\n  }\n\n  @Input()\n  @HostListener('", F.col("source"), "', ['$event'])\n"
+        "  async on", number, "(event: Event, deep: string = ", nested("(", "1", ")"), "): Promise<Map<string, number>> {\n"
+        "    if (a) { return ", nested("[", "2", "]"), "; }\n  }\n\n  empty() {}\n}\nexport class Empty {}\n"
+        "export interface I", number, " {\n  id: ", nested("{ a: ", "string", " }"), ";\n  call: ", nested("(x: ", "y", ") => void"), ";\n}\n",
+    ]
+    content = F.concat(*(F.lit(part) if isinstance(part, str) else part for part in parts))
+    return _table(spark, sf, "documents").select("doc_id", content.alias("content"))
+
+
+@query
+def extract_method_decorators(spark, sf):
+    found = _declared_files(spark, sf).select("doc_id", F.explode(source.classes(F.col("content"))).alias("c"))
+    methods = found.select(
+        "doc_id", F.col("c.name").alias("class_name"), F.size("c.decorators").alias("n_class_decorators"), F.explode_outer("c.methods").alias("m")
+    )
+    used = methods.select(
+        "doc_id", "class_name", "n_class_decorators", F.col("m.name").alias("method"), F.col("m.returnType").alias("return_type"),
+        F.to_json("m.parameters").alias("parameters"), F.posexplode_outer("m.decorators").alias("decorator_no", "d"),
+    )
+    return used.select(
+        "doc_id", "class_name", "n_class_decorators", "method", "return_type", "parameters", "decorator_no",
+        F.col("d.name").alias("decorator"), F.posexplode_outer("d.arguments").alias("argument_no", "argument"),
+    )
+
+
+@query
+def extract_deep_types(spark, sf):
+    found = _declared_files(spark, sf).select("doc_id", F.explode(source.interfaces(F.col("content"))).alias("i"))
+    return found.select("doc_id", F.col("i.name").alias("name"), F.posexplode("i.properties").alias("prop_no", "p")).select(
+        "doc_id", "name", "prop_no", F.col("p.name").alias("prop_name"), F.col("p.type").alias("prop_type")
+    )
+
+
 @query
 def html_tag_counts(spark, sf):
     counts = F.inline(markup.tag_counts(F.col("html")))
