@@ -189,10 +189,36 @@ def test_near_duplicates_of_a_family_without_its_original(spark):
         other[draw.randrange(200)] = f"z{i}"
         table += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other))]
     df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
-    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 3, 85, bands=4, rows=1).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 3, 85, bands=4, rows=1, exhaustive=True).collect()}
     assert found == brute.near_duplicates(table)
 
 
+def test_recall_in_a_family_without_its_original(spark):
+    """Production defaults; pairs of copies lie around the threshold, and no member is a centre for all."""
+    draw = random.Random(31)
+    original, table = words(32, 200).split(), []
+    for i in range(300):
+        copy = list(original)
+        for j in draw.sample(range(200), 3):
+            copy[j] = f"x{i}y{j}"
+        table.append((i, " ".join(copy)))
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in table)]
+    links = [(a, b) for a in range(300) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) > 1_000
+    assert sum(found[a] == found[b] for a, b in links) >= 0.9 * len(links)
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
+    import corpus_pipeline
+
+    a, b = words(41, 60), words(42, 60)
+    docs = spark.createDataFrame([(3, a, "x"), (8, b, "y"), (8, a, "z"), (None, a, "n"), (9, None, "o")], "doc_id bigint, text string, row_key string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert rows(kept, "doc_id", "text", "row_key") == sorted([(3, a, "x"), (8, b, "y"), (None, a, "n"), (9, None, "o")], key=str)
+
+
 def test_near_duplicates_odd_rows(odd, empty, spark):
     found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(odd, 3, 85).collect()}
     assert found == brute.near_duplicates(pairs())
