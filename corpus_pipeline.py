@@ -25,15 +25,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that most pages of their source share; n_chars follows."""
     cleaned = site_lines.without_boilerplate(docs)
-    n_chars = F.when(F.col("_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
+    _, dropped = site_lines.count_names(docs.columns)
+    n_chars = F.when(F.col(dropped) > 0, F.char_length("text")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    found = near_dedup.near_duplicates(docs)
-    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows that repeat an id are judged each by its own text.
+    """
+    row_key = F.xxhash64("text")
+    found = near_dedup.near_duplicates(docs, row_key=row_key)
+    dropped = found.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped_id"), F.col("row_key").alias("_dropped_key")).distinct()
+    same = (docs["doc_id"] == F.col("_dropped_id")) & (row_key == F.col("_dropped_key"))
+    return docs.join(dropped, same, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,3 +224,33 @@ def decontaminated(
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
+
+
+ORACLE_SQL = r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), wanted AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[i + 1 : i + size], ' ') AS w FROM (
+    SELECT item_id, words, least(13, len(words)) AS size, unnest(range(len(words) - least(13, len(words)) + 1)) AS i
+    FROM items WHERE len(words) > 0
+  ) item_places
+), sizes AS (SELECT DISTINCT size FROM wanted
+), met AS (
+  SELECT r, i, p.size, item_id FROM (
+    SELECT r, size, words, unnest(range(len(words) - size + 1)) AS i FROM lowered, sizes WHERE len(words) >= size
+  ) p JOIN wanted ON wanted.size = p.size AND wanted.w = array_to_string(p.words[p.i + 1 : p.i + p.size], ' ')
+), hits AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS j FROM met) covered GROUP BY r
+), found AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM met GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(words), false) AS contaminated
+FROM lowered LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""

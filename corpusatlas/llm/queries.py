@@ -122,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
-    "op1_secret_scan": secrets.oracle(), "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_conversation_trie": conversation_trie.ORACLE_SQL,
+    "op1_secret_scan": secrets.oracle(), "op4_decontaminate": decontaminate.ORACLE_SQL, "op6_near_dedup": near_dedup.oracle(words=3, percent=85),
+    "op9_warc": warc.ORACLE_SQL,
+    "op10_line_dedup": site_lines.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_conversation_trie": conversation_trie.ORACLE_SQL,
     "op13_repeated_words": repeated_words.ORACLE_SQL,
 }

@@ -48,13 +48,19 @@ _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from at most `SAMPLE_RECORDS` payloads chosen by a hash of the page id."""
+    """A dictionary from at most `SAMPLE_RECORDS` payloads chosen by a hash of the page id.
+
+    The ids of as many rows are found first, by a threshold that follows from the count, so no
+    other payload is sorted or sent.
+    """
     size = F.octet_length("html")
-    rows = (
-        pages.where((size > 0) & (size <= SAMPLE_RECORD_BYTES))
-        .orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
-        .select("html").collect()
-    )
+    fitting = pages.where((size > 0) & (size <= SAMPLE_RECORD_BYTES))
+    n = fitting.count()
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(9), "page_id"), 2)
+    some = fitting
+    if n > SAMPLE_RECORDS:
+        some = fitting.where(place < F.lit(int((1 << 62) * SAMPLE_RECORDS / n)))
+    rows = some.limit(SAMPLE_RECORDS).select("html").collect()
     samples = [r["html"].encode() for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -220,8 +226,9 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
             [pa.array(c, k) for c, k in zip(zip(*rows), _READ.types)], schema=_READ
         )
 
-    # One task an archive, as far as Spark has so many partitions.
-    return archives.select("path").repartition("path").mapInArrow(
+    # One task an archive: a given number of partitions is not packed together, however few bytes a path has.
+    n_archives = archives.select("path").distinct().count()
+    return archives.select("path").repartition(max(1, n_archives), "path").mapInArrow(
         read,
         "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
         "refers_to bigint, payload binary",
@@ -230,8 +237,23 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back."""
-    folder = f"{scratch_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
+    spark = pages.sparkSession
+    # Named as Spark resolves it, so that tasks write where Spark reads: a path without a scheme may be on any store.
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}")
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place)
+    folder = whole.toUri().toString()
     written = materialise(write_archives(pages, folder, train_dictionary(pages)), "archives")
     return read_archives(written)
+
+
+ORACLE_SQL = f"""
+WITH known AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS digest FROM pages
+), firsts AS (
+  SELECT digest, min(page_id) AS first FROM known WHERE size >= {LEAST_BYTES} GROUP BY digest
+)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, known.digest AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM known LEFT JOIN firsts ON firsts.digest = known.digest AND size >= {LEAST_BYTES}
+"""

@@ -304,3 +304,15 @@ def test_site_lines_odd_rows(spark, odd, empty):
     assert rows(cleaned, "doc_id", "_lines", "_dropped", "text") == sorted(brute.site_lines(table), key=str)
     assert site_lines.without_boilerplate(odd).columns[: len(odd.columns)] == odd.columns
     assert site_lines.without_boilerplate(empty).count() == 0
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_site_lines_with_clashing_names_and_many_sites(spark, monkeypatch, most):
+    monkeypatch.setattr(site_lines, "BROADCAST_LINES", most)
+    table = [(i, "a", f"menu\n own {i}", *"vwxyz") for i in range(6)] + [(7, None, "menu", *"vwxyz")]
+    df = spark.createDataFrame(table, "doc_id long, source string, text string, _bad string, _kept string, _SITE string, _lines string, _dropped string")
+    cleaned = site_lines.without_boilerplate(df)
+    assert cleaned.columns == [*df.columns, "__lines", "__dropped"] and site_lines.count_names(df.columns) == ("__lines", "__dropped")
+    got = rows(cleaned, "doc_id", "text", "_bad", "_kept", "_SITE", "_lines", "_dropped", "__lines", "__dropped")
+    expected = [(i, f" own {i}", *"vwxyz", 2, 1) for i in range(6)] + [(7, "menu", *"vwxyz", 1, 0)]
+    assert got == sorted(expected, key=str)
