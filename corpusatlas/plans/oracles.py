@@ -445,3 +445,6 @@ FROM usage WHERE event_type = 'purchase' GROUP BY 1, 2""",
 }
 # What was written comes back.
 ORACLES["catalogue_roundtrip"] = ORACLES["file_record"]
+ORACLES["repo_rollup_merged"] = f"""
+SELECT repo, n_files, n_code, n_references, n_resolved, n_external, true AS targets_within_error
+FROM ({ORACLES["repo_summary"]}) whole"""

@@ -22,6 +22,7 @@ from corpusatlas.operators import (
     merging,
     postings,
     records,
+    rollups,
     telemetry,
     vectors,
 )
@@ -649,6 +650,21 @@ def repo_summary(spark, sf):
     return records.repo_summary(corpus.manifest, corpus.edge_table())
 
 
+@query
+def repo_rollup_merged(spark, sf):
+    """Roll-up rows of two batches of files, published and merged; the estimate against the true number."""
+    corpus = _Corpus(spark, sf)
+    edges, listed = corpus.edge_table(), corpus.manifest
+    first = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+    root = f"{scratch_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    for batch, wanted in enumerate((first, ~first)):
+        rollups.store(rollups.partial(listed.where(wanted), edges.where(wanted)), root, batch)
+    exact = graph.internal(edges).where("resolved").groupBy("repo").agg(F.count_distinct("target").alias("_exact"))
+    found = rollups.totals(spark, root).join(exact, "repo", "left")
+    off = F.abs(F.col("n_targets") - F.coalesce("_exact", F.lit(0)))
+    return found.select("repo", *rollups.COUNTS, (off <= rollups.ERROR * F.col("_exact")).alias("targets_within_error"))
+
+
 @query
 def repo_tag_rollup(spark, sf):
     return records.tag_rollup(_manifest(spark, sf))
