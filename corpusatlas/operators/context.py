@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from corpusatlas.functions import text
 from corpusatlas.operators import graph
 from corpusatlas.operators.manifest import context_kind
-from corpusatlas.operators.ordered import running
+from corpusatlas.operators.ordered import numbered, running
 from corpusatlas.operators.skew import ROWS_PER_SPLIT, salted_join
 from corpusatlas.session import materialise, materialise_counted
 
 _ORDER = ["source", "place"]
+#: Characters of a piece of a context that is kept in rows.
+PIECE_CHARS = 1 << 20
 
 PROMPT = (
     "Main file\n"
@@ -37,7 +39,7 @@ def sizes(contents: DataFrame) -> DataFrame:
     )
 
 
-def gather(
+def placed_texts(
     pieces: DataFrame,
     contents: DataFrame,
     file_sizes: DataFrame,
@@ -46,7 +48,7 @@ def gather(
     cut: int = text.CUT_CHARS,
     rows_per_split: int = ROWS_PER_SPLIT,
 ) -> DataFrame:
-    """Join the texts of `(owner, source, place, piece)` rows, one line end between.
+    """`(owner, source, place, text, n_tokens)`: the texts of `(owner, source, place, piece)` rows that an owner gets.
 
     Sizes come first, texts last. Without a `limit` an owner gets its whole text, and so
     it does up to `limit` tokens. Beyond it only the first `cut` characters can reach a prompt, so pieces starting
@@ -113,11 +115,44 @@ def gather(
             F.col("_all_total") > limit, F.substring(body, F.lit(1), F.col("_left").cast("int"))
         ).otherwise(body),
     )
-    ordered = F.array_sort(F.collect_list(F.struct(*_ORDER, "_text")))
+    return filled.select("owner", *_ORDER, F.col("_text").alias("text"), F.col("_all_total").alias("n_tokens"))
+
+
+def gather(pieces: DataFrame, contents: DataFrame, file_sizes: DataFrame, split_owners: bool, **limits) -> DataFrame:
+    """`(owner, related, n_tokens)`: the texts of `placed_texts` joined, one line end between."""
+    filled = placed_texts(pieces, contents, file_sizes, split_owners, **limits)
+    ordered = F.array_sort(F.collect_list(F.struct(*_ORDER, "text")))
     return filled.groupBy("owner").agg(
-        F.array_join(F.transform(ordered, lambda p: p["_text"]), "\n").alias("related"),
-        F.first("_all_total").alias("n_tokens"),
+        F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("related"),
+        F.first("n_tokens").alias("n_tokens"),
+    )
+
+
+def in_pieces(
+    pieces: DataFrame, contents: DataFrame, file_sizes: DataFrame, split_owners: bool = True,
+    piece_chars: int = PIECE_CHARS, **limits,
+) -> DataFrame:
+    """`(owner, piece_no, text, n_tokens)`: the joined text of `gather` in numbered rows of bounded size.
+
+    An owner may have any amount of text, because it is never one row; put together in order, its
+    pieces are the text that `gather` gives. An owner whose text is empty has no piece.
+    """
+    filled = materialise(placed_texts(pieces, contents, file_sizes, split_owners, **limits), "context")
+    first = filled.groupBy("owner").agg(F.min(F.struct(*_ORDER)).alias("_first")).select(F.col("owner").alias("_owner"), "_first")
+    marked = salted_join(
+        filled, first.withColumnRenamed("_owner", "owner"), ["owner"], "inner", spread_by=["owner", *_ORDER]
+    )
+    begins = F.struct(*_ORDER) == F.col("_first")
+    whole = F.when(begins, F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
+    n_cuts = F.ceil(F.length("_whole") / F.lit(piece_chars)).cast("int")
+    cuts = F.transform(
+        F.sequence(F.lit(0), n_cuts - 1), lambda i: F.substring(F.col("_whole"), i * piece_chars + 1, F.lit(piece_chars))
+    )
+    rows = marked.withColumn("_whole", whole).where(F.length("_whole") > 0).select(
+        "owner", *_ORDER, "n_tokens", F.posexplode(cuts).alias("_cut", "text")
     )
+    numbered_rows = numbered(rows, ["owner"], [*_ORDER, "_cut"], "_n")
+    return numbered_rows.select("owner", (F.col("_n") - 1).alias("piece_no"), "text", "n_tokens")
 
 
 def code_context(

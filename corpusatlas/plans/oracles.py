@@ -246,6 +246,14 @@ SELECT f.repo AS repository, f.abs_path AS "fileName", t.plain AS imports,
   CASE WHEN m <= 5 THEN content END AS "sourceCode"
 FROM f LEFT JOIN targets t ON t.k = f.k WHERE m <= 7""",
     "internal_edges": f"WITH {_EDGES} SELECT repo, path, pos, target FROM inner_refs",
+    "dependency_pieces": f"""WITH {_EDGES}, texts AS (
+  SELECT e.abs_path, e.pos, CASE WHEN row_number() OVER (PARTITION BY e.abs_path ORDER BY e.pos) = 1 THEN '' ELSE chr(10) END
+    || coalesce(t.content, '') AS whole FROM inner_refs e LEFT JOIN f t ON t.k = e.tk
+), cuts AS (
+  SELECT abs_path, pos, i, substr(whole, i * 64 + 1, 64) AS text
+  FROM (SELECT *, unnest(range((length(whole) + 63) // 64)) AS i FROM texts) every
+)
+SELECT abs_path, row_number() OVER (PARTITION BY abs_path ORDER BY pos, i) - 1 AS piece_no, text FROM cuts""",
     "dependency_context": f"""WITH {_EDGES}
 SELECT e.abs_path, string_agg(coalesce(t.content, ''), chr(10) ORDER BY e.pos) AS related,
   CAST(sum({_tokens("coalesce(t.content, '')")}) AS BIGINT) AS n_tokens

@@ -493,6 +493,16 @@ def dependency_context_cut(spark, sf):
     return _dependency_context(spark, sf, limit=40, cut=400)
 
 
+@query
+def dependency_pieces(spark, sf):
+    """The contexts of `dependency_context` as numbered rows of at most 64 characters."""
+    corpus = _Corpus(spark, sf)
+    made = context.in_pieces(
+        graph.code_pieces(corpus.edges()), corpus.contents, context.sizes(corpus.contents), split_owners=False, piece_chars=64
+    )
+    return made.select(F.col("owner").alias("abs_path"), "piece_no", "text")
+
+
 @query
 def template_importers(spark, sf):
     corpus = _Corpus(spark, sf)

@@ -146,6 +146,32 @@ def test_cut_before_gather_equals_cut_after(linked, cut, split):
         assert r.related == (full.related[:cut] if full.n_tokens > 1 else full.related)
 
 
+@pytest.mark.parametrize("chars", [1, 3, 1_000])
+def test_pieces_put_together_are_the_context(corpus, linked, chars):
+    _, listed = corpus
+    edges, contents, sizes, whole = linked
+    templates = {r.owner: r.related for r in context.template_context(edges, listed, contents, sizes).collect()}
+    for pieces, expected in (
+        (graph.code_pieces(edges), {o: r.related for o, r in whole.items()}), (graph.template_pieces(edges, listed), templates),
+    ):
+        rows = context.in_pieces(pieces, contents, sizes, piece_chars=chars).collect()
+        found = {}
+        for r in sorted(rows, key=lambda r: (r.owner, r.piece_no)):
+            assert 0 < len(r.text) <= chars and r.piece_no == len(found.get(r.owner, []))
+            found.setdefault(r.owner, []).append(r.text)
+        assert {o: "".join(t) for o, t in found.items()} == {o: t for o, t in expected.items() if t}
+
+
+def test_an_owner_larger_than_any_row(spark):
+    """One owner with far more text than a piece: rows stay small, and nothing gathers them."""
+    contents = spark.range(120).select(F.concat(F.lit("/r/f"), F.col("id").cast("string")).alias("abs_path"), F.repeat(F.lit("0123456789"), 50_000).alias("content"))
+    pieces = spark.range(120).select(F.lit("/r/own").alias("owner"), F.lit("s").alias("source"), F.col("id").cast("int").alias("place"), F.concat(F.lit("/r/f"), F.col("id").cast("string")).alias("piece"))
+    made = context.in_pieces(pieces, contents, context.sizes(contents), piece_chars=1 << 16)
+    sizes = made.agg(F.sum(F.length("text")).alias("all"), F.max(F.length("text")).alias("most"), F.count("*").alias("n"), F.max("piece_no").alias("last")).first()
+    assert sizes["all"] == 120 * 500_000 + 119 and sizes.most == 1 << 16 and sizes.last == sizes.n - 1
+    assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_prompts(corpus, linked):
     files, listed = corpus
     edges = linked[0]
