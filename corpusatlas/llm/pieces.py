@@ -55,7 +55,7 @@ from corpusatlas.llm.substring_dedup import packed, unpacked
 MARK = "▁"
 #: The places of a word are bits of one number.
 LONGEST_WORD = 62
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: A chunk is named by its partition and its number there, of 32 bits each.
 _PARTITION_BITS = 32
 #: What a character without a piece scores below the worst piece.
@@ -302,6 +302,9 @@ def chunks(docs: DataFrame, vocabulary: Vocabulary, buckets: int, chunk_bytes: i
                     index, ids, sizes, numbers, digests, held = numbered(), [], [], [], [], 0
         if ids:
             yield emit()
+        # The worker goes on to other tasks; what this one held is given back to the system.
+        del index, ids, sizes, numbers, digests
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         pack, "dest bigint, chunk bigint, first int, data binary"
@@ -534,7 +537,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     def join(chunk: pa.Table, found: pa.Table) -> pa.Table:
         if not chunk.num_rows or chunk["dest"][0].as_py() >= 0:
             return _FOUND.empty_table()
-        return assemble(chunk["data"][0].as_py(), found)
+        made = assemble(chunk["data"][0].as_py(), found)
+        pa.default_memory_pool().release_unused()
+        return made
 
     return (
         sent.groupBy("dest").cogroup(paths.groupBy("dest"))
