@@ -12,10 +12,14 @@ band and draw further centres, so that texts which miss the first centre still m
 The buckets that are open after the stars are finished in `FINISH` rounds. A bucket of up to
 `SMALL` members is finished exactly: members of different components are compared. Members of a
 larger one meet in random parts of about `PART` members, for the `LARGE` smallest large buckets of
-each text, so that pairs grow with members here too. What this may miss are links between
-texts of one large family of which neither meets the rest through any star, small bucket or part;
-tests hold the recall of links. `exhaustive` goes on until every pair that shares a band is in one
-component or refuted on full sets, which is quadratic in families without links.
+each text, so that pairs grow with members here too. What is open then is settled exactly: the
+texts of buckets that still hold several components are joined by the prefixes of their full sets,
+rarest shingles first. Texts that are linked share a shingle there, at places and with sizes that
+leave room for the links' similarity, so only such pairs of different components are confirmed.
+Within a key the rows of its commonest component are not paired with each other; pairs are many
+only where many components agree in their rarest shingles and sizes without being linked.
+`exhaustive` compares every pair that shares a band instead, which is quadratic in families without
+links and finds the same groups.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; rows with
 a null id are linked with nothing, have a null component and are kept; rows that repeat
@@ -48,6 +52,9 @@ ROUNDS = 3
 FINISH, SMALL, PART, LARGE = 3, 16, 8, 4
 #: Centres of a component in an open bucket, from one exhaustive round to the next.
 GROWTH = 8
+#: Cells of the counts that tell rare shingles from common ones (any order gives the same pairs), the
+#: step from one class of sizes to the next, and rows of a prefix key that one task takes.
+CELLS, SIZE_STEP, KEY_ROWS = 1 << 20, 1.08, 20_000
 _U = np.uint64
 
 
@@ -241,12 +248,12 @@ def _open(rest: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(now.join(keys.select("key", "size"), "key"), "open")
 
 
-def _finished(rest: DataFrame, asked: _Asked) -> None:
-    """Compare members `(key, node, n)` of open buckets, in as many pairs as there are members."""
+def _finished(rest: DataFrame, asked: _Asked) -> DataFrame:
+    """Compare members `(key, node, n)` of open buckets, in as many pairs as there are members; large buckets that were open."""
     for turn in range(FINISH):
         now = _open(rest, asked.labels)
         if now.isEmpty():
-            return
+            return now
         # A text has one row for each band at most.
         order = Window.partitionBy("node").orderBy("size", "key")
         large = now.where(F.col("size") > SMALL).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LARGE).drop("_n")
@@ -259,6 +266,122 @@ def _finished(rest: DataFrame, asked: _Asked) -> None:
         pairs = one.join(other, ["key", "part"]).where("a < b and l <> o").where(_similar_sizes(asked.percent))
         asked.compare(pairs.select("a", "b"))
         rest = now.where(F.col("size") > SMALL).select("key", "node", "n")
+    return rest
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(_U) >> _U(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(n) / np.log(SIZE_STEP)).astype(np.int32)
+
+
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur, counted in `CELLS` cells by their hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(_cells(batch.column(0).flatten().to_numpy()), minlength=CELLS)
+        filled = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(total[filled])], names=["cell", "n"])
+
+    rows = sets.select("shingles").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """`(token, class, asks, place, node, label, n)` of `(node, label, shingles)`: the rarest shingles of every set.
+
+    Of two linked sets the larger one asks and the smaller one answers: both have a row with the
+    first shingle that they share, under the class of the smaller one's size.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy()
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            row, token, kind, asks, place, size = [], [], [], [], [], []
+            for i, (begin, end) in enumerate(zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist())):
+                own, n = flat[begin:end], end - begin
+                # The least intersection with a set of the same size, and with the smallest that can be linked.
+                same, least = -(-2 * percent * n // (100 + percent)), -(-percent * n // 100)
+                first = own[np.lexsort((own, counts[_cells(own)]))[: n - least + 1]]
+                answers = n - same + 1
+                at = np.arange(len(first))
+                # The sizes up to its own that leave room for a link when the first shared shingle is at this place.
+                most = np.minimum(n, (n - at) * (100 + percent) // percent - n)
+                fits = most >= max(1, least)
+                low = _size_class(np.array([max(1, least)]))[0]
+                high = np.where(fits, _size_class(np.maximum(most, 1)), low - 1)
+                times = high - low + 1
+                total = int(times.sum())
+                asked = np.repeat(at, times)
+                step = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
+                row.append(np.full(answers + total, i))
+                token += [first[:answers], first[asked]]
+                place += [at[:answers], asked]
+                kind += [np.full(answers, _size_class(np.array([n]))[0]), (low + step).astype(np.int32)]
+                asks += [np.zeros(answers, bool), np.ones(total, bool)]
+                size.append(np.full(answers + total, n))
+            if not row:
+                continue
+            every = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(token)), pa.array(np.concatenate(kind), pa.int32()), pa.array(np.concatenate(asks)),
+                    pa.array(np.concatenate(place), pa.int32()), batch.column(0).take(every), batch.column(1).take(every),
+                    pa.array(np.concatenate(size), pa.int64()),
+                ],
+                names=["token", "class", "asks", "place", "node", "label", "n"],
+            )
+
+    return sets.select("node", "label", "shingles").mapInArrow(
+        cut, "token bigint, class int, asks boolean, place int, node binary, label binary, n bigint"
+    )
+
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs `(a, b)` of `(node, label, shingles)` with different labels: all that can be linked, and few more."""
+    found = materialise(prefixes(sets, percent), "prefixes")
+    keys = ["token", "class"]
+    # The commonest label of a key; a key with one label, or without both sides, has no pairs.
+    per_label = found.groupBy(*keys, "label").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("asks").alias("asked"), F.min("asks").alias("unanswered")
+    )
+    mixed = per_label.groupBy(*keys).agg(
+        F.max(F.struct("rows", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"),
+        F.max("asked").alias("asked"), F.min("unanswered").alias("unanswered"),
+    ).where("labels > 1 and asked and not unanswered")
+    rows, n_rows = materialise_counted(
+        found.join(mixed.select(*keys, "main"), keys).withColumn("main", F.col("label") == F.col("main")), "prefix-rows"
+    )
+    asking = rows.where("asks").select(*keys, "main", F.col("node").alias("a"), F.col("label").alias("l"), F.col("n"), F.col("place").alias("i"))
+    answering = rows.where("not asks").select(*keys, F.col("main").alias("_main"), F.col("node").alias("b"), F.col("label").alias("o"), F.col("n").alias("m"), F.col("place").alias("j"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        joined = salted_join(left, right, keys, "inner", ["a"], at_most=n_rows, rows_per_split=KEY_ROWS)
+        room = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+        return joined.where(
+            (F.col("l") != F.col("o")) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") > F.col("b"))))
+            & (room * F.lit(100 + percent) >= F.lit(percent) * (F.col("n") + F.col("m")))
+        ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    others = met(asking.where("not main"), answering)
+    return others.unionByName(met(asking.where("main"), answering.where("not _main"))).distinct()
+
+
+def _settled(rest: DataFrame, asked: _Asked) -> None:
+    """Find every link between the components of buckets `(key, node, n)` that are still open."""
+    left = materialise(_open(rest, asked.labels).select("node", "label").distinct(), "unsettled")
+    if not left.isEmpty():
+        asked.compare(prefix_pairs(materialise(left.join(asked.sets, "node"), "unsettled-sets"), asked.percent))
 
 
 def _exhausted(rest: DataFrame, asked: _Asked) -> None:
@@ -352,9 +475,11 @@ def near_duplicates(
         if not asked.compare(edges) and turn:
             break
     rest = members.select("key", "node", "n")
-    _finished(rest, asked)
+    large = _finished(rest, asked)
     if exhaustive:
         _exhausted(rest, asked)
+    else:
+        _settled(large, asked)
     named = classes.select("node", "rep").join(asked.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "label").select("node", "component_id")

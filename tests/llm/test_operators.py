@@ -210,6 +210,49 @@ def test_recall_in_a_family_without_its_original(spark):
     assert sum(found[a] == found[b] for a, b in links) >= 0.9 * len(links)
 
 
+def family_of_pairs():
+    """Copies of one text, each with a near copy of its own, and copies around the threshold."""
+    draw = random.Random(61)
+    original, table = words(62, 150).split(), []
+    for i in range(300):
+        one = list(original)
+        for j in draw.sample(range(150), 2 if i % 10 == 0 else 4):
+            one[j] = f"x{i}y{j}"
+        other = list(one)
+        other[draw.randrange(150)] = f"z{i}"
+        table += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(other[: 150 - i % 7]))]
+    return table
+
+
+def test_near_duplicates_of_a_large_family_by_default(spark):
+    """Every bucket holds all of the family, so small buckets, parts and stars leave links open."""
+    table = family_of_pairs()
+    df = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, 3, 85, bands=4, rows=1).collect()}
+    assert found == brute.near_duplicates(table)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_prefix_pairs_hold_every_link_between_labels(spark, percent):
+    draw = random.Random(percent)
+    sets = []
+    for i in range(250):
+        if i % 5 == 0:
+            core = draw.sample(range(400), draw.choice([1, 2, 3, 10, 40]))
+        changed = {draw.randrange(400) if draw.random() < 0.15 else c for c in core}
+        sets.append(sorted((c * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for c in changed))
+    rows_given = [(bytes([i]), bytes([i % 9]), s) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows_given, "node binary, label binary, shingles array<bigint>")
+    found = {(bytes(r.a)[0], bytes(r.b)[0]) for r in near_dedup.prefix_pairs(table, percent).collect()}
+    known = [set(s) for s in sets]
+    wanted = {
+        (a, b) for b in range(250) for a in range(b)
+        if a % 9 != b % 9 and 100 * len(known[a] & known[b]) >= percent * len(known[a] | known[b])
+    }
+    assert wanted and wanted <= found and all(a % 9 != b % 9 for a, b in found)
+    assert len(found) < 250 * 249 / 2 / 4
+
+
 def test_rows_that_repeat_an_id_are_judged_by_their_text(spark):
     import corpus_pipeline
 
