@@ -24,6 +24,8 @@ MAX_QUERIES = 1_024
 #: Rows of a block when more queries meet the vectors, and rows that are scored at a time.
 BLOCK_VECTORS, BLOCK_QUERIES = 65_536, 16_384
 SCORED_VECTORS, SCORED_QUERIES = 8_192, 1_024
+#: Numbers that a task holds of planes, of products with them and of codes, however many bands there are.
+HELD_NUMBERS = 1 << 21
 ROWS_PER_CODE = 64
 DIGITS = 6
 #: Expected recall that the number of bands is chosen for, and the queries it is estimated on.
@@ -184,6 +186,22 @@ def top_k(
     return merged(hits, k)
 
 
+def _codes(rows: np.ndarray, bands: int, bits: int, seed: int) -> np.ndarray:
+    """The codes of unit vectors of one length, one column for each band; some bands at a time."""
+    size = rows.shape[1]
+    draw = np.random.default_rng([seed, size])
+    codes = np.empty((len(rows), bands), dtype=np.int64)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    step = max(1, HELD_NUMBERS // (bits * max(len(rows), size)))
+    for first in range(0, bands, step):
+        some = min(step, bands - first)
+        # Drawn in one order, so that the planes do not depend on the step.
+        planes = draw.standard_normal((some * bits, size))
+        sides = (rows @ planes.T >= 0).reshape(len(rows), some, bits)
+        codes[:, first : first + some] = sides @ weights
+    return codes
+
+
 def band_codes(
     vectors: DataFrame, id_column: str, bands: int, bits: int, seed: int = 7
 ) -> DataFrame:
@@ -195,17 +213,18 @@ def band_codes(
         for batch in batches:
             stored = matrices(batch.column(0), batch.column(1)) if batch.num_rows else {}
             for size, (ids, rows) in stored.items():
-                planes = np.random.default_rng([seed, size]).standard_normal((bands * bits, size))
-                sides = (rows @ planes.T >= 0).reshape(len(rows), bands, bits)
-                codes = sides @ (1 << np.arange(bits, dtype=np.int64))
-                offsets = np.arange(0, codes.size + 1, bands, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), size, np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1))),
-                    ],
-                    names=[id_column, "dim", "codes"],
-                )
+                at_a_time = max(1, HELD_NUMBERS // max(bands, bits))
+                for first in range(0, len(rows), at_a_time):
+                    some = slice(first, first + at_a_time)
+                    codes = _codes(rows[some], bands, bits, seed)
+                    offsets = np.arange(0, codes.size + 1, bands, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[some].astype(np.int64)), pa.array(np.full(len(codes), size, np.int32)),
+                            pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.reshape(-1))),
+                        ],
+                        names=[id_column, "dim", "codes"],
+                    )
 
     coded = usable(vectors, id_column).mapInArrow(
         encode, f"{id_column} long, dim int, codes array<long>"

@@ -94,3 +94,32 @@ def test_recall_by_bands_with_default_numbers(spark):
     got = found(v.top_k_lsh(table(spark, range(10_000), stored, "vec_id"), table(spark, range(40), asked, "query_id"), 10))
     expected = brute(stored.astype(np.float32), asked.astype(np.float32), 10)
     assert sum(len(set(got[q]) & set(expected[q])) for q in expected) >= 0.9 * 400
+
+
+def test_band_codes_hold_a_bounded_part_of_the_products(monkeypatch):
+    import tracemalloc
+
+    rows = np.random.default_rng(3).standard_normal((4_000, 16))
+    whole = v._codes(rows[:50], 40, 12, 7)
+    monkeypatch.setattr(v, "HELD_NUMBERS", 1 << 12)
+    assert (v._codes(rows[:50], 40, 12, 7) == whole).all()
+    monkeypatch.undo()
+    tracemalloc.start()
+    codes = v._codes(rows, 400, 15, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All products at once are 4,000 x 400 x 15 numbers of 8 bytes, 192 MB.
+    assert peak - codes.nbytes < 64 << 20
+
+
+def test_band_codes_in_slices_of_a_batch(spark, monkeypatch):
+    stored = np.random.default_rng(4).standard_normal((60, 8))
+    df = table(spark, range(60), stored, "vec_id")
+    got = {(r.vec_id, r.band): r.code for r in v.band_codes(df, "vec_id", 50_000, 7).where("band % 9973 = 5").collect()}
+    unit = stored.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert {i for i, _ in got} == set(range(60))
+    planes = np.random.default_rng([7, 8]).standard_normal((50_000 * 7, 8))
+    for (i, band), code in got.items():
+        side = unit[i] @ planes[band * 7 : band * 7 + 7].T
+        assert abs(side).min() < 1e-6 or code == ((side >= 0) @ (1 << np.arange(7)))
