@@ -118,7 +118,8 @@ class Block:
         end = self.offsets[1:][self.text_of]
         self.at = at[_IN_COVER[(at - start) % PERIOD] & (at + depth <= end)]
         keys = hashing.of(self.prefix, self.at, self.at + depth) >> _U(24)
-        order = np.argsort(keys, kind="stable")
+        # Nothing asks for an order among equal keys.
+        order = np.argsort(keys)
         self.at, keys = self.at[order], keys[order]
         first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
         self.keys = keys[first]
@@ -147,7 +148,9 @@ class Block:
             bucket = (other.of(other.prefix(self.data), where, where + self.length) >> _U(32)) * _U(buckets) >> _U(32)
         else:
             bucket = np.zeros(0, _U)
-        order = np.lexsort((where, keys, bucket))
+        # Few buckets are ordered by counting, in 16 bits; among equal keys no order is asked for.
+        order = np.argsort(keys)
+        order = order[np.argsort(bucket[order].astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")]
         self.where, keys, bucket = where[order], keys[order], bucket[order]
         if len(keys):
             first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])])
@@ -156,7 +159,8 @@ class Block:
         self.suffix_keys, self.suffix_buckets = keys[first], bucket[first].astype(np.int64)
         self.suffix_of = np.cumsum(first) - 1
         # Documents are in order of their ids, and positions in order of documents.
-        self.first_id = self.ids[self.text_of[self.where[first]]] if len(keys) else np.zeros(0, np.int64)
+        earliest = np.minimum.reduceat(self.where, np.flatnonzero(first)) if len(keys) else self.where
+        self.first_id = self.ids[self.text_of[earliest]] if len(keys) else np.zeros(0, np.int64)
 
 
 def _per_bucket(buckets: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
@@ -313,10 +317,10 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for r in table.select(["n", "n_ids", "ids", "owners"]).to_pylist()
             ]
         )
-        order = np.lexsort((ids, keys))
+        order = np.argsort(keys)
         keys, sorted_ids = keys[order], ids[order]
         begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        least = np.repeat(sorted_ids[begins], np.diff(np.append(begins, len(keys))))
+        least = np.repeat(np.minimum.reduceat(sorted_ids, begins), np.diff(np.append(begins, len(keys))))
         flags = np.zeros(len(keys), bool)
         flags[order] = sorted_ids > least
         return answers(table, 2, flags, blocks_here, counts)
