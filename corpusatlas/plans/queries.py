@@ -637,6 +637,10 @@ def enrich_pending(spark, sf):
     )
 
 
+#: Queue files of the registered job, however many batches there are.
+QUEUE_FILES = 1_024
+
+
 @query
 def enrich_resumable(spark, sf):
     """The whole job as a stream of two commits, from a queue of numbered batches."""
@@ -644,8 +648,8 @@ def enrich_resumable(spark, sf):
     known = jobs.index(corpus.files.select("repo", "path", "content"), ALIASES)
     root = f"{scratch_folder(spark)}/resumable-{uuid.uuid4().hex}"
     job = resumable.ResumableJob(spark, known, f"{root}/queue", root)
-    n_batches = resumable.queue(resumable.pending_files(known, job.summaries()), job.queue_folder)
-    job.run(batches_per_commit=-(-n_batches // 2))
+    n_files = resumable.queue(resumable.pending_files(known, job.summaries()), job.queue_folder, most_files=QUEUE_FILES)
+    job.run(batches_per_commit=-(-n_files // 2))
     done, n_commits = job.summaries(), job.store.manifest().count()
     return done.select(
         "repo", "path", "batch_no", "n_tokens", F.get_json_object("summary", "$.tag").alias("tag"),

@@ -1,6 +1,7 @@
 """The enrichment job as a stream of numbered batches that stops and resumes anywhere.
 
-Pending files are dealt into batches of a fixed number of files, one queue file each. A stream
+Pending files are dealt into batches of a fixed number of files, one queue file each; a caller may
+bound the queue files, which then hold several whole batches. A stream
 takes some queue files at a time; inside `foreachBatch` they meet the catalogue's edges and texts,
 which are static. What comes out is published under the number of the micro-batch: it counts
 when the manifest names it, and a batch that runs again is published once.
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusatlas.operators import enrich, manifest
 from corpusatlas.plans import jobs
+from corpusatlas.session import materialise
 from corpusatlas.sources.published import Published
 
 SUMMARIES = "repo string, path string, abs_path string, batch_no bigint, summary string, outcome string, n_tokens bigint"
@@ -23,17 +25,26 @@ QUARANTINE = "repo string, path string, abs_path string, batch_no bigint, reason
 _QUEUED = "repo string, path string, abs_path string, batch_no bigint"
 
 
-def queue(pending: DataFrame, folder: str, files_per_batch: int = enrich.BATCH_FILES) -> int:
-    """Write `(repo, path, abs_path)` as one file for each batch of a repository; the number of batches.
+def queue(
+    pending: DataFrame, folder: str, files_per_batch: int = enrich.BATCH_FILES, most_files: int | None = None
+) -> int:
+    """Write `(repo, path, abs_path)` as one file for each batch of a repository; the number of queue files.
 
-    Further calls add to the queue; a stream takes each file once.
+    More batches than `most_files` share so many files, each batch whole in one of them, because
+    folders and listings of single batches cost more than their rows. Further calls add to the
+    queue; a stream takes each file once.
     """
-    numbered = enrich.assign_batches(pending.select("repo", "path", "abs_path"), files_per_batch)
-    # One task for each batch, as far as there are tasks; a batch is a few rows.
-    spread = numbered.repartition("repo", "batch_no")
+    # Wanted twice.
+    numbered = materialise(enrich.assign_batches(pending.select("repo", "path", "abs_path"), files_per_batch), "queued")
+    batches = numbered.select("repo", "batch_no").distinct()
+    n_files = batches.count()
     batch = F.concat_ws("-", F.sha2("repo", 256), F.col("batch_no").cast("string"))
-    spread.withColumn("batch", batch).write.mode("append").partitionBy("batch").parquet(folder)
-    return numbered.select("repo", "batch_no").distinct().count()
+    if most_files is not None and n_files > most_files:
+        batch = F.pmod(F.xxhash64("repo", "batch_no"), F.lit(most_files)).cast("string")
+        n_files = batches.select(batch).distinct().count()
+    # One task for each queue file, as far as there are tasks.
+    numbered.withColumn("batch", batch).repartition("batch").write.mode("append").partitionBy("batch").parquet(folder)
+    return n_files
 
 
 @dataclass
@@ -82,7 +93,10 @@ class ResumableJob:
         )
 
     def start(self, batches_per_commit: int = 1) -> StreamingQuery:
-        """Work through the queue and stop when it is empty; call it again after a failure or for new files."""
+        """Work through the queue and stop when it is empty; call it again after a failure or for new files.
+
+        A commit takes `batches_per_commit` queue files, which are batches unless the queue was bounded.
+        """
         queued = (
             self.spark.readStream.schema(_QUEUED).option("recursiveFileLookup", True)
             .option("maxFilesPerTrigger", batches_per_commit).parquet(self.queue_folder)

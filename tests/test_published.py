@@ -132,6 +132,20 @@ def queued(spark, many, tmp_path, **options):
     return job, n
 
 
+def test_a_bounded_queue_keeps_batches_whole(spark, many, tmp_path):
+    job = resumable.ResumableJob(spark, many, str(tmp_path / "queue"), str(tmp_path / "root"))
+    pending = resumable.pending_files(many, job.summaries())
+    n = resumable.queue(pending, job.queue_folder, files_per_batch=2, most_files=4)
+    stored = list((tmp_path / "queue").glob("batch=*/*.parquet"))
+    assert n == len(stored) <= 4
+    rows = spark.read.parquet(job.queue_folder).select("repo", "path", "batch_no", "batch").collect()
+    assert len(rows) == len({(r.repo, r.path) for r in rows}) == pending.count()
+    held = {(r.repo, r.batch_no) for r in rows}
+    assert len(held) > 4 and len({(r.repo, r.batch_no, r.batch) for r in rows}) == len(held)
+    job.run(batches_per_commit=-(-n // 2))
+    assert job.store.manifest().count() == 2 and job.summaries().count() + job.quarantine().count() == len(rows)
+
+
 def test_killed_in_its_second_batch(spark, many, tmp_path, monkeypatch):
     """Killed after the data of batch 2 and before its manifest row; then run again."""
     job, n = queued(spark, many, tmp_path)
