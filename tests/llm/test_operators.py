@@ -232,6 +232,36 @@ def test_near_duplicates_of_a_large_family_by_default(spark):
     assert found == brute.near_duplicates(table)
 
 
+def test_pipeline_stage_settles_what_the_capped_rounds_leave_open(spark, monkeypatch):
+    import corpus_pipeline
+
+    # No capped rounds at all, and no star but the first centres: what is left is found exactly.
+    monkeypatch.setattr(near_dedup, "FINISH", 0)
+    draw = random.Random(71)
+    original, table = words(72, 60).split(), []
+    for i in range(60):
+        one = list(original)
+        for j in draw.sample(range(60), 2):
+            one[j] = f"x{i}y{j}"
+        table += [(2 * i, " ".join(one)), (2 * i + 1, " ".join([*one, f"z{i}"]))]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in table)}
+    reach = {i: i for i in sets}
+
+    def root(i):
+        while reach[i] != i:
+            i = reach[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                reach[high] = low
+    assert kept == {i for i in sets if root(i) == i}
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
 def test_prefix_pairs_hold_every_link_between_labels(spark, percent):
     draw = random.Random(percent)
