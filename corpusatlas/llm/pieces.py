@@ -3,7 +3,8 @@
 A text becomes words at places that no piece of the vocabulary spans, so words can be
 encoded one by one. Texts are read in chunks; a chunk is its distinct words, sorted, and its
 texts as packed word numbers, so no text is shuffled. One exchange deals the words out by
-a hash of the word and the numbers by chunk. For every distinct word:
+a hash of the word and the numbers by chunk, in as many partitions as there are buckets of
+words, so that a task holds the lattice of a few buckets. For every distinct word:
 
 1. its substrings up to the longest piece are exploded,
 2. an equi-join with the piece table (as large as the model file) keeps those that are
@@ -513,10 +514,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, chunk_bytes: int = CHUNK_BY
     """`(doc_id, ids, round_trip)` for every row; the last tells whether the ids decode to the text."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Every way down uses all columns and the same rows, so that the exchange is made once.
+    # Every way down uses all columns and the same rows, so that the exchange is made once. As many
+    # partitions as buckets, which are not joined again: a task holds the lattice of its words.
     sent = chunks(docs, vocabulary, buckets, chunk_bytes).where(
         "dest is not null and chunk is not null and first is not null"
-    ).repartition("dest")
+    ).repartition(buckets, "dest")
     lines = F.when(F.col("dest") >= 0, F.split(F.col("data").cast("string"), _BREAK))
     # The place is asked for only to read all columns.
     places = (

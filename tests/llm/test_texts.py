@@ -55,6 +55,17 @@ def test_more_chunks_than_twelve_bits(spark):
     assert len(got) == 4_500 and all(got[i].text == t and got[i].round_trip for i, t in enumerate(texts))
 
 
+def test_buckets_of_words_are_not_joined_into_few_tasks(spark):
+    vocabulary = pieces.Vocabulary.load(model_file())
+    library = sentencepiece.SentencePieceProcessor(model_file=model_file())
+    texts = [f"text {i} holds words like number{i * 7919}" for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    rows = pieces.encoded(df, vocabulary, chunk_bytes=1).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.doc_id, r.ids) for r in rows) == [(i, library.encode(t)) for i, t in enumerate(texts)]
+    # Small partitions may be joined by size up to one task for all; these are as many as buckets.
+    assert len({r.task for r in rows}) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.mark.parametrize("chunk_bytes", [1 << 20, 30])
 def test_merge_model_gives_the_ids_of_its_library(spark, chunk_bytes):
     check(spark, TEXTS, model_file(), chunk_bytes)
