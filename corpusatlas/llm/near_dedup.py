@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from corpusatlas.llm import textarrays as ta
 from corpusatlas.operators.skew import salted_join
-from corpusatlas.session import materialise, materialise_counted
+from corpusatlas.session import materialise, materialise_counted, materialise_observed
 
 #: At a similarity of 0.85 two texts share one of 32 bands of 8 bins with a chance of 0.99996, at 0.8 of 0.997.
 BANDS, ROWS = 32, 8
@@ -179,32 +180,38 @@ def _confirmed(edges: DataFrame, n_edges: int, sets: DataFrame, percent: int) ->
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """`(node, label)`: every node that has an edge, with the least node it can reach.
 
-    Alternating large-star and small-star steps; every step is a group-by with map-side
-    minimum and is written, so a lost executor costs one step at most.
+    Large-star and small-star steps in turn, until neither changes an edge. Edges point from the
+    greater node `u` to the lesser one `v`; every step is one join with a group-by that has a map-side
+    minimum, and is written, so plans stay small and a lost executor costs one step at most.
     """
-    both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now, n = materialise_counted(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
-        near = both(now)
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(near, least, ["u"], "inner", ["v"], at_most=2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(down, least, ["u"], "inner", ["v"], at_most=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            least.select("u", F.col("m").alias("v"))
-        )
-        now, n = materialise_counted(small.where("u <> v").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
+    start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now, state = _edges(start.where("u > v").distinct())
+    unchanged, large = 0, True
+    while state[0] and unchanged < 2:
+        least = now.groupBy("u").agg(F.min("v").alias("m"))
+        if large:
+            # The greater node of an edge goes to the least neighbour of the lesser one, which is itself if it has no edge down.
+            step = salted_join(now, least.select(F.col("u").alias("v"), "m"), ["v"], "left", ["u"], at_most=state[0]).select(
+                "u", F.coalesce("m", "v").alias("v")
+            )
+        else:
+            # A node and its lesser neighbours go to the least of these.
+            ends = F.explode(F.array("u", "v")).alias("u")
+            step = salted_join(now, least, ["u"], "inner", ["v"], at_most=state[0]).select(ends, F.col("m").alias("v")).where("u <> v")
+        before = state
+        now, state = _edges(step.distinct())
+        unchanged, large = unchanged + 1 if state == before else 0, not large
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
 
 
+def _edges(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges `(u, v)`, written, with their number and a hash of the set of them."""
+    written, n, more = materialise_observed(edges, "edges", F.bit_xor(F.xxhash64("u", "v")).alias("hash"))
+    return written, (n, more["hash"])
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
@@ -221,9 +228,11 @@ class _Asked:
     def compare(self, edges: DataFrame) -> bool:
         """Compare the pairs that no earlier round has; true if there were links among them."""
         edges = edges.distinct()
-        for before in self.pairs:
-            edges = edges.join(before, ["a", "b"], "left_anti")
+        if self.pairs:
+            edges = edges.join(reduce(DataFrame.union, self.pairs), ["a", "b"], "left_anti")
         new, n_new = materialise_counted(edges, "asked")
+        if self.labels is not None and not n_new:
+            return False
         self.pairs.append(new)
         found, n_found = materialise_counted(_confirmed(new, n_new, self.sets, self.percent), "links")
         if self.labels is not None and not n_found:
@@ -239,20 +248,20 @@ def _similar_sizes(percent: int):
     return F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")
 
 
-def _open(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with `label` and the bucket's `size`."""
+def _open(rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, int]:
+    """The members of buckets that hold several components, with `label` and the bucket's `size`, and their number."""
     now = _labelled(rest.drop("label", "size"), labels)
     keys = now.groupBy("key").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")
     ).where("lo <> hi")
-    return materialise(now.join(keys.select("key", "size"), "key"), "open")
+    return materialise_counted(now.join(keys.select("key", "size"), "key"), "open")
 
 
 def _finished(rest: DataFrame, asked: _Asked) -> DataFrame:
     """Compare members `(key, node, n)` of open buckets, in as many pairs as there are members; large buckets that were open."""
     for turn in range(FINISH):
-        now = _open(rest, asked.labels)
-        if now.isEmpty():
+        now, n_open = _open(rest, asked.labels)
+        if not n_open:
             return now
         # A text has one row for each band at most.
         order = Window.partitionBy("node").orderBy("size", "key")
@@ -261,6 +270,7 @@ def _finished(rest: DataFrame, asked: _Asked) -> DataFrame:
         dealt = large.withColumn("part", F.pmod(F.xxhash64("node", "key", F.lit(turn)), parts))
         if not turn:
             dealt = dealt.unionByName(now.where(F.col("size") <= SMALL).withColumn("part", F.lit(0).cast("bigint")))
+        dealt = materialise(dealt.select("key", "part", "node", "label", "n"), "dealt")
         one = dealt.select("key", "part", F.col("node").alias("a"), F.col("label").alias("l"), F.col("n").alias("n"))
         other = dealt.select("key", "part", F.col("node").alias("b"), F.col("label").alias("o"), F.col("n").alias("m"))
         pairs = one.join(other, ["key", "part"]).where("a < b and l <> o").where(_similar_sizes(asked.percent))
@@ -379,8 +389,9 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def _settled(rest: DataFrame, asked: _Asked) -> None:
     """Find every link between the components of buckets `(key, node, n)` that are still open."""
-    left = materialise(_open(rest, asked.labels).select("node", "label").distinct(), "unsettled")
-    if not left.isEmpty():
+    now, n_open = _open(rest, asked.labels)
+    if n_open:
+        left = materialise(now.select("node", "label").distinct(), "unsettled")
         asked.compare(prefix_pairs(materialise(left.join(asked.sets, "node"), "unsettled-sets"), asked.percent))
 
 
@@ -388,8 +399,8 @@ def _exhausted(rest: DataFrame, asked: _Asked) -> None:
     """Decide every pair of `rest` (key, node, n) that shares a key."""
     draws, turn = 1, 0
     while True:
-        now = _open(rest, asked.labels)
-        if now.isEmpty():
+        now, n_open = _open(rest, asked.labels)
+        if not n_open:
             return
         # One centre of each component at least, `draws` on average; a window would gather a component.
         place = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 20))
@@ -439,25 +450,29 @@ def near_duplicates(
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = met.join(shared, "key").select("key", "i", "node", "n", "size")
     members = materialise(members, "members")
-    score = members.groupBy("node").agg(F.sum("size").alias("score"))
+    score = materialise(members.groupBy("node").agg(F.sum("size").alias("score")), "scores")
     # The full sets only of classes that meet another one.
     wanted = classes.join(score, "node").select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text")
     sets = materialise(_sets(texts.join(wanted, "rep", "left_semi").select("text"), words), "sets")
     asked = _Asked(sets, percent)
+    rest = members
     for turn in range(rounds):
-        rows_now = members.join(score, "node")
         if turn:
             # Only buckets that still hold several components are split and drawn again.
+            rest, n_open = _open(rest, asked.labels)
+            if not n_open:
+                break
             other = classes.select("node", F.col("bands").alias("_bands"))
-            rows_now = (
-                _labelled(rows_now, asked.labels)
+            rows_now = materialise(
+                rest.join(score, "node")
                 .join(other, "node")
                 .withColumn("key", F.xxhash64("key", F.get("_bands", (F.col("i") + turn * 7) % F.lit(bands))))
-                .drop("_bands")
+                .drop("_bands"),
+                "split",
             )
         else:
-            rows_now = rows_now.withColumn("label", F.col("node"))
+            rows_now = members.join(score, "node").withColumn("label", F.col("node"))
         # In later rounds another member may be the better centre: draw by a hash of the round.
         order = F.struct(
             (F.col("score") if turn % 2 == 0 else F.xxhash64("node", F.lit(turn))).alias("o"), F.col("node").alias("b")
@@ -474,7 +489,7 @@ def near_duplicates(
         )
         if not asked.compare(edges) and turn:
             break
-    rest = members.select("key", "node", "n")
+    rest = rest.select("key", "node", "n")
     large = _finished(rest, asked)
     if exhaustive:
         _exhausted(rest, asked)
@@ -482,7 +497,7 @@ def near_duplicates(
         _settled(large, asked)
     named = classes.select("node", "rep").join(asked.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "label").select("node", "component_id")
+    named = materialise(named.join(least, "label").select("node", "component_id"), "named")
     carried = ["row_key"] if row_key is not None else []
     return (
         table.select("doc_id", *carried, "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))

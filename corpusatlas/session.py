@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -67,8 +67,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def materialise_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """As `materialise`, with the rows written; retried tasks may be counted twice,
     so take the number as an upper bound."""
+    return materialise_observed(df, label)[:2]
+
+
+def materialise_observed(df: DataFrame, label: str, *more: Column) -> tuple[DataFrame, int, dict]:
+    """As `materialise_counted`, with further named aggregates of the rows written."""
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     written = Observation()
-    df.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), written.get["rows"]
+    df.observe(written, F.count(F.lit(1)).alias("rows"), *more).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), written.get["rows"], written.get

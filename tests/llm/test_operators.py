@@ -262,6 +262,37 @@ def test_pipeline_stage_settles_what_the_capped_rounds_leave_open(spark, monkeyp
     assert kept == {i for i in sets if root(i) == i}
 
 
+def test_components_by_small_plans(spark, monkeypatch):
+    """Chains, stars, cycles, edges given twice, both ways and to themselves; the driver plans few scans at a time."""
+    draw = random.Random(81)
+    name = {i: bytes(draw.randrange(256) for _ in range(16)) for i in range(400)}
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(i, 199) for i in range(170, 199)]
+    edges += [(draw.randrange(200, 390), draw.randrange(200, 390)) for _ in range(120)] + [(395, 395), (200, 201), (201, 200), (200, 201)]
+    reach = {i: i for pair in edges if pair[0] != pair[1] for i in pair}
+
+    def root(i):
+        while reach[i] != i:
+            i = reach[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root(a), root(b)), key=name.get)
+            reach[high] = low
+    table = spark.createDataFrame([(name[a], name[b]) for a, b in edges], "a binary, b binary")
+    scans, observe = [], type(table).observe
+
+    def observed(df, *args):
+        scans.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return observe(df, *args)
+
+    monkeypatch.setattr(type(table), "observe", observed)
+    found = [(bytes(r.node), bytes(r.label)) for r in near_dedup.components(table).collect()]
+    assert sorted(found) == sorted((name[i], name[root(i)]) for i in reach)
+    assert max(scans) <= 2
+    assert near_dedup.components(table.where("a = b")).count() == 0
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
 def test_prefix_pairs_hold_every_link_between_labels(spark, percent):
     draw = random.Random(percent)
